@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm import bpe_codec, chat_format, token_counts, topk
+from lexibond.llm import bpe_codec, chat_format, mixing, pii, quality_rules, token_counts, topk, url_filter
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,20 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, root: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, root, "documents")).select("doc_id", "n_pii", "text")
+
+
+def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, root, "documents"))
+
+
+def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
+    """What the mix takes of each document, counted from the copies in the output shards."""
+    mixed = mixing.mix(_table(spark, root, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
+
+
 def op6_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, root, "documents"), tokenizer_file(), keep=["doc_id"])
 
@@ -45,8 +59,16 @@ def op9_chat_format(spark: SparkSession, root: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chat(chat_format.log_of_turns(turns)))
 
 
+# Fixed value: the rules of the query, (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    return url_filter.judge(_table(spark, root, "pages"), URL_RULES)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format)}
+    return {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_mixing, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
 
 
 def llm_oracles() -> dict[str, str]:
