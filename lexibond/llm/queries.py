@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm import bpe_codec, chat_format, mixing, pii, quality_rules, token_counts, topk, url_filter
+from lexibond.llm import bpe_codec, chat_format, jaccard_join, mixing, pii, quality_rules, token_counts, topk, url_filter
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -37,6 +37,10 @@ def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard_join.near_components(_table(spark, root, "documents"), k=3, num=90, den=100)
+
+
 def op6_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, root, "documents"), tokenizer_file(), keep=["doc_id"])
 
@@ -68,7 +72,7 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_mixing, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
 
 
 def llm_oracles() -> dict[str, str]:
