@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm import bpe_codec, chat_format, jaccard_join, mixing, pii, quality_rules, token_counts, topk, url_filter
+from lexibond.llm import bpe_codec, chat_format, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, topk, url_filter
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +23,11 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_table(spark, root, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, root: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, root, "documents")).select("doc_id", "n_pii", "text")
 
@@ -72,7 +77,7 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
 
 
 def llm_oracles() -> dict[str, str]:
