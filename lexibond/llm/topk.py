@@ -1,14 +1,14 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Vectors are sparse rows of integer weights; a term is a dimension. Candidates are packed into blocks, each held as
-postings: for every term the rows that have it and their weights. For a block of queries, terms are taken one after the
-other and scatter weighted postings into a dense array of scores (queries x rows of the block); a partition selection
-keeps the k best of each query, and the best of all blocks are merged. Queries are blocks too, sent to every shard of
-candidates, so neither side is broadcast or held whole anywhere.
+postings: for every term the rows that have it. For a block of queries, terms scatter weighted postings into a dense
+array of scores (queries x rows of the block), those that most rows have in one product; a partition selection keeps the
+k best of each query, and the best of all blocks are merged. Queries are blocks too, sent to every shard of candidates, so
+neither side is broadcast or held whole anywhere.
 
 Vectors that are null, or hold null, NaN or infinite components, take no part. Ids may be null: such a row can't be named
 and takes no part. Repeated rows are candidates of their own; a row isn't its own candidate, and neither are rows of the
-same id. Ties go to the smaller id. Vectors of unequal length are padded with zeros. An empty table gives no rows.
+same id; of queries that share an id the one of the smallest vector asks. Ties go to the smaller id. Vectors of unequal length are padded with zeros. An empty table gives no rows.
 Weights beyond 2^31 or sums beyond 2^63 aren't supported and raise."""
 
 from __future__ import annotations
@@ -66,21 +66,18 @@ def _open(n: int, ids: bytes, width: int, weights: bytes) -> tuple[np.ndarray, n
     return np.frombuffer(ids, np.int64), np.frombuffer(weights, "<i4").reshape(n, width)
 
 
-def accumulate(q: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], rows: int, wide: bool) -> np.ndarray:
-    """Dense scores of some queries over a block, one term after the other."""
-    kind = np.int64 if wide else np.int32
-    scores = np.zeros((len(q), rows), kind)
-    scratch = np.empty((len(q), rows), kind)
-    for term, (at, weight) in enumerate(postings[: q.shape[1]]):
-        has = np.flatnonzero(q[:, term])
-        if not len(at) or not len(has):
-            continue
-        if len(has) == len(q) and len(at) == rows:
-            np.multiply(q[:, term].astype(kind)[:, None], weight.astype(kind)[None, :], out=scratch)
-            scores += scratch
-        else:
-            scores[np.ix_(has, at)] += np.multiply.outer(q[has, term].astype(kind), weight.astype(kind))
-    return scores
+def accumulate(q: np.ndarray, c: np.ndarray, postings: list[np.ndarray], bound: float) -> np.ndarray:
+    """Dense scores of some queries over a block. Postings of rare terms are scattered one after the other; terms that
+    most rows have are one run of additions over all rows, which a matrix product does exactly while sums fit its floats."""
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    width = min(q.shape[1], c.shape[1])
+    full = [t for t in range(width) if 2 * len(postings[t]) >= len(c)]
+    scores = q[:, full].astype(kind) @ c[:, full].astype(kind).T
+    for t in range(width):
+        at = postings[t]
+        if 0 < 2 * len(at) < len(c) and len(has := np.flatnonzero(q[:, t])):
+            scores[np.ix_(has, at)] += np.multiply.outer(q[has, t].astype(kind), c[at, t].astype(kind))
+    return scores.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +100,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, shards: int | None = N
     shards = shards or spark.sparkContext.defaultParallelism
     cands = pack(usable, block).select(*[F.col(c).alias(f"c_{c}") for c in ("n", "ids", "width", "weights")])
     cands = cands.withColumn("shard", F.pmod(F.xxhash64("c_ids"), F.lit(shards)).cast("int"))
-    asked = pack(usable.where(is_query), QUERIES).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = pack(usable.where(is_query).groupBy("id").agg(F.min("w").alias("w")), QUERIES).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     pairs = asked.join(cands, "shard").select("n", "ids", "width", "weights", "c_n", "c_ids", "c_width", "c_weights")
 
     def run(batches):
@@ -112,10 +109,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, shards: int | None = N
             for row in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
                 qid, q = _open(*row[:4])
                 cid, c = _open(*row[4:])
-                wide = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, min(q.shape[1], c.shape[1])) >= 2**31
-                postings = [(at, c[at, t]) for t in range(c.shape[1]) for at in [np.flatnonzero(c[:, t])]]
+                bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, min(q.shape[1], c.shape[1]))
+                postings = [np.flatnonzero(c[:, t]) for t in range(c.shape[1])]
                 for a in range(0, len(qid), SLICE):
-                    scores = accumulate(q[a : a + SLICE], postings, len(cid), wide)
+                    scores = accumulate(q[a : a + SLICE], c, postings, bound)
                     for j, own in enumerate(qid[a : a + SLICE].tolist()):
                         best[own].append(_best(scores[j], cid, own, k))
                 if len(best) > 200_000 or sum(map(len, best.values())) > 50_000:
