@@ -41,6 +41,11 @@ def keyed(seed: int, tag: str, *cols: Column | str) -> Column:
     return F.xxhash64(F.lit(f"{seed}:{tag}"), *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("\x00")) for c in cols])
 
 
+def document_key(seed: int = 0) -> Column:
+    """A document's key: equal for rows of equal id and text."""
+    return keyed(seed, "doc", "doc_id", "text")
+
+
 def unit(hashed: Column) -> Column:
     """A number in (0, 1) from a hash."""
     return (F.shiftrightunsigned(hashed, 11).cast("double") + 0.5) / float(2**53)
@@ -71,7 +76,7 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, s
     """docs: doc_id, source, text (others are left out) -> doc_id, source, size, source_size, target, copies, block, key.
 
     copies: how often the mix takes the document. The block in which a target ends is one list for each source."""
-    sized = Table(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), keyed(seed, "doc", "doc_id", "text").alias("key")), "mix-sizes").df
+    sized = Table(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), document_key(seed).alias("key")), "mix-sizes").df
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = targets(sources, weights, share, most).withColumns({
         "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0),
@@ -175,7 +180,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = 8, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target and `copies`, an array of (copy, shard, order)
+    """One row for each document: doc_id, source, size, source_size, target, key (document_key) and `copies`, an array of (copy, shard, order)
     with an entry for every time the mix takes it; expand() makes a row of each."""
     planned = Table(plan(docs, seed, weights, share, most), "mix-plan").df
     taken = planned.where(F.col("copies") > 0).select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
@@ -191,7 +196,7 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 0, weights: tuple[float, .
     on = F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block"))
     own = F.filter(F.coalesce("homes", F.array().cast("array<struct<copy:bigint,shard:bigint>>")), lambda h: h["copy"] <= F.col("copies"))
     placed = F.transform(F.sort_array(own), lambda h: F.struct(h["copy"].alias("copy"), h["shard"].alias("shard"), keyed(seed, "order", F.col("key"), h["copy"]).alias("order")))
-    return planned.join(homes, on, "left").select("doc_id", "source", "size", "source_size", "target", placed.alias("copies"))
+    return planned.join(homes, on, "left").select("doc_id", "source", "size", "source_size", "target", "key", placed.alias("copies"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:

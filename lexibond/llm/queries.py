@@ -76,8 +76,15 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return url_filter.judge(_table(spark, root, "pages"), URL_RULES)
 
 
+def pipeline(spark: SparkSession, root: str) -> DataFrame:
+    """corpus_pipeline.run, imported late: that module imports this one."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, root)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (pipeline, op1_suffix_dedup, op2_pii, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
 
 
 def llm_oracles() -> dict[str, str]:
