@@ -97,7 +97,7 @@ def word_piece(pieces: dict[str, int], longest: int = 100):
 
 def load_word_pieces(spark: SparkSession, path: str) -> dict[str, int]:
     """token -> id from a vocab file of one token a line (a tokenizer's file: tens of thousands of lines)."""
-    lines = spark.read.option("wholetext", True).text(path).first()[0].split("\n")
+    lines = spark.read.text(path, wholetext=True).first()[0].split("\n")
     return {token.rstrip("\r"): i for i, token in enumerate(lines) if token}
 
 
