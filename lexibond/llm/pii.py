@@ -10,8 +10,8 @@ token or password - letters and digits of the value (as hex, if it is hex). What
 Only DataFrame functions, no shuffle: one projection over the texts. Texts without a digit are passed through unread by
 the pattern, which is linear in the text: it is anchored by look-behinds and possessive, so that long runs don't backtrack.
 
-A null text stays null, an empty one empty; every row gives one row; other columns pass through, but n_chars, if there,
-follows the new text. An empty table gives an empty one."""
+A null text stays null, an empty one empty; every row gives one row; other columns pass through, but n_pii is replaced and
+n_chars, if there, follows the new text (names that begin with __pii_ are the operator's own). An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -174,14 +174,14 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text and n_pii, the number of values replaced."""
-    held = docs.withColumn("_has", F.col("text").rlike("[0-9]"))
-    found = held.withColumn("_found", F.when(F.col("_has"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    new = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
+    held = docs.withColumn("__pii_has", F.col("text").rlike("[0-9]"))
+    found = held.withColumn("__pii_found", F.when(F.col("__pii_has"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    new = found.withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", lambda m: pseudonym(m, key))))
     gaps = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    text = F.when(F.col("_new").isNotNull() & (F.size("_found") > 0), joined).otherwise(F.col("text"))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    out = new.withColumns({"text": text, "n_pii": F.when(F.size("_found") > 0, changed).otherwise(0).cast("long")})
+    joined = F.array_join(F.zip_with(gaps, "__pii_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    text = F.when(F.col("__pii_new").isNotNull() & (F.size("__pii_found") > 0), joined).otherwise(F.col("text"))
+    changed = F.size(F.filter(F.zip_with("__pii_found", "__pii_new", lambda a, b: a != b), lambda x: x))
+    out = new.withColumns({"text": text, "n_pii": F.when(F.size("__pii_found") > 0, changed).otherwise(0).cast("long")})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_has", "_found", "_new")
+    return out.drop("__pii_has", "__pii_found", "__pii_new")
