@@ -6,6 +6,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+SCORES = ("log_likelihood", "max_segmentation_log_likelihood_sum", "pmi_score")
+
+
+def token_field(i: int) -> str:
+    return f"token_{i}"
+
+
+def wide_schema(n: int, scores: tuple[str, ...] = ()) -> StructType:
+    """The columns of one size's table: token_0.., count and some of SCORES. An unknown score raises."""
+    if unknown := set(scores) - set(SCORES):
+        raise ValueError(f"no column is named {sorted(unknown)}")
+    tokens = [StructField(token_field(i), LongType(), False) for i in range(n)]
+    return StructType([*tokens, StructField("count", LongType(), False), *[StructField(c, DoubleType()) for c in scores]])
 
 
 def windows(tokens: Column, n: int) -> Column:
@@ -71,4 +86,4 @@ def table_sizes(counts: DataFrame) -> DataFrame:
 def wide(counts: DataFrame, n: int) -> DataFrame:
     """The n-grams of one size with a column for each token: token_0 .. token_{n-1}."""
     rest = [c for c in counts.columns if c not in ("n", "ngram")]
-    return counts.where(F.col("n") == n).select(*[F.col("ngram")[i].alias(f"token_{i}") for i in range(n)], *rest)
+    return counts.where(F.col("n") == n).select(*[F.col("ngram")[i].alias(token_field(i)) for i in range(n)], *rest)

@@ -53,6 +53,29 @@ def max_segmentation(scored: DataFrame, max_size: int) -> DataFrame:
     return scored.where(F.col("n") >= 2).join(segmented, ["n", "ngram"], "left")
 
 
+def part_condition(main: str, part: str, k: int, start: int) -> Column:
+    """Equality of the k tokens of `main` from `start` (from 0) with the n-gram of `part`; both are table aliases."""
+    return F.slice(F.col(f"{main}.ngram"), start + 1, k) == F.col(f"{part}.ngram")
+
+
+def max_segmentation_by_splits(scored: DataFrame, max_size: int) -> DataFrame:
+    """The same values size after size, with two equi-joins for each cut: shorter sizes must be done before longer ones.
+
+    For tables in which only few n-grams are long; max_segmentation needs one join for all sizes."""
+    best = {1: scored.where(F.col("n") == 1).select("ngram", F.col("log_likelihood").alias("best"))}
+    done = None
+    for n in range(2, max_size + 1):
+        own = scored.where(F.col("n") == n).withColumn("max_segmentation_log_likelihood_sum", F.lit(None).cast("double"))
+        for cut in range(1, n):
+            left, right = best[cut].alias("l"), best[n - cut].alias("r")
+            met = own.alias("m").join(left, part_condition("m", "l", cut, 0), "left").join(right, part_condition("m", "r", n - cut, cut), "left")
+            both = F.col("l.best") + F.col("r.best")
+            own = met.select(*[F.col(f"m.{c}") for c in scored.columns], F.greatest(F.col("m.max_segmentation_log_likelihood_sum"), both).alias("max_segmentation_log_likelihood_sum"))
+        best[n] = own.select("ngram", F.greatest("log_likelihood", "max_segmentation_log_likelihood_sum").alias("best"))
+        done = own if done is None else done.unionByName(own)
+    return done
+
+
 def segmentations(n: int) -> list[list[tuple[int, int]]]:
     """All ways to cut n tokens into two or more parts, as (start, length) lists."""
     if n < 2:

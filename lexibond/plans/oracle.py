@@ -119,6 +119,7 @@ def all_oracles() -> dict[str, str]:
         "batch_pruned_counts_2": f"{tok}, b AS (SELECT token_0, token_1, count(*) AS c FROM ({_grams(2, f'sample_id // {BATCH} AS batch_id,')}) GROUP BY batch_id, token_0, token_1 HAVING count(*) >= 2) SELECT token_0, token_1, CAST(sum(c) AS BIGINT) AS count FROM b GROUP BY 1, 2 HAVING sum(c) >= {MIN_COUNT}",
         "merged_counts_2": f"WITH tok AS ({_toks()} UNION ALL {_toks('conversations', 'conv_id * 1000 + turn')}) {_counts(2, MIN_COUNT)}",
         "max_segmentation_bruteforce_3": f"{_chain(3)} SELECT token_0, token_1, token_2, round(mx, 6) AS max_segmentation_log_likelihood_sum FROM s3",
+        "max_segmentation_by_splits_4": f"{_chain(4)} SELECT {_cols(4)}, round(mx, 6) AS max_segmentation_log_likelihood_sum FROM s4",
         "segmentations_3": f"{tok}, c AS ({_counts(3, 20)}) SELECT token_0 || ' ' || token_1 || ' ' || token_2 AS ngram_text, unnest([token_0 || ' / ' || token_1 || ' ' || token_2, token_0 || ' ' || token_1 || ' / ' || token_2, token_0 || ' / ' || token_1 || ' / ' || token_2]) AS segmentation FROM c",
         "vocab_topk_2": f"{_chain(2)} SELECT rank, token_0, token_1, pmi_score FROM ({_ranked(2, 500)})",
         "vocab_all_sizes": f"{_chain(5)} " + " UNION ALL ".join(f"SELECT n, rank, ngram_text, pmi_score FROM ({_ranked(n, quotas[n])})" for n in quotas),

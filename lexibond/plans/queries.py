@@ -117,6 +117,13 @@ def max_segmentation(spark, root, n):
     return df.select(*[f"token_{i}" for i in range(n)], _six("max_segmentation_log_likelihood_sum"))
 
 
+def max_segmentation_by_splits_4(spark, root):
+    tokens = _tokens(spark, root)
+    ll = S.with_log_likelihood(G.count_ngrams(tokens, [1, 2, 3, 4], MIN_COUNT), G.totals(tokens, 4))
+    df = _wide(S.max_segmentation_by_splits(ll, 4), 4)
+    return df.select(*[f"token_{i}" for i in range(4)], _six("max_segmentation_log_likelihood_sum"))
+
+
 def max_segmentation_bruteforce_3(spark, root):
     tokens = _tokens(spark, root)
     ll = S.with_log_likelihood(G.count_ngrams(tokens, [1, 2, 3], MIN_COUNT), G.totals(tokens, 3))
@@ -268,7 +275,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (corpus_union, first_n_samples, word_tokens, token_vocab, encoded_ids, decoded_ids, total_ngrams_per_size, ngram_table_sizes, batch_counts_2, batch_pruned_counts_2, merged_counts_2, max_segmentation_bruteforce_3, segmentations_3, vocab_topk_2, vocab_all_sizes, vocab_decoded, vocab_compare, event_sequence_pmi, log_parsed, log_values, log_pairing, log_step_times, log_report, log_experiment, resource_estimate, human_units, extrapolation)}
+    out: dict[str, Query] = {f.__name__: f for f in (corpus_union, first_n_samples, word_tokens, token_vocab, encoded_ids, decoded_ids, total_ngrams_per_size, ngram_table_sizes, batch_counts_2, batch_pruned_counts_2, merged_counts_2, max_segmentation_by_splits_4, max_segmentation_bruteforce_3, segmentations_3, vocab_topk_2, vocab_all_sizes, vocab_decoded, vocab_compare, event_sequence_pmi, log_parsed, log_values, log_pairing, log_step_times, log_report, log_experiment, resource_estimate, human_units, extrapolation)}
     out |= {f"ngram_counts_{n}": partial(ngram_counts, n=n) for n in range(1, 6)}
     out |= {f"log_likelihood_{n}": partial(log_likelihood, n=n) for n in range(1, 6)}
     out |= {f"max_segmentation_{n}": partial(max_segmentation, n=n) for n in range(2, 6)}

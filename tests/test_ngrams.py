@@ -106,6 +106,8 @@ def test_recursion_equals_brute_force(spark):
     t = table(spark, [[1, 1, 1, 2, 3, 1, 0, 0, 1], [1, 2, 1, 3, 3, 0], [1, 2, 2, 3, 1, 0, 0, 1]])
     ll = S.with_log_likelihood(G.count_ngrams(t, [1, 2, 3, 4, 5]), G.totals(t, 5)).cache()
     fast = as_dict(S.max_segmentation(ll, 5), "max_segmentation_log_likelihood_sum")
+    splits = as_dict(S.max_segmentation_by_splits(ll, 4), "max_segmentation_log_likelihood_sum")
+    assert splits and all(fast[k] == pytest.approx(v) for k, v in splits.items())
     for n in range(2, 6):
         slow = as_dict(S.max_segmentation_by_force(ll, n), "max_segmentation_log_likelihood_sum")
         assert slow
@@ -155,3 +157,9 @@ def test_compare_counts_repeats(spark):
     assert (r["common"], r["first_share"], r["second_share"]) == (1, 0.25, 0.5)
     none = V.compare_vocabularies(a, b.limit(0)).first()
     assert none["second_share"] is None and none["first_share"] == 0.0
+
+
+def test_wide_schema():
+    assert [f.name for f in G.wide_schema(2, ("pmi_score",))] == ["token_0", "token_1", "count", "pmi_score"]
+    with pytest.raises(ValueError):
+        G.wide_schema(2, ("x",))

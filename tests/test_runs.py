@@ -92,6 +92,21 @@ def test_run_writes_a_vocabulary(spark, corpus_root, tmp_path):
     assert totals[1] > totals[2] > totals[3]
 
 
+def test_logged_run_can_be_reported(spark, corpus_root, tmp_path, capsys):
+    from lexibond.plans.logged import run_logged
+    from lexibond.report import print_estimate, print_report
+
+    config = MiningConfig("logged", "documents", max_ngram_size=3, min_count_threshold=2, vocab_size=10, percents=(60.0, 40.0))
+    got = run_logged(spark, config, corpus_root, str(tmp_path), str(tmp_path / "run.log"))
+    want = run(spark, config, corpus_root).vocabulary
+    assert sorted(r["ngram_text"] for r in got.collect()) == sorted(r["ngram_text"] for r in want.collect())
+    facts = L.run_facts(L.last_run(L.parse_log(sources.read_log_lines(spark, str(tmp_path / "run.log"))), "logged")).first()
+    assert facts["complete"] and facts["n_tokens"] == 150
+    print_report(spark, str(tmp_path / "run.log"), "logged")
+    print_estimate(spark, str(tmp_path / "run.log"), "logged", 10**9, 4)
+    assert "| documents | 150 |" in capsys.readouterr().out
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     from lexibond.operators.ngrams import count_ngrams
     from lexibond.streaming import read_sample_stream, stream_counts
