@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexibond.llm import bpe_codec, chat_format, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_counts, topk, url_filter
+from lexibond.llm.oracles import llm_oracles as llm_oracles
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -85,7 +86,3 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (pipeline, op1_suffix_dedup, op2_pii, op3_quality_rules, op4_mixing, op5_jaccard_join, op6_token_counts, op7_bpe_codec, op8_exact_topk, op9_chat_format, op10_url_filter)}
-
-
-def llm_oracles() -> dict[str, str]:
-    return {}
