@@ -16,9 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The verdict rides on the row, so texts aren't shuffled or joined."""
-    judged = quality_rules.judge(docs, keep=["doc_id", "text", "lang", "source", "n_chars"])
-    return judged.where("kept").select(*COLUMNS)
+    """Documents that the quality rules keep; rows of equal id and text have one verdict for each language and source."""
+    own = [F.coalesce(F.col(c), F.lit("\x00")) for c in ("lang", "source")]
+    keyed = docs.withColumn("_key", F.xxhash64(mixing.document_key(), *own))
+    kept = quality_rules.judge(keyed, keep=["_key"]).where("kept").select("_key").distinct()
+    return keyed.join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

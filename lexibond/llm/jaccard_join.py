@@ -101,7 +101,8 @@ def node_of(s: np.ndarray) -> int:
     return int((h[0] ^ (h[1] << np.uint64(1))).astype(np.int64))
 
 
-ROWS = "key long, node long, n long, doc long"
+ROWS = "key long, node long, n long, doc long, hash long"
+_NAMES = ["key", "node", "n", "doc", "hash"]
 
 
 def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -124,15 +125,15 @@ def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                     own = sketch_keys(s, bands)
                     keys.append(own)
                     owners.append(np.full(len(own), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(np.arange(len(ids), dtype=np.uint64)).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["key", "node", "n", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(np.arange(len(ids), dtype=np.uint64)).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), rows.column(2)], names=_NAMES)
             if keys:
                 flat = np.concatenate(keys).view(np.int64)
                 for at in range(0, len(flat), 200_000):
                     part, own = flat[at : at + 200_000], np.concatenate(owners)[at : at + 200_000]
                     none = pa.nulls(len(part), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own), none, none], names=["key", "node", "n", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own), none, none, none], names=_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, ROWS)
 
 
 def _shared(spread: DataFrame) -> DataFrame:
@@ -167,21 +168,22 @@ def _shared(spread: DataFrame) -> DataFrame:
             if wide.any():
                 k2, n2 = key[wide], node[wide]
                 none = pa.nulls(len(k2), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k2), pa.array(n2), none, none], names=["key", "node", "n", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(k2), pa.array(n2), none, none, none], names=_NAMES)
 
     return spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ROWS)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, bytes of its sorted set, from one document of each wanted node (wanted: doc_id, node)."""
+    """node, bytes of its sorted set, from one document of each wanted node (wanted: one = (doc, hash of the text), node)."""
 
     def run(batches):
         for rows in batches:
             sets = [shingle_set((t or "").encode(), k).tobytes() for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
 
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
-    return one.mapInArrow(run, "node long, members binary")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
+    one = named.join(wanted, (F.col("th") == F.col("one.hash")) & F.col("id").eqNullSafe(F.col("one.doc"))).select("node", "text")
+    return one.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])  # rows may be repeated
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -213,21 +215,26 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     small_batches(spark, 128)
     found = Table(_shared(_spread(docs, k, Bands(num, den))), "jaccard")
     free_shuffles(spark)
-    people = found.df.where(F.col("n").isNotNull()).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    known = found.df.where(F.col("n").isNotNull())
+    people = known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     shared = found.df.where(F.col("n").isNull()).select("key", "node")
     nodes = shared.select("node").distinct()
-    wanted = people.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
-    sets = Table(_sets(docs, wanted, k).dropDuplicates(["node"]), "jaccard-sets")
+    wanted = known.groupBy("node").agg(F.min(F.struct("doc", "hash")).alias("one")).join(nodes, "node", "left_semi")
+    sets = Table(_sets(docs, wanted, k), "jaccard-sets")
     free_shuffles(spark)
     tried = Table(_stars(shared), "jaccard-pairs")
     links = Table(_verify(tried.df, sets.df, num, den), "jaccard-links")
     all_tried, all_links, left = [tried], [links], shared
     labels = components(links.df)
+    spent = [found, sets, tried, links, labels]
     for turn in range(STARS):
         # Parts that still hold nodes of different components.
         named = left.join(labels.df, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
         rest = Table(named.join(split, "key", "left_semi"), "jaccard-rest")
+        spent.append(rest)
+        if rest.df.isEmpty():
+            break
         if turn < STARS - 1:
             more = _stars(rest.df.select("key", "node"))
         else:
@@ -237,6 +244,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
             more = more.join(t.df, ["a", "b"], "left_anti")
         tried = Table(more, "jaccard-pairs")
         links = Table(_verify(tried.df, sets.df, num, den), "jaccard-links")
+        spent += [tried, links]
         all_tried.append(tried)
         fresh = not links.df.isEmpty()
         all_links.append(links)
@@ -246,8 +254,12 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
             for more_links in all_links[1:]:
                 every = every.unionByName(more_links.df)
             labels = components(every)
-    sets.drop()
+            spent.append(labels)
     named = people.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.where(F.col("n_shingles") > 0).groupBy("label").agg(F.min("doc_id").alias("low"))
     out = named.join(lowest, "label", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    done = Table(out, "jaccard-components")
+    for table in spent:
+        table.drop()
+    return done.df
