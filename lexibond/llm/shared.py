@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -39,10 +41,10 @@ class Table:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that are no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:

@@ -8,8 +8,9 @@ of a group begin a repeated string. The sort goes by most significant digits, an
    for a run of suffixes around an anchor. Records of an anchor hash that occurs once are decided: not repeated.
 2. The second digit is the hash of all bytes that the run's strings cover. Records that agree in it are repeated whole,
    but for the first. Where an anchor hash has several such classes, the first of each goes on.
-3. The last digits are the strings of the remaining runs themselves, one by one, by a 128-bit hash: all but the first of
-   equal strings are repeated.
+3. What remains is divided into runs of BLOCK neighbouring suffixes and sorted by the bytes that all strings of such a
+   run share, then by the bytes that they cover, in the same way.
+4. The last digit is the string itself: all but the first of equal strings are repeated.
 
 Hashes stand for bytes (128 bits decide). Before each shuffle a task decides what it can: of equal records or strings in a
 batch only the first is sent. An anchor hash with many classes in one batch is hot: its records are dealt by class instead
@@ -32,6 +33,7 @@ from lexibond.llm.shared import Table, free_shuffles, mix64, small_batches
 WIDTH = 100
 GRAM = 32
 CHUNK = 1 << 18  # suffixes of a text that are handled at once
+BLOCK = 8  # neighbouring suffixes of the third digit
 HOT = 32  # classes of one anchor hash in a batch
 LAST_ID = (1 << 63) - 1  # stands for a null id
 
@@ -125,10 +127,36 @@ def _firsts(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _removed(doc: np.ndarray, place: np.ndarray, width: int) -> pa.RecordBatch:
-    """Records that are repeated whole, as rows of kind 3: digit is the first byte, place the end << 16 | tag."""
+    """Records that are repeated whole, as rows of kind 3: digit is the first byte, place the end << 16 | tag.
+
+    Overlapping removals of a text become one row."""
     start, tag = place >> 30, (place >> 14) & 0xFFFF
     a, b = start - ((place >> 7) & 127), start - (place & 127) + width
-    return _rows(mix64(doc.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64)), a, doc, b << 16 | tag, 3)
+    order = np.lexsort((a, tag, doc))
+    doc, tag, a, b = doc[order], tag[order], a[order], b[order]
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    text = np.cumsum(other) << 40  # texts apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(text + b)
+    new = np.flatnonzero(np.concatenate([[True], text[1:] + a[1:] > reach[:-1]]))
+    end = (reach - text)[np.concatenate([new[1:], [len(a)]]) - 1]
+    doc, tag, a = doc[new], tag[new], a[new]
+    return _rows(mix64(doc.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64)), a, doc, end << 16 | tag, 3)
+
+
+def _send(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, width: int):
+    """What a task sends of a batch: removals that it can decide, the first of each class, and marks of hot keys."""
+    order, first = _firsts([key, digit, doc, place])
+    key, digit, doc, place = key[order], digit[order], doc[order], place[order]
+    if (~first).any():
+        yield _removed(doc[~first], place[~first], width)
+    key, digit, doc, place = key[first], digit[first], doc[first], place[first]
+    _, at, count = np.unique(key, return_index=True, return_counts=True)
+    hot = np.repeat(count >= HOT, count)
+    yield _rows(np.where(hot, mix64(key ^ mix64(digit)), key), digit, doc, place, hot.astype(np.int32))
+    marks = key[at[count >= HOT]]
+    if len(marks):
+        twice, zero = np.repeat(marks, 2), np.zeros(2 * len(marks), np.int64)
+        yield _rows(twice, np.tile(np.array([-1, -2]), len(marks)), zero, zero, 2)
 
 
 def _records(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -142,18 +170,7 @@ def _records(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 got.append((h, u, np.full(len(h), doc, np.int64), p << 30 | tag << 14 | (p - begin) << 7 | (p - last)))
             if not got:
                 continue
-            h, u, doc, place = (np.concatenate(c) for c in zip(*got, strict=True))
-            order, first = _firsts([h, u, doc, place])
-            h, u, doc, place = h[order], u[order], doc[order], place[order]
-            yield _removed(doc[~first], place[~first], width)
-            h, u, doc, place = h[first], u[first], doc[first], place[first]
-            _, at, count = np.unique(h, return_index=True, return_counts=True)
-            hot = np.repeat(count >= HOT, count)
-            yield _rows(np.where(hot, mix64(h ^ mix64(u)), h), u, doc, place, hot.astype(np.int32))
-            marks = h[at[count >= HOT]]
-            if len(marks):
-                twice, zero = np.repeat(marks, 2), np.zeros(2 * len(marks), np.int64)
-                yield _rows(twice, np.tile(np.array([-1, -2]), len(marks)), zero, zero, 2)
+            yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -206,8 +223,9 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "digit", "doc", "place").mapInArrow(run, ROWS)
 
 
-def _strings(docs: DataFrame, open_runs: DataFrame, width: int) -> DataFrame:
-    """The strings of the runs that are still open: two hashes as key and digit; equal ones of a batch are decided."""
+def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) -> DataFrame:
+    """The runs that are still open, divided at multiples of `block` before the anchor. The key is the hash of the bytes
+    that all strings of a whole block share, the digit that of the bytes that the strings at hand cover."""
     wanted = open_runs.withColumn("tag", F.shiftright("place", 14).bitwiseAND(0xFFFF)).groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
     mine = docs.select("doc", "tag", "bytes").join(wanted, ["doc", "tag"]).select("doc", "tag", "bytes", "places")
 
@@ -215,50 +233,25 @@ def _strings(docs: DataFrame, open_runs: DataFrame, width: int) -> DataFrame:
         for rows in batches:
             got = []
             for doc, tag, text, places in zip(*[rows.column(i).to_pylist() for i in range(4)], strict=True):
-                place = np.unique(np.array(places, np.int64))
-                lo, hi = (place >> 30) - ((place >> 7) & 127), (place >> 30) - (place & 127)
-                n = hi - lo + 1
-                start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                data = np.frombuffer(text, np.uint8)
-                for at in range(0, len(start), CHUNK):
-                    own = start[at : at + CHUNK]
-                    low, top = int(own.min()), int(own.max()) + width
-                    hashes = [Spans(data[low:top], w).of(own - low, own - low + width) for w in (0, 1)]
-                    got.append((*hashes, np.full(len(own), doc, np.int64), own << 30 | tag << 14))
+                place, data = np.unique(np.array(places, np.int64)), np.frombuffer(text, np.uint8)
+                for at in range(0, len(place), CHUNK // 64):
+                    own = place[at : at + CHUNK // 64]
+                    p, far, near = own >> 30, (own >> 7) & 127, own & 127
+                    n = far // block - near // block + 1
+                    which = np.repeat(np.arange(len(own)), n)
+                    j = (near // block)[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    p, far, near = p[which], np.minimum(far[which], j * block + block - 1), np.maximum(near[which], j * block)
+                    low, top = int((p - far).min()), int((p - near).max()) + width
+                    spans, more, q = Spans(data[low:top]), Spans(data[low:top], 1), p - low
+                    key = mix64(spans.of(q - j * block, q - (j * block + block - 1) + width) + j.astype(np.uint64) * np.uint64(257))
+                    digit = mix64(more.of(q - far, q - near + width) + (far * 128 + near).astype(np.uint64))
+                    got.append((key, digit, np.full(len(p), doc, np.int64), p << 30 | tag << 14 | far << 7 | near))
             if got:
-                k, d, doc, place = (np.concatenate(c) for c in zip(*got, strict=True))
-                order, first = _firsts([k, d, doc, place])
-                k, d, doc, place = k[order], d[order], doc[order], place[order]
-                if (~first).any():
-                    yield _removed(doc[~first], place[~first], width)
-                yield _rows(k[first], d[first], doc[first], place[first], 0)
+                yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
 
     return mine.mapInArrow(run, ROWS)
 
 
-def _repeats(rows: DataFrame, width: int) -> DataFrame:
-    """Of equal strings all but the first are removed. Only the last class is held."""
-
-    def run(batches):
-        last = None
-        for batch in batches:
-            key, digit, doc, place = (batch.column(i).to_numpy() for i in range(4))
-            kind = batch.column(4).to_numpy()
-            passing = kind == 3
-            if passing.any():
-                yield _rows(key[passing], digit[passing], doc[passing], place[passing], 3)
-                key, digit, doc, place = (c[~passing] for c in (key, digit, doc, place))
-            if not len(key):
-                continue
-            head = last is not None and last == (key[0], digit[0])
-            again = np.concatenate([[head], (key[1:] == key[:-1]) & (digit[1:] == digit[:-1])])
-            last = (key[-1], digit[-1])
-            if again.any():
-                yield _removed(doc[again], place[again], width)
-
-    return rows.repartition("key").sortWithinPartitions("key", "digit", "doc", "place").mapInArrow(run, ROWS)
-
-
 def _cut(docs: DataFrame, removals: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (bytes that are left) and spans (the removed runs)."""
     tagged = removals.select("doc", F.col("place").bitwiseAND(0xFFFF).alias("tag"), F.struct(F.col("digit").alias("a"), F.shiftright("place", 16).alias("b")).alias("x"))
@@ -291,9 +284,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     small_batches(spark, 512)
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"), F.encode(text, "UTF-8").alias("bytes"))
-    first = Table(_classes(_records(slim.select("doc", "tag", "bytes"), width, gram), width).select("digit", "doc", "place", "kind"), "suffix-classes")
-    free_shuffles(spark)
-    decided, still = first.df.where(F.col("kind") == 3), first.df.where(F.col("kind") == 0)
-    second = Table(_repeats(_strings(slim, still, width), width).select("digit", "doc", "place", "kind"), "suffix-strings")
-    free_shuffles(spark)
-    return _cut(slim, decided.unionByName(second.df))
+    source = slim.select("doc", "tag", "bytes")
+    passes = []
+    rows = _records(source, width, gram)
+    for block in (BLOCK, 1, None):
+        passes.append(Table(_classes(rows, width).select("digit", "doc", "place", "kind"), "suffix-pass"))
+        rows = None if block is None else _narrower(source, passes[-1].df.where(F.col("kind") == 0), width, block)
+        free_shuffles(spark)
+    decided = passes[0].df.unionByName(passes[1].df).unionByName(passes[2].df).where(F.col("kind") == 3)
+    return _cut(slim, decided)

@@ -151,7 +151,7 @@ def test_removal_of_passages(spark):
     assert removal(df, width=50, gram=16) == brute_removal(docs, 50)
 
 
-def test_hot_anchors(spark, monkeypatch):
+def test_hot_anchors(spark):
     """One passage with another continuation in each document, so that its anchors have many classes."""
     r = random.Random(4)
     noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
