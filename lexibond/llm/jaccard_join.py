@@ -9,9 +9,10 @@ sets. Empty parts aren't joined: there are enough parts that a set has more than
 doesn't goes to a part of its own for such sets, so that none is lost. Candidates are verified on the sets themselves.
 
 Sets that are equal are one node from the start (local copies are dropped before the shuffle), so copies never meet as
-pairs. Within a part, nodes are compared with the part's centre, the node of most shared parts; linked nodes become one
-component, and only nodes of different components that still share a part are compared with each other, all of them. So
-every link between different components is found, and the components are exact.
+pairs. Nodes that share a part, directly or over others, are a cluster; all links are inside clusters. A cluster is dealt
+in blocks of about BLOCK nodes, and every two blocks meet in a task of their own: there bit sketches are compared by their
+Hamming distance, and what they leave is verified on the sets, nearest pairs first, unless the two nodes are linked over
+others already. A task gives a spanning forest of its links, so pairs are never rows, and the components are exact.
 
 Nulls and texts without words have the empty set and are linked with nothing. Every row gives one row; rows of one id are
 linked only through their sets. A null id is its own component unless its set is shared. Ties don't matter, other columns
@@ -31,7 +32,8 @@ from lexibond.llm.shared import Table, free_shuffles, mix64, shingle_set, small_
 
 BITS = 1 << 16  # bits of a sketch's part
 LONGEST = 1 << 40
-STARS = 2  # rounds of comparing with centres before all that is left is compared
+BLOCK = 256  # nodes of a block
+WORDS = 64  # 64-bit words of the sketches that a task compares
 REMEMBERED = 500_000  # nodes a task remembers to drop local copies
 
 
@@ -186,27 +188,82 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return one.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])  # rows may be repeated
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those that are similar."""
+def parity_sketch(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64 * words bits; every member flips one."""
+    h = mix64(s ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    bit = (h % np.uint64(64 * words)).astype(np.int64)
+    odd = np.flatnonzero(np.bincount(bit, minlength=64 * words) & 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
+    return out
+
+
+def forest(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the left nodes and the others, or among all if all are left."""
+    size = np.array([len(s) for s in sets], np.int64)
+    sketch = np.stack([parity_sketch(s) for s in sets])
+    a_side = np.flatnonzero(left)
+    b_side = a_side if left.all() else np.flatnonzero(~left)
+    near = []
+    for i in a_side:
+        other = b_side[b_side > i] if left.all() else b_side
+        low, high = np.minimum(size[i], size[other]), np.maximum(size[i], size[other])
+        other = other[low * den >= high * num]
+        distance = np.bitwise_count(sketch[i] ^ sketch[other]).sum(axis=1, dtype=np.int64)
+        ok = distance * (den + num) <= (size[i] + size[other]) * (den - num)
+        near += [(int(d), int(i), int(j)) for d, j in zip(distance[ok], other[ok], strict=True)]
+    parent = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for _, i, j in sorted(near):
+        x, y = root(i), root(j)
+        if x != y and similar(sets[i], sets[j], num, den):
+            parent[x] = y
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """clusters: node, label -> links (a, b) that connect what is linked, from tasks of two blocks each."""
+    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = clusters.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    met = dealt.select("node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    lo, hi = F.least("block", "with"), F.greatest("block", "with")
+    tasks = met.select("node", F.xxhash64("label", lo, hi).alias("task"), (F.col("block") == lo).alias("first"))
+    rows = tasks.join(sets, "node").repartition("task").sortWithinPartitions("task", "node").select("task", "node", "first", "members")
 
     def run(batches):
-        for rows in batches:
-            a, b, x, y = (rows.column(i) for i in range(4))
-            ok = [similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), num, den) for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True)]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+        task, held = None, []
+        for batch in batches:
+            for t, node, first, members in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if t != task:
+                    yield from _one(held, num, den)
+                    task, held = t, []
+                held.append((node, first, members))
+        yield from _one(held, num, den)
+
+    return rows.mapInArrow(run, "a long, b long")
+
 
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _one(held: list, num: int, den: int):
+    if len(held) > 1:
+        nodes, first, members = zip(*held, strict=True)
+        found = forest(list(nodes), [np.frombuffer(m, np.uint64) for m in members], np.array(first), num, den)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    """Each part's nodes with its centre, the node that shares most parts: a (the smaller), b."""
-    share = shared.groupBy("node").agg(F.count(F.lit(1)).alias("parts"))
-    centre = shared.join(share, "node").groupBy("key").agg(F.max(F.struct("parts", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
-    pairs = shared.join(centre, "key").where(F.col("node") != F.col("centre"))
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    """Which nodes share parts, as pairs (a, b) of each part's nodes with its smallest."""
+    centre = shared.groupBy("key").agg(F.min("node").alias("a"))
+    return shared.join(centre, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -222,44 +279,14 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     wanted = known.groupBy("node").agg(F.min(F.struct("doc", "hash")).alias("one")).join(nodes, "node", "left_semi")
     sets = Table(_sets(docs, wanted, k), "jaccard-sets")
     free_shuffles(spark)
-    tried = Table(_stars(shared), "jaccard-pairs")
-    links = Table(_verify(tried.df, sets.df, num, den), "jaccard-links")
-    all_tried, all_links, left = [tried], [links], shared
+    clusters = components(_stars(shared))
+    links = Table(_links(clusters.df, sets.df, num, den), "jaccard-links")
     labels = components(links.df)
-    spent = [found, sets, tried, links, labels]
-    for turn in range(STARS):
-        # Parts that still hold nodes of different components.
-        named = left.join(labels.df, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-        rest = Table(named.join(split, "key", "left_semi"), "jaccard-rest")
-        spent.append(rest)
-        if rest.df.isEmpty():
-            break
-        if turn < STARS - 1:
-            more = _stars(rest.df.select("key", "node"))
-        else:
-            x, y = rest.df.select("key", F.col("node").alias("a"), F.col("label").alias("la")), rest.df.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            more = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-        for t in all_tried:
-            more = more.join(t.df, ["a", "b"], "left_anti")
-        tried = Table(more, "jaccard-pairs")
-        links = Table(_verify(tried.df, sets.df, num, den), "jaccard-links")
-        spent += [tried, links]
-        all_tried.append(tried)
-        fresh = not links.df.isEmpty()
-        all_links.append(links)
-        left = rest.df.select("key", "node")
-        if fresh:
-            every = all_links[0].df
-            for more_links in all_links[1:]:
-                every = every.unionByName(more_links.df)
-            labels = components(every)
-            spent.append(labels)
     named = people.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.where(F.col("n_shingles") > 0).groupBy("label").agg(F.min("doc_id").alias("low"))
     out = named.join(lowest, "label", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
     done = Table(out, "jaccard-components")
-    for table in spent:
+    for table in (found, sets, clusters, links, labels):
         table.drop()
     return done.df
