@@ -69,32 +69,46 @@ def encode(tokenised: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return packed.select("sample_id", F.col("seq.token_id").alias("input_ids"))
 
 
-def word_piece(pieces: dict[str, int], longest: int = 100):
-    """An Arrow UDF that cuts words into the longest known pieces, left to right; `pieces` is a user's vocab file."""
-    unknown = pieces.get("[UNK]", 0)
+def split_pieces(word: str, pieces: dict[str, int], longest: int = 100) -> list[str]:
+    """The longest known pieces from left to right; [UNK] for a word that can't be covered."""
+    out, start = [], 0
+    while start < len(word) <= longest:
+        for end in range(len(word), start, -1):
+            piece = ("##" if start else "") + word[start:end]
+            if piece in pieces:
+                out.append(piece)
+                start = end
+                break
+        else:
+            return [SPECIALS[0]]
+    return out if len(word) <= longest else [SPECIALS[0]]
+
+
+def word_piece(pieces: dict[str, int]):
+    """An Arrow UDF from words to the ids of their pieces; `pieces` is a user's vocabulary file."""
+    unknown = pieces.get(SPECIALS[0], 0)
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def cut(tokens: pd.Series) -> pd.Series:
-        def one(word):
-            if len(word) > longest:
-                return [unknown]
-            out, start = [], 0
-            while start < len(word):
-                for end in range(len(word), start, -1):
-                    piece = ("##" if start else "") + word[start:end]
-                    if piece in pieces:
-                        out.append(pieces[piece])
-                        start = end
-                        break
-                else:
-                    return [unknown]
-            return out
-
-        return tokens.map(lambda ws: [i for w in ws for i in one(w)])
+        return tokens.map(lambda ws: [pieces.get(p, unknown) for w in ws for p in split_pieces(w, pieces)])
 
     return cut
 
 
+def word_piece_spec(pieces: dict[str, int]) -> TokenizerSpec:
+    """A tokenizer of word pieces as strings; continued pieces begin with ## and are joined again by decoding."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ws: [p for w in ws for p in split_pieces(w, pieces)])
+
+    def run(corpus: DataFrame) -> DataFrame:
+        clean = corpus.select("sample_id", words(strip_accents(F.coalesce("text", F.lit("")))).alias("tokens"))
+        return clean.select("sample_id", cut("tokens").alias("tokens"))
+
+    return TokenizerSpec("word-piece", run)
+
+
 def load_word_pieces(spark: SparkSession, path: str) -> dict[str, int]:
     """token -> id from a vocab file of one token a line (a tokenizer's file: tens of thousands of lines)."""
     lines = spark.read.text(path, wholetext=True).first()[0].split("\n")

@@ -27,8 +27,8 @@ def select_vocabulary(scored: DataFrame, quotas: dict[int, int]) -> DataFrame:
 
 
 def decode(vocab: DataFrame, clean_up: bool = False) -> DataFrame:
-    """Adds ngram_text, tokens joined by a space; clean_up takes the space before punctuation away."""
-    text = F.array_join("ngram", " ")
+    """Adds ngram_text, tokens joined by a space and ## pieces to their words; clean_up joins punctuation to words too."""
+    text = F.regexp_replace(F.array_join("ngram", " "), r" ##(?=\S)", "")
     if clean_up:
         text = F.regexp_replace(text, r" ([.,!?])", "$1")
     return vocab.withColumn("ngram_text", text)

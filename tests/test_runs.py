@@ -67,6 +67,24 @@ def test_word_pieces(spark, tmp_path):
     assert df.select(cut("t")).first()[0] == [1, 2, 3, 0]
 
 
+def test_word_piece_run(spark, corpus_root):
+    pieces = {p: i for i, p in enumerate(["[UNK]", "the", "red", "fo", "##x", "hen", ",", "runs"])}
+    T.register_tokenizer(T.word_piece_spec(pieces))
+    config = MiningConfig("p", "documents", "word-piece", max_ngram_size=2, min_count_threshold=2, vocab_size=50, percents=(100.0,))
+    texts = {r["ngram_text"] for r in run(spark, config, corpus_root).vocabulary.collect()}
+    assert {"fox", "red fo", "the red"} <= texts
+
+
+def test_command_line_runs(spark, corpus_root, tmp_path):
+    from lexibond.__main__ import main
+
+    args = ["--experiment_name", "cli", "--dataset_name", "documents", "--root", corpus_root, "--out", str(tmp_path), "--max_ngram_size", "2", "--min_count_threshold", "2", "--vocab_size", "5", "--ngram_size_to_vocab_percent", "100"]
+    main(args)
+    assert sources.read_vocabulary(spark, f"{tmp_path}/cli/vocabulary").count() == 5
+    with pytest.raises(SystemExit):
+        main([*args, "--tokenizer_name", "word-piece"])
+
+
 def test_sources(spark, corpus_root):
     both = sources.load_corpus(spark, "documents+conversations", corpus_root)
     assert both.count() == 24
