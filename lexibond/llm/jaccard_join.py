@@ -280,13 +280,17 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sets = Table(_sets(docs, wanted, k), "jaccard-sets")
     free_shuffles(spark)
     clusters = components(_stars(shared))
+    free_shuffles(spark)
     links = Table(_links(clusters.df, sets.df, num, den), "jaccard-links")
+    sets.drop()
+    free_shuffles(spark)
     labels = components(links.df)
     named = people.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.where(F.col("n_shingles") > 0).groupBy("label").agg(F.min("doc_id").alias("low"))
     out = named.join(lowest, "label", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
     done = Table(out, "jaccard-components")
-    for table in (found, sets, clusters, links, labels):
+    for table in (found, clusters, links, labels):
         table.drop()
+    free_shuffles(spark)
     return done.df
