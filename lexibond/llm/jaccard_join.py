@@ -261,9 +261,13 @@ def _one(held: list, num: int, den: int):
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    """Which nodes share parts, as pairs (a, b) of each part's nodes with its smallest."""
+    """Which nodes share parts, as links (a, b) that connect them: each part's nodes with its smallest, and then each
+    node only with the smallest of those, which is linked with the others in its place."""
     centre = shared.groupBy("key").agg(F.min("node").alias("a"))
-    return shared.join(centre, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    pairs = shared.join(centre, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    low = pairs.groupBy("b").agg(F.min("a").alias("low"))
+    moved = pairs.join(low, "b").where(F.col("a") != F.col("low")).select(F.col("low").alias("a"), F.col("a").alias("b"))
+    return low.select(F.col("low").alias("a"), "b").unionByName(moved).distinct()
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
