@@ -7,8 +7,8 @@ digits; dates - the day within its 400-year cycle; IPv4 addresses - the 32 bits;
 e-mail addresses - letters and digits of the local part and of all domain labels but the last; secrets after words like
 token or password - letters and digits of the value (as hex, if it is hex). What doesn't validate stays as it is.
 
-Only DataFrame functions, no shuffle: one projection over the texts. Texts without a digit are passed through unread by
-the pattern, which is linear in the text: it is anchored by look-behinds and possessive, so that long runs don't backtrack.
+Only DataFrame functions, no shuffle: one projection over the texts. Texts that hold no digit, no @ and no named secret are
+passed through unread by the pattern, which is linear in the text: it is anchored by look-behinds and possessive, so that long runs don't backtrack.
 
 A null text stays null, an empty one empty; every row gives one row; other columns pass through, but n_pii is replaced and
 n_chars, if there, follows the new text (names that begin with __pii_ are the operator's own). An empty table gives an empty one."""
@@ -30,6 +30,7 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}+(?!\d)"
 ANY = "|".join((EMAIL, SECRET, IP, DATE, SSN, PHONE, CARD))
+MAY = f"[0-9@]|{SECRET}"  # every match of ANY has one of these
 
 
 def _bits(*parts: Column) -> Column:
@@ -174,7 +175,7 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text and n_pii, the number of values replaced."""
-    held = docs.withColumn("__pii_has", F.col("text").rlike("[0-9]"))
+    held = docs.withColumn("__pii_has", F.col("text").rlike(MAY))
     found = held.withColumn("__pii_found", F.when(F.col("__pii_has"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     new = found.withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", lambda m: pseudonym(m, key))))
     gaps = F.split("text", ANY, -1)

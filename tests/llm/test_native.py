@@ -94,6 +94,12 @@ def test_pseudonyms_keep_formats_and_link(spark):
     assert all(int(o) < 256 for o in re.search(r"\d+\.\d+\.\d+\.\d+", got[4]["text"])[0].split("."))
 
 
+def test_mail_in_texts_without_digits(spark):
+    texts = ["ask john.doe@example.com now", "ask john.doe@example.com now, 7 times", "no one @ all"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert "john.doe" not in got[0] and got[1] == got[0] + ", 7 times" and got[2] == texts[2]
+
+
 def test_permutations_are_one_to_one(spark):
     digits = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     new = digits.select(pii.permute_digits(F.col("d"), "k", F.lit("t")).alias("n"))
