@@ -2,7 +2,8 @@
 
 Matches of one pattern are validated by kind and replaced by a keyed Feistel permutation within their format, so that one
 value has one pseudonym in every document and different values have different ones:
-card numbers (Luhn) - the digits before the check digit are permuted and it is made anew; phone numbers - the national
+card numbers (Luhn), also beside other numbers: any window of 13 to 19 digits at the edges of digit groups - the digits
+before the check digit are permuted and it is made anew; phone numbers - the national
 digits; dates - the day within its 400-year cycle; IPv4 addresses - the 32 bits; social security numbers - their digits;
 e-mail addresses - letters and digits of the local part and of all domain labels but the last; secrets after words like
 token or password - letters and digits of the value (as hex, if it is hex). What doesn't validate stays as it is.
@@ -28,7 +29,10 @@ IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}+(?!\d)"
+# a group of digits that doesn't go on a run: another kind starts there and has signs that runs don't have
+OTHER = rf"{EMAIL}|{IP}|(?<![\d/-])\d{{2}}/\d{{2}}/\d{{4}}(?![\d/-])|(?=\d{{3}}(?:[ -]\d{{3}})?\.){PHONE}"
+CARD = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{OTHER})\d++)*+"  # a run of groups that may hold cards
+WITHIN = f"(?!^)(?:{DATE}|{SSN}|{PHONE})"  # beside the cards of a run; at its start they were looked for before
 ANY = "|".join((EMAIL, SECRET, IP, DATE, SSN, PHONE, CARD))
 MAY = f"[0-9@]|{SECRET}"  # every match of ANY has one of these
 
@@ -82,9 +86,57 @@ def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
     check = lambda d: F.concat(d, ((10 - luhn_sum(F.concat(d, F.lit("0"))) % 10) % 10).cast("string"))
-    new = _bound(body, lambda d: refill(m, check(d)))
-    valid = (luhn_sum(digits) % 10 == 0) & digits.rlike("[1-9]")
-    return F.when(valid, new).otherwise(m)
+    return _bound(body, lambda d: refill(m, check(d)))
+
+
+def _counted(m: Column, new: Column) -> Column:
+    """A struct of the new text of a match and how many values it replaces: one if they differ."""
+    return _bound(new, lambda d: F.struct(d.alias("text"), (d != m).cast("int").alias("n")))
+
+
+def _joined(text: Column, pattern: str, new: Column) -> Column:
+    """The text with the matches of the pattern replaced by those of new (structs of text and n), and the sum of n."""
+    parts = F.zip_with(F.split(text, pattern, -1), new, lambda g, x: F.concat(g, F.coalesce(x["text"], F.lit(""))))
+    return F.struct(F.array_join(parts, "").alias("text"), F.aggregate(new, F.lit(0), lambda a, x: a + x["n"]).alias("n"))
+
+
+def _windows(groups: Column, i: Column) -> Column:
+    """The best card that begins with group i, a struct of rank and last group, or null. Rank 0: one group; 1: groups of 4,
+    or 4, 6 and 4 or 5; 2: any others, more digits first."""
+    upto = F.sequence(i, F.least(i + 18, F.size(groups) - 1))
+    each = F.transform(upto, lambda j: F.struct(j.alias("j"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("w")))
+    sized = F.filter(F.transform(each, lambda x: F.struct(x["j"].alias("j"), x["w"].alias("w"), F.regexp_replace(x["w"], "[ -]", "").alias("d"))), lambda x: F.length(x["d"]).between(13, 19))
+    valid = F.filter(sized, lambda x: (luhn_sum(x["d"]) % 10 == 0) & x["d"].rlike("[1-9]"))
+    usual = lambda x: x["w"].rlike(r"^(?:\d{4}[ -]){3}\d{4}[ -]?$|^\d{4}[ -]\d{6}[ -]\d{4,5}[ -]?$")
+    rank = lambda x: F.when(x["j"] == i, 0).when(usual(x), 1).otherwise(2)
+    return F.array_min(F.transform(valid, lambda x: F.struct(rank(x).alias("rank"), (-x["j"]).alias("back"), x["j"].alias("j"))))
+
+
+def _run(m: Column, key: str) -> Column:
+    """The cards of a run of digit groups, from left to right: every Luhn-valid window of 13 to 19 digits at the edges of
+    groups that overlaps none of a better rank; then what else is between them."""
+
+    def marked(groups: Column, best: Column) -> Column:
+        def step(acc, i):
+            own = F.element_at(best, i + 1)
+            better = F.exists(F.slice(best, i + 2, F.greatest(own["j"] - i, F.lit(0))), lambda o: o["rank"] < own["rank"])
+            taken = own.isNotNull() & ~F.coalesce(better, F.lit(False))
+            window = F.array_join(F.slice(groups, i + 1, own["j"] - i + 1), "")
+            # marks around the card, the sign after it outside
+            card = F.regexp_replace(window, "^(.*[0-9])([ -]?)$", "\x01$1\x02$2")
+            return F.when(i < acc["free"], acc).when(taken, F.struct((own["j"] + 1).alias("free"), F.concat(acc["out"], card).alias("out"))).otherwise(F.struct((i + 1).alias("free"), F.concat(acc["out"], F.element_at(groups, i + 1)).alias("out")))
+
+        start = F.struct(F.lit(0).alias("free"), F.lit("").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: acc["out"])
+
+    def piece(p):
+        inner = F.regexp_replace(p, "[\x01\x02]", "")
+        beside = _bound(F.transform(F.regexp_extract_all(p, F.lit(WITHIN), F.lit(0)), lambda x: _counted(x, _simple(x, key))), lambda new: _joined(p, WITHIN, new))
+        return F.when(p.startswith("\x01"), _counted(inner, _card(inner, key))).otherwise(beside)
+
+    text = _bound(F.split(m, "(?<=[ -])"), lambda g: _bound(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: _windows(g, i)), lambda best: marked(g, best)))
+    pieces = F.transform(F.filter(F.split(text, "(?=\x01)|(?<=\x02)"), lambda p: p != ""), piece)
+    return _bound(pieces, lambda new: F.struct(F.array_join(F.transform(new, lambda x: x["text"]), "").alias("text"), F.aggregate(new, F.lit(0), lambda a, x: a + x["n"]).alias("n")))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -164,25 +216,31 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(value.rlike("[0-9]"), F.concat(head, new)).otherwise(m)
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match, or the match itself if it doesn't validate. Kinds in the order of the pattern."""
-    whole = lambda p: m.rlike(f"^(?:{p})$")
-    out = _card(m, key)
-    for pattern, f in ((PHONE, _phone), (SSN, _ssn), (DATE, _date), (IP, _ip), (SECRET, _secret), (EMAIL, _email)):
-        out = F.when(whole(pattern), f(m, key)).otherwise(out)
+def _simple(m: Column, key: str, kinds: tuple = ((PHONE, _phone), (SSN, _ssn), (DATE, _date)), out: Column | None = None) -> Column:
+    """The pseudonym of a match of one of the kinds, else `out` or the match itself."""
+    out = m if out is None else out
+    for pattern, f in kinds:
+        out = F.when(m.rlike(f"^(?:{pattern})$"), f(m, key)).otherwise(out)
     return out
 
 
+def replaced(m: Column, key: str) -> Column:
+    """One match: a struct of its pseudonyms in place (the match itself if nothing validates) and the number of them."""
+    other = _simple(m, key, ((PHONE, _phone), (SSN, _ssn), (DATE, _date), (IP, _ip), (SECRET, _secret), (EMAIL, _email)), F.lit(None).cast("string"))
+    return _bound(other, lambda new: F.when(new.isNull(), _run(m, key)).otherwise(_counted(m, new)))
+
+
+def pseudonym(m: Column, key: str) -> Column:
+    """The text of a match after replacement."""
+    return replaced(m, key)["text"]
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text and n_pii, the number of values replaced."""
     held = docs.withColumn("__pii_has", F.col("text").rlike(MAY))
     found = held.withColumn("__pii_found", F.when(F.col("__pii_has"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    new = found.withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", lambda m: pseudonym(m, key))))
-    gaps = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, "__pii_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    text = F.when(F.col("__pii_new").isNotNull() & (F.size("__pii_found") > 0), joined).otherwise(F.col("text"))
-    changed = F.size(F.filter(F.zip_with("__pii_found", "__pii_new", lambda a, b: a != b), lambda x: x))
-    out = new.withColumns({"text": text, "n_pii": F.when(F.size("__pii_found") > 0, changed).otherwise(0).cast("long")})
+    new = found.withColumn("__pii_new", F.when(F.size("__pii_found") > 0, _bound(F.transform("__pii_found", lambda m: replaced(m, key)), lambda x: _joined(F.col("text"), ANY, x))))
+    out = new.withColumns({"text": F.coalesce("__pii_new.text", "text"), "n_pii": F.coalesce("__pii_new.n", F.lit(0)).cast("long")})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop("__pii_has", "__pii_found", "__pii_new")

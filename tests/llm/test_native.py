@@ -100,6 +100,22 @@ def test_mail_in_texts_without_digits(spark):
     assert "john.doe" not in got[0] and got[1] == got[0] + ", 7 times" and got[2] == texts[2]
 
 
+def test_cards_beside_other_numbers(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "5500000000000004", "7536784127813050"]
+    forms = ["{0} 12/27", "order 12 {0}", "{1} 123", "{0} {2}", "{3} 4845168114407329", "{1}-{2}", "{0} 29/02/1984", "{0} 1984-02-29", "{0} 70.23.22.57", "{0} 743-555-3824", "{0} 7bob@example.com", "1234567890123 1984-02-29", "{0} 123-45-6789 {2}", "{0}.", "{0}"]
+    counts = [1, 1, 1, 2, 1 + luhn("4845168114407329"), 2, 2, 2, 2, 2, 2, 1, 3, 1, 1]
+    texts = [f.format(*cards) for f in forms]
+    got = [(r["text"], r["n_pii"]) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [n for _, n in got] == counts, list(zip(texts, got, strict=True))
+    new = {cards[0]: got[-1][0]}
+    assert got[0][0] == new[cards[0]] + " 12/27" and got[1][0] == "order 12 " + new[cards[0]]
+    assert got[2][0].replace(" ", "") == new[cards[0]] + "123" and got[3][0].split()[0] == new[cards[0]]
+    assert luhn(got[3][0].split()[1]) and got[5][0].endswith("-" + got[3][0].split()[1])
+    for text, (after, _) in zip(texts, got, strict=True):
+        assert not any(c in after for c in cards) and len(after.split()) == len(text.split())
+        assert all(x not in after for x in ("29/02/1984", "1984-02-29", "70.23.22.57", "743-555-3824", "7bob@", "123-45-6789"))
+
+
 def test_permutations_are_one_to_one(spark):
     digits = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     new = digits.select(pii.permute_digits(F.col("d"), "k", F.lit("t")).alias("n"))
