@@ -116,6 +116,15 @@ def test_cards_beside_other_numbers(spark):
         assert all(x not in after for x in ("29/02/1984", "1984-02-29", "70.23.22.57", "743-555-3824", "7bob@", "123-45-6789"))
 
 
+def test_secrets_of_any_length_and_without_digits(spark):
+    value = "abcdefghi7" * 90
+    texts = [f"token={value} end", "password=CorrectHorseBattery x", "token=" + "Qx_" * 30_000]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert value[-20:] not in got[0] and got[0].startswith("token=") and got[0].endswith(" end") and len(got[0]) == len(texts[0])
+    assert re.fullmatch("password=[A-Z][a-z]{6}[A-Z][a-z]{4}[A-Z][a-z]{6} x", got[1]) and got[1] != texts[1]
+    assert len(got[2]) == len(texts[2]) and got[2].count("Qx_") < 300
+
+
 def test_permutations_are_one_to_one(spark):
     digits = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     new = digits.select(pii.permute_digits(F.col("d"), "k", F.lit("t")).alias("n"))
