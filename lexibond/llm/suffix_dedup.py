@@ -17,7 +17,8 @@ batch only the first is sent. An anchor hash with many classes in one batch is h
 of by anchor, and two marks tell the anchor's own task that it has several classes.
 
 Earlier means a smaller id or, in the same document, an earlier start. Rows of one id are taken as one document in this:
-strings at the same start aren't earlier than each other, and a removal applies to the rows with that text. Null ids come
+strings at the same start aren't earlier than each other (so all of them go on as first ones, and repeated rows as one
+record), and a removal applies to the rows with that text. Null ids come
 after all others. A null text is empty. Every row gives one row (exact repeats of id and text are judged alike), other
 columns are left out, texts shorter than `width` bytes stay whole, an empty table gives no rows."""
 
@@ -143,17 +144,32 @@ def _removed(doc: np.ndarray, place: np.ndarray, width: int) -> pa.RecordBatch:
     return _rows(mix64(doc.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64)), a, doc, end << 16 | tag, 3)
 
 
+def _ties(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, first: np.ndarray, lead=(0, 0), before=None):
+    """Of rows in order: which start where the first of their class does in the same document, so that neither is earlier, and
+    which repeat the row before them. lead: document and start of the class that goes on from before, before: the row before."""
+    start, at = place >> 30, np.flatnonzero(first)
+    which = np.cumsum(first)
+    tied = (doc == np.concatenate([[lead[0]], doc[at]])[which]) & (start == np.concatenate([[lead[1]], start[at]])[which])
+    same = np.zeros(len(key), bool)
+    same[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    if before is not None and not first[0]:
+        same[0] = before == (doc[0], place[0])
+    return tied, same
+
+
 def _send(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, width: int):
     """What a task sends of a batch: removals that it can decide, the first of each class, and marks of hot keys."""
     order, first = _firsts([key, digit, doc, place])
     key, digit, doc, place = key[order], digit[order], doc[order], place[order]
-    if (~first).any():
-        yield _removed(doc[~first], place[~first], width)
-    key, digit, doc, place = key[first], digit[first], doc[first], place[first]
-    _, at, count = np.unique(key, return_index=True, return_counts=True)
-    hot = np.repeat(count >= HOT, count)
+    tied, same = _ties(key, digit, doc, place, first)
+    if (~tied).any():
+        yield _removed(doc[~tied], place[~tied], width)
+    keys, count = np.unique(key[first], return_counts=True)
+    sent = tied & ~same
+    key, digit, doc, place = key[sent], digit[sent], doc[sent], place[sent]
+    hot = (count >= HOT)[np.searchsorted(keys, key)]
     yield _rows(np.where(hot, mix64(key ^ mix64(digit)), key), digit, doc, place, hot.astype(np.int32))
-    marks = key[at[count >= HOT]]
+    marks = keys[count >= HOT]
     if len(marks):
         twice, zero = np.repeat(marks, 2), np.zeros(2 * len(marks), np.int64)
         yield _rows(twice, np.tile(np.array([-1, -2]), len(marks)), zero, zero, 2)
@@ -180,7 +196,8 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         last = None  # (key, digit) of the last row
-        held = None  # the first row of the open anchor while it has one class, as arrays of one
+        lead, before = (0, 0), None  # document and start of the first row of the open class; document and place of the last row
+        held = None  # the first rows of the open anchor while it has one class
         many = False  # whether the open anchor has several classes
         for batch in batches:
             key, digit, doc, place = (batch.column(i).to_numpy() for i in range(4))
@@ -194,7 +211,9 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
             goes_on = last is not None and last[0] == key[0]
             new_key = np.concatenate([[not goes_on], key[1:] != key[:-1]])
             new_class = new_key | np.concatenate([[not (goes_on and last[1] == digit[0])], digit[1:] != digit[:-1]])
-            again = ~new_class & (kind != 2)
+            tied, same = _ties(key, digit, doc, place, new_class, lead, before)
+            again = ~tied & (kind != 2)
+            fresh = tied & ~same & (kind != 2)
             if again.any():
                 yield _removed(doc[again], place[again], width)
             run_of = np.cumsum(new_key) - new_key[0]  # 0 is the open anchor, or the first if none goes on
@@ -207,18 +226,21 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
                     held = None
             else:
                 held = None
-            sent = new_class & (kind != 2) & ((classes[run_of] >= 2) | (kind == 1))
+            sent = fresh & ((classes[run_of] >= 2) | (kind == 1))
             if sent.any():
                 yield _rows(key[sent], digit[sent], doc[sent], place[sent], 0)
             end = run_of == run_of[-1]
             many = bool(classes[-1] >= 2)
-            lone = np.flatnonzero(end & new_class & (kind == 0))
-            if many:
+            lone = np.flatnonzero(end & fresh & (kind == 0))
+            if many or run_of[-1]:
                 held = None
-            elif len(lone):
-                i = lone[:1]
-                held = (key[i], digit[i], doc[i], place[i])
-            last = (key[-1], digit[-1])
+            if not many and len(lone):
+                own = (key[lone], digit[lone], doc[lone], place[lone])
+                held = own if held is None else tuple(np.concatenate(c) for c in zip(held, own, strict=True))
+            last, before = (key[-1], digit[-1]), (doc[-1], place[-1])
+            if new_class.any():
+                i = np.flatnonzero(new_class)[-1]
+                lead = (doc[i], place[i] >> 30)
 
     return rows.repartition("key").sortWithinPartitions("key", "digit", "doc", "place").mapInArrow(run, ROWS)
 

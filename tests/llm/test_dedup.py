@@ -162,6 +162,16 @@ def test_hot_anchors(spark):
     assert removal(df.repartition(7)) == brute_removal(docs, 100)
 
 
+def test_repeated_rows_are_first_occurrences(spark):
+    r = random.Random(12)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    head = noise(160)
+    docs = [(1, noise(300))] * 3 + [(None, noise(250))] * 2 + [(2, head + noise(90)), (2, head + noise(120)), (3, noise(40) + head)]
+    docs += [(4, head[:120] + noise(80)), (None, head + noise(50)), (1, docs[0][1][:200])]
+    for parts in (1, 5):
+        assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)) == brute_removal(docs, 100)
+
+
 def test_removal_on_odd_documents(spark):
     docs = [(d, t[:3000] if t else t) for d, t, *_ in rows()]
     df = spark.createDataFrame([(d, t, 1, 2, "b") for d, t in docs], "doc_id long, text string, doc int, tag int, bytes string")
