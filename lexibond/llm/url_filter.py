@@ -6,8 +6,9 @@ longest context that the table knows: every gram holds its ratio less that of it
 known grams that end at a character telescopes to the longest. A URL's score is the sum over its characters divided by
 their number; the threshold is where both kinds of error are equal on rule-decided URLs that weren't counted.
 
-Only DataFrame functions. The table of grams holds at most GRAMS rows (the most frequent; suffixes of a kept gram are
-kept), so it is broadcast; counts, calibration and scores cover all rows. Equal URLs are scored once.
+Only DataFrame functions. The table holds every gram of the counted URLs and is joined by shuffle; only grams of which each
+takes 1 of HEAVY places or more, at most HEAVY of an order, are broadcast, so that they don't gather in one task. Equal URLs
+are scored once.
 
 A null URL or one without `://` has an empty host and path, fits no rule and scores 0. Repeated rows repeat, other columns
 are left out, an empty table gives no rows; with no rule-decided URLs every score and the threshold are 0: allowed."""
@@ -20,8 +21,7 @@ from pyspark.sql import functions as F
 from lexibond.llm.shared import Table
 
 ORDER = 4
-GRAMS = 200_000
-LEAST = 2  # a gram seen less often isn't kept
+HEAVY = 2000
 HELD_OUT = 5  # one URL of so many calibrates
 BINS = 100  # bins of the calibration in a unit of score; scores are clamped to +-20
 
@@ -62,28 +62,27 @@ def grams(urls: DataFrame, keep: list[str]) -> DataFrame:
     return spots.select(*keep, F.inline(picks))
 
 
-def fit(labelled: DataFrame, most: int = GRAMS, least: int = LEAST) -> DataFrame:
-    """labelled: s, good (boolean) -> k, gram, delta: the table of at most `most` grams."""
+def fit(labelled: DataFrame) -> DataFrame:
+    """labelled: s, good (boolean) -> k, gram, delta, seen: the table of all grams."""
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    counted = grams(labelled, ["good"]).groupBy("k", "gram").agg(one(F.col("good")).alias("a"), one(~F.col("good")).alias("r"))
-    kept = counted.where(F.col("a") + F.col("r") >= least).orderBy(F.desc(F.col("a") + F.col("r")), "k", "gram").limit(most)
+    counted = Table(grams(labelled, ["good"]).groupBy("k", "gram").agg(one(F.col("good")).alias("a"), one(~F.col("good")).alias("r")), "url-counts").df
     whole = Window.partitionBy("k", "context")
-    table = kept.withColumn("context", F.substr("gram", F.lit(1), F.col("k")))
+    table = counted.withColumn("context", F.substr("gram", F.lit(1), F.col("k")))
     for c in ("a", "r"):
         table = table.withColumn(f"n_{c}", F.sum(c).over(whole)).withColumn(f"t_{c}", F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0)).over(whole))
-    table = table.select("k", "gram", *[x for c in ("a", "r") for x in (c, f"n_{c}", f"t_{c}")])
+    table = Table(table.select("k", "gram", (F.col("a") + F.col("r")).alias("seen"), *[x for c in ("a", "r") for x in (c, f"n_{c}", f"t_{c}")]), "url-totals").df
     smooth = lambda c, low: (F.col(c) + (1 + F.col(f"t_{c}")) * low) / (F.col(f"n_{c}") + 1 + F.col(f"t_{c}"))
     done, below = None, None
     for k in range(ORDER + 1):
         own = table.where(F.col("k") == k)
         if k == 0:
-            own = own.select("k", "gram", smooth("a", F.lit(1 / 256)).alias("pa"), smooth("r", F.lit(1 / 256)).alias("pr"), F.lit(0.0).alias("lower"))
+            own = own.select("k", "gram", "seen", smooth("a", F.lit(1 / 256)).alias("pa"), smooth("r", F.lit(1 / 256)).alias("pr"), F.lit(0.0).alias("lower"))
         else:
             low = below.select(F.col("gram").alias("suffix"), F.col("pa").alias("la"), F.col("pr").alias("lr"))
             own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(low, "suffix")
-            own = own.select("k", "gram", smooth("a", F.col("la")).alias("pa"), smooth("r", F.col("lr")).alias("pr"), F.log(F.col("la") / F.col("lr")).alias("lower"))
-        below = own
-        rows = own.select("k", "gram", (F.log(F.col("pa") / F.col("pr")) - F.col("lower")).alias("delta"))
+            own = own.select("k", "gram", "seen", smooth("a", F.col("la")).alias("pa"), smooth("r", F.col("lr")).alias("pr"), F.log(F.col("la") / F.col("lr")).alias("lower"))
+        below = Table(own, "url-order").df
+        rows = below.select("k", "gram", (F.log(F.col("pa") / F.col("pr")) - F.col("lower")).alias("delta"), "seen")
         done = rows if done is None else done.unionByName(rows)
     return done
 
@@ -91,9 +90,16 @@ def fit(labelled: DataFrame, most: int = GRAMS, least: int = LEAST) -> DataFrame
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     """Distinct s with its mean log-likelihood ratio a character."""
     distinct = urls.select("s").distinct()
-    found = grams(distinct, ["s"]).join(F.broadcast(model), ["k", "gram"])
-    sums = found.groupBy("s").agg(F.sum("delta").alias("total"))
-    return sums.select("s", (F.col("total") / F.greatest(F.length("s") + 1, F.lit(1))).alias("score"))
+    # 128 bits stand for a URL where its characters are dealt
+    keyed = distinct.withColumns({"u": F.xxhash64("s"), "v": F.xxhash64(F.lit("v"), "s")})
+    places = model.where(F.col("k") == 0).agg(F.sum("seen")).scalar()
+    often = F.col("seen") * HEAVY >= places
+    heavy, light = (model.where(c).select("k", "gram", "delta") for c in (often, ~often))
+    spots = grams(keyed, ["u", "v"])
+    dealt = spots.join(F.broadcast(heavy.select("k", "gram")), ["k", "gram"], "left_anti")
+    sums = [found.groupBy("u", "v").agg(F.sum("delta").alias("part")) for found in (spots.join(F.broadcast(heavy), ["k", "gram"]), dealt.join(light, ["k", "gram"]))]
+    total = sums[0].unionByName(sums[1]).groupBy("u", "v").agg(F.sum("part").alias("total"))
+    return keyed.join(total, ["u", "v"]).select("s", (F.col("total") / F.greatest(F.length("s") + 1, F.lit(1))).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> DataFrame:

@@ -235,3 +235,37 @@ def test_url_model_on_held_out_urls(spark):
     limit = url_filter.calibrate(scored).first()[0]
     right = sum((x["score"] >= limit) == x["good"] for x in scored.collect())
     assert right >= 0.9 * held.count()
+
+
+def test_url_model_keeps_every_gram(spark):
+    """Against the models themselves, counted in Python over all grams."""
+    import math
+
+    good, bad = ["ab/xa", "abba", "q"], ["bb/", "xbq"]
+    signs = lambda s: "\x02" * 4 + s + "\x03"
+
+    def model(urls):
+        counts = Counter()
+        for s in map(signs, urls):
+            counts.update(s[i - k : i + 1] for i in range(4, len(s)) for k in range(5))
+        return counts
+
+    a, b = model(good), model(bad)
+
+    def chance(counts, gram):
+        low = chance(counts, gram[1:]) if len(gram) > 1 else 1 / 256
+        n = [v for g, v in counts.items() if len(g) == len(gram) and g[:-1] == gram[:-1]]
+        return (counts[gram] + (1 + len(n)) * low) / (sum(n) + 1 + len(n))
+
+    table = url_filter.fit(spark.createDataFrame([(s, True) for s in good] + [(s, False) for s in bad], "s string, good boolean")).cache()
+    got = {r["gram"]: r["delta"] for r in table.collect()}
+    assert set(got) == set(a) | set(b)
+    ratio = lambda g: math.log(chance(a, g) / chance(b, g)) if g else 0.0
+    for g, delta in got.items():
+        assert delta == pytest.approx(ratio(g) - ratio(g[1:]), abs=1e-9)
+    asked = ["abxa", "zz", "", "ab/xa"]
+    scored = {r["s"]: r["score"] for r in url_filter.score(spark.createDataFrame([(s,) for s in asked], "s string"), table).collect()}
+    for s in asked:
+        t = signs(s)
+        want = sum(got.get(t[i - k : i + 1], 0.0) for i in range(4, len(t)) for k in range(5)) / (len(s) + 1)
+        assert scored[s] == pytest.approx(want, abs=1e-9)
