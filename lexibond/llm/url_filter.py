@@ -10,7 +10,8 @@ Only DataFrame functions. The table holds every gram of the counted URLs and is
 takes 1 of HEAVY places or more, at most HEAVY of an order, are broadcast, so that they don't gather in one task. Equal URLs
 are scored once.
 
-A null URL or one without `://` has an empty host and path, fits no rule and scores 0. Repeated rows repeat, other columns
+Models are fitted to and score the whole URL, its host lower-cased; only rules are limited to host and path. A URL without
+`://` has an empty host and path, fits no rule and is scored as it is; a null one is scored as empty. Repeated rows repeat, other columns
 are left out, an empty table gives no rows; with no rule-decided URLs every score and the threshold are 0: allowed."""
 
 from __future__ import annotations
@@ -43,6 +44,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(tail, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def whole_of(url: Column) -> Column:
+    """The whole URL with its host lower-cased, a null one as empty."""
+    tail = _tail(url)
+    whole = F.concat(F.substring_index(url, "://", 1), F.lit("://"), host_of(url), F.regexp_extract(tail, r"(?s)^[^/?#]*(.*)$", 1))
+    return F.coalesce(F.when(url.contains("://"), whole).otherwise(url), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """rules: (allow or block, host, path). The longest that fits: its text host + path and its verdict, else nulls."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -115,9 +123,9 @@ def calibrate(scored: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_column: str = "page_id") -> DataFrame:
     """id, host, path, rule, verdict, score (null where a rule decides) and threshold."""
-    parsed = pages.select(id_column, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parsed = pages.select(id_column, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), whole_of(F.col("url")).alias("s"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumns({"rule": rule, "said": said}).withColumn("s", F.concat("host", "path"))
+    parsed = parsed.withColumns({"rule": rule, "said": said})
     seeds = parsed.where(F.col("said").isNotNull()).select("s", (F.col("said") == "allow").alias("good")).distinct()
     out = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
     model = Table(fit(seeds.where(~out)), "url-model").df

@@ -221,6 +221,16 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(pages(spark, ["http://x.net/", None, "http://" + "a" * 5000 + ".net/" + "b/" * 5000]), URL_RULES).count() == 3
 
 
+def test_url_is_judged_whole(spark):
+    urls = [f"http://a{i}.com/fr/?q=physics-{i}" for i in range(60)] + [f"http://a{i}.com/de/?q=casino-{i}" for i in range(60)]
+    asked = ["http://X.net/s?q=physics", "http://x.net/s?q=casino", "physics", "casino", None, "HTTP://x.net\n?A#B"]
+    got = {r["page_id"]: r for r in url_filter.judge(pages(spark, urls + asked), URL_RULES).collect()}
+    score = [got[120 + i]["score"] for i in range(len(asked))]
+    assert score[0] > score[1] and score[2] > score[3]
+    whole = spark.createDataFrame([(u,) for u in asked], "url string").select(url_filter.whole_of(F.col("url")).alias("s")).collect()
+    assert [r["s"] for r in whole] == ["http://x.net/s?q=physics", *asked[1:4], "", asked[5]]
+
+
 def test_url_model_on_held_out_urls(spark):
     import random
 
