@@ -24,13 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id. Rows without an id stay only where their
-    whole group has none; rows that repeat an id stay or go together."""
-    found = jaccard_join.near_components(docs, k=5, num=80, den=100)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    null_ids = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("doc_id").distinct()
-    kept = keep.unionByName(null_ids).distinct().withColumnRenamed("doc_id", "_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates: that of the smallest id (rows without one come last), then text hash, then
+    the other columns. Texts without words are no duplicates and stay."""
+    found = jaccard_join.near_components(docs, k=5, num=80, den=100, keep=("hash", "label"))
+    rows = found.where(F.col("n_shingles") > 0).groupBy("label", "doc_id", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "rows")).alias("m")).select("m.doc_id", "m.hash", "m.rows")
+    bare = found.where(F.col("n_shingles") == 0).select("doc_id", "hash", F.lit(1).cast("long").alias("rows")).distinct()
+    keep = first.unionByName(bare).toDF("_id", "_hash", "_rows")
+    keyed = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
+    hit = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_text"] == keep["_hash"]))
+    # few have several rows of one id and text; of those one is left
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    repeated = hit.where(F.col("_rows") > 1).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "text", "_row.*")
+    return hit.where(F.col("_rows") == 1).select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

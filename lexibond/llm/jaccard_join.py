@@ -270,14 +270,16 @@ def _stars(shared: DataFrame) -> DataFrame:
     return low.select(F.col("low").alias("a"), "b").unionByName(moved).distinct()
 
 
-def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs: doc_id, text -> doc_id, n_shingles, component_id: the smallest id reachable by links of similarity num/den."""
+def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text -> doc_id, n_shingles, component_id: the smallest id reachable by links of similarity num/den.
+
+    keep: further columns, hash (of the text) and label (one for each component of rows that have shingles)."""
     spark = docs.sparkSession
     small_batches(spark, 128)
     found = Table(_shared(_spread(docs, k, Bands(num, den))), "jaccard")
     free_shuffles(spark)
     known = found.df.where(F.col("n").isNotNull())
-    people = known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    people = known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "hash")
     shared = found.df.where(F.col("n").isNull()).select("key", "node")
     nodes = shared.select("node").distinct()
     wanted = known.groupBy("node").agg(F.min(F.struct("doc", "hash")).alias("one")).join(nodes, "node", "left_semi")
@@ -292,7 +294,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     named = people.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.where(F.col("n_shingles") > 0).groupBy("label").agg(F.min("doc_id").alias("low"))
     out = named.join(lowest, "label", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
     done = Table(out, "jaccard-components")
     for table in (found, clusters, links, labels):
         table.drop()

@@ -27,6 +27,17 @@ def test_run(spark, tmp_path):
     assert ids and not ids & {100, 101, 102, 103, 104, 200} and all(r["exact"] for r in got)
 
 
+def test_one_row_of_each_group(spark):
+    r = random.Random(11)
+    text = lambda: " ".join("".join(r.choice("etaoinshr") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (None, c), (2, d), (2, d), (2, d + " more"), (2, e), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n % 2}", len(t or "")) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicates(spark, docs.repartition(3), "").collect()
+    start = lambda x: (x or "")[:50]
+    assert sorted((r["doc_id"] or -1, start(r["text"])) for r in got) == sorted([(1, start(a)), (-1, start(b)), (-1, start(c)), (2, start(d)), (2, start(e)), (-1, ""), (3, ""), (3, "")])
+
+
 def test_every_operator_is_registered():
     names = llm_queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
