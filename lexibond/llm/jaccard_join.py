@@ -6,13 +6,18 @@ factor t and differ in at most (1 - t) / (1 + t) of the sum of their sizes; so w
 all pairs. A sketch is divided into more than d parts; the pigeonhole says that similar sets agree on a whole part. Parts
 are joined by (band, part, bits); each set stands in the parts of its own band and of the next, where it may meet larger
 sets. Empty parts aren't joined: there are enough parts that a set has more than d filled ones, and the rare set that
-doesn't goes to a part of its own for such sets, so that none is lost. Candidates are verified on the sets themselves.
+doesn't goes to a part of its own for such sets, so that none is lost.
 
 Sets that are equal are one node from the start (local copies are dropped before the shuffle), so copies never meet as
-pairs. Nodes that share a part, directly or over others, are a cluster; all links are inside clusters. A cluster is dealt
-in blocks of about BLOCK nodes, and every two blocks meet in a task of their own: there bit sketches are compared by their
-Hamming distance, and what they leave is verified on the sets, nearest pairs first, unless the two nodes are linked over
-others already. A task gives a spanning forest of its links, so pairs are never rows, and the components are exact.
+pairs. Only nodes that agree on a part are compared, and only what is verified on the sets themselves is a link:
+
+1. Every part's nodes are compared with its smallest node: sketches by their Hamming distance, then the sets. Links give
+   components, so a large group of near copies is mostly one component now.
+2. Of the parts that still hold several components, the other nodes are compared by their sketches, a part in blocks of
+   BLOCK nodes, two blocks in a task, and only across components. A block pair gives a spanning forest over components of
+   what the sketches allow, nearest first; the sets decide.
+3. The same once more, now with every pair that the sketches allow and that is still apart. What passes here without
+   being a link has to be verified by any exact method.
 
 Nulls and texts without words have the empty set and are linked with nothing. Every row gives one row; rows of one id are
 linked only through their sets. A null id is its own component unless its set is shared. Ties don't matter, other columns
@@ -20,21 +25,26 @@ are left out, an empty table gives no rows."""
 
 from __future__ import annotations
 
+from functools import reduce
 from math import exp
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexibond.llm.components import components
-from lexibond.llm.shared import Table, free_shuffles, mix64, shingle_set, small_batches
+from lexibond.llm.shared import Table, hot_keys, lookup, mix64, shingle_set, small_batches
 
 BITS = 1 << 16  # bits of a sketch's part
 LONGEST = 1 << 40
 BLOCK = 256  # nodes of a block
-WORDS = 64  # 64-bit words of the sketches that a task compares
+SPARE = 16  # bits of a sketch for each element in which similar sets may differ
+LEAST_BITS, MOST_BITS = 256, 1024  # of a sketch
 REMEMBERED = 500_000  # nodes a task remembers to drop local copies
+SLOTS = 256  # tasks over which the partners of one node are dealt
+BROADCAST = 500_000  # rows of three numbers
 
 
 class Bands:
@@ -103,23 +113,64 @@ def node_of(s: np.ndarray) -> int:
     return int((h[0] ^ (h[1] << np.uint64(1))).astype(np.int64))
 
 
-ROWS = "key long, node long, n long, doc long, hash long"
-_NAMES = ["key", "node", "n", "doc", "hash"]
+def parity_sketch(s: np.ndarray, bits: int) -> int:
+    """A number of `bits` bits (a power of two); every member flips one. Folding it by XOR gives the sketch of half as many."""
+    odd = np.bincount((mix64(s ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return int.from_bytes(np.packbits(odd.astype(bool), bitorder="little").tobytes(), "little")
+
+
+def sketch_bits(n: int, num: int, den: int) -> int:
+    need = SPARE * 2 * n * (den - num) // (den + num)
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, need - 1).bit_length()))
+
+
+def sketch_bytes(s: np.ndarray, num: int, den: int) -> bytes:
+    bits = sketch_bits(len(s), num, den)
+    return parity_sketch(s, bits).to_bytes(bits // 8, "little")
+
+
+def folded(sketch: bytes, size: int) -> bytes:
+    """The sketch of `size` bytes from a longer one."""
+    x = int.from_bytes(sketch, "little")
+    n = len(sketch)
+    while n > size:
+        n //= 2
+        x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
+    return x.to_bytes(size, "little")
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
+    """Whether sets of n and m members with these sketches may be similar: sizes and Hamming distance."""
+    if min(n, m) * den < num * max(n, m):
+        return False
+    size = min(len(a), len(b))
+    apart = (int.from_bytes(folded(a, size), "little") ^ int.from_bytes(folded(b, size), "little")).bit_count()
+    return apart * (den + num) <= (n + m) * (den - num)
+
+
+# Rows of the first pass: a document (key is only there to deal rows out, n isn't null) or a sketch key of a node.
+ROWS = "key long, node long, n long, doc long, hash long, sketch binary"
+_NAMES = ["key", "node", "n", "doc", "hash", "sketch"]
+# After the keys are sorted: a document (key is null), or a node of a key that two or more have, with the key's smallest
+# node; wide is false only where the key surely has just two nodes.
+FOUND = "key long, node long, n long, doc long, hash long, sketch binary, centre long, wide boolean"
 
 
 def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Two kinds of row in one pass over the texts: documents (n is not null) and the sketch keys of their nodes."""
+    """Documents, and the sketch keys of their nodes, in one pass over the texts."""
 
     def run(batches):
         seen: set[int] = set()
+        done = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0  # deals documents out, alike at every retry
         for rows in batches:
-            ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            nodes, sizes, keys, owners = [], [], [], []
+            ids, texts = rows.column(0), rows.column(1).to_pylist()
+            nodes, sizes, sketches, keys, owners = [], [], [], [], []
             for t in texts:
                 s = shingle_set((t or "").encode(), k)
                 node = node_of(s)
                 nodes.append(node)
                 sizes.append(len(s))
+                sketches.append(sketch_bytes(s, bands.num, bands.den) if len(s) else None)
                 if len(s) and node not in seen:
                     if len(seen) >= REMEMBERED:
                         seen = set()
@@ -127,176 +178,234 @@ def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                     own = sketch_keys(s, bands)
                     keys.append(own)
                     owners.append(np.full(len(own), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(np.arange(len(ids), dtype=np.uint64)).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), rows.column(2)], names=_NAMES)
+            dealt = mix64(np.arange(done, done + len(texts), dtype=np.uint64)).view(np.int64)
+            done += len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), ids, rows.column(2), pa.array(sketches, pa.binary())], names=_NAMES)
             if keys:
-                flat = np.concatenate(keys).view(np.int64)
+                flat, own = np.concatenate(keys).view(np.int64), np.concatenate(owners)
                 for at in range(0, len(flat), 200_000):
-                    part, own = flat[at : at + 200_000], np.concatenate(owners)[at : at + 200_000]
+                    part = flat[at : at + 200_000]
                     none = pa.nulls(len(part), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own), none, none, none], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[at : at + 200_000]), none, none, none, pa.nulls(len(part), pa.binary())], names=_NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, ROWS)
 
 
+def _found(columns: list) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.bool_()]
+    size = max(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(size, t) if c is None else pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*_NAMES, "centre", "wide"])
+
+
 def _shared(spread: DataFrame) -> DataFrame:
-    """Documents pass; of the keys, those that two or more nodes have. Rows come sorted by key, so little is held."""
+    """Documents, and the keys that two or more nodes have. Rows come sorted by key and node, so little is held."""
 
     def run(batches):
-        last_key, last_node, open_key = None, None, False  # the last key, its last node, whether it has two nodes
+        last_key, last_node, first_node, size = None, None, None, 0  # the open key: its last and first node, its nodes so far
         for rows in batches:
             key, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             is_doc = rows.column(2).is_valid().to_numpy(zero_copy_only=False)
             if is_doc.any():
-                yield rows.filter(pa.array(is_doc))
+                mine = rows.filter(pa.array(is_doc))
+                yield _found([None, *[mine.column(i) for i in range(1, 6)], None, None])
                 key, node = key[~is_doc], node[~is_doc]
             if not len(key):
                 continue
-            if last_key is not None:
-                key, node = np.concatenate([[last_key], key]), np.concatenate([[last_node], node])
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-            held = last_key is not None
-            was_open, carried = open_key, last_key
+            goes_on = last_key is not None and key[0] == last_key
+            fresh = np.concatenate([[not (goes_on and node[0] == last_node)], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
             key, node = key[fresh], node[fresh]
-            edge = np.concatenate([[True], key[1:] != key[:-1]])
-            run_of = np.cumsum(edge) - 1
-            counts = np.bincount(run_of)
-            wide = counts[run_of] >= 2
-            if held and was_open:
-                wide[0] = False  # given out before
-                if key[0] == carried:
-                    wide[1:] |= run_of[1:] == 0
-            last_key, last_node = int(key[-1]), int(node[-1])
-            open_key = bool(counts[-1] >= 2) or (held and was_open and last_key == carried)
-            if wide.any():
-                k2, n2 = key[wide], node[wide]
-                none = pa.nulls(len(k2), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k2), pa.array(n2), none, none, none], names=_NAMES)
-
-    return spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ROWS)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, bytes of its sorted set, from one document of each wanted node (wanted: one = (doc, hash of the text), node)."""
+            if not len(key):
+                continue
+            goes_on = last_key is not None and key[0] == last_key
+            if last_key is not None and not goes_on:
+                size = 0
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            run_of = np.repeat(np.arange(len(edge)), np.diff(np.concatenate([edge, [len(key)]])))
+            here = np.bincount(run_of)
+            centre = node[edge]
+            before = np.zeros(len(edge), np.int64)
+            if goes_on:
+                centre[0], before[0] = first_node, size
+            total = here + before
+            out = total[run_of] >= 2
+            wide = total >= 3
+            wide[-1] = True  # more may follow
+            if goes_on and size == 1 and out[0]:  # the open key's first node, kept back until a second came
+                yield _found([[int(key[0])], [int(first_node)], None, None, None, None, [int(first_node)], [bool(wide[0])]])
+            last_key, last_node, first_node, size = int(key[-1]), int(node[-1]), int(centre[-1]), int(total[-1])
+            if out.any():
+                yield _found([key[out], node[out], None, None, None, None, centre[run_of][out], wide[run_of][out]])
+
+    return spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, FOUND)
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches allow a link. pairs is a written table."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
+    hubs = hot_keys(pairs, "a")
+    often = F.col("a").isin(hubs) if hubs else F.lit(False)
+    ends = pairs.join(side("b"), "b")
+    both = ends.where(~often).join(side("a"), "a")
+    if hubs:
+        both = both.unionByName(ends.where(often).join(F.broadcast(side("a").where(often)), "a"))
 
     def run(batches):
         for rows in batches:
-            sets = [shingle_set((t or "").encode(), k).tobytes() for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
+            sides = [rows.column(i).to_pylist() for i in (2, 3)]
+            ok = [may_link(x["n"], x["sketch"], y["n"], y["sketch"], num, den) for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
-    one = named.join(wanted, (F.col("th") == F.col("one.hash")) & F.col("id").eqNullSafe(F.col("one.doc"))).select("node", "text")
-    return one.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])  # rows may be repeated
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def parity_sketch(s: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """64 * words bits; every member flips one."""
-    h = mix64(s ^ np.uint64(0xC2B2AE3D27D4EB4F))
-    bit = (h % np.uint64(64 * words)).astype(np.int64)
-    odd = np.flatnonzero(np.bincount(bit, minlength=64 * words) & 1)
-    out = np.zeros(words, np.uint64)
-    np.bitwise_or.at(out, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
-    return out
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b; a written table) that are links, by the sets of one document of each node.
 
+    The partners of a node are dealt over SLOTS tasks, which hold the node's own set and see one partner at a time."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = Table(wanted.join(nodes, "node").select("node", "doc", "hash"), "jaccard-wanted")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
+    asked = F.broadcast(wanted.df) if wanted.df.count() <= BROADCAST else wanted.df
+    one = named.join(asked, (F.col("th") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc"))).select("node", "text")
+    texts = Table(one.dropDuplicates(["node"]), "jaccard-texts")  # rows may be repeated
+    dealt = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).cast("int"))
+    members = dealt.join(texts.df.withColumnRenamed("node", "b"), "b").select("a", "slot", "b", "text")
+    centres = dealt.select("a", "slot").distinct().join(texts.df.withColumnRenamed("node", "a"), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
+    rows = centres.unionByName(members).repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
 
-def forest(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the left nodes and the others, or among all if all are left."""
-    size = np.array([len(s) for s in sets], np.int64)
-    sketch = np.stack([parity_sketch(s) for s in sets])
+    def run(batches):
+        held = None
+        for batch in batches:
+            found = []
+            for a, b, text in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
+                s = shingle_set((text or "").encode(), k)
+                if b is None:
+                    held = s
+                elif similar(held, s, num, den):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    links = Table(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
+    wanted.drop()
+    texts.drop()
+    return links
+
+
+def across(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[bytes], left: np.ndarray, num: int, den: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of nodes with different labels whose sketches allow a link: of the left nodes with the others, or among all if
+    all are left. every: all such pairs, else a forest over labels of the nearest."""
+    size = min(len(x) for x in sketches)
+    bits = np.frombuffer(b"".join(folded(x, size) for x in sketches), np.uint64).reshape(len(sketches), size // 8)
     a_side = np.flatnonzero(left)
     b_side = a_side if left.all() else np.flatnonzero(~left)
     near = []
     for i in a_side:
         other = b_side[b_side > i] if left.all() else b_side
-        low, high = np.minimum(size[i], size[other]), np.maximum(size[i], size[other])
-        other = other[low * den >= high * num]
-        distance = np.bitwise_count(sketch[i] ^ sketch[other]).sum(axis=1, dtype=np.int64)
-        ok = distance * (den + num) <= (size[i] + size[other]) * (den - num)
+        low, high = np.minimum(sizes[i], sizes[other]), np.maximum(sizes[i], sizes[other])
+        other = other[(low * den >= high * num) & (labels[other] != labels[i])]
+        distance = np.bitwise_count(bits[i] ^ bits[other]).sum(axis=1, dtype=np.int64)
+        ok = distance * (den + num) <= (sizes[i] + sizes[other]) * (den - num)
         near += [(int(d), int(i), int(j)) for d, j in zip(distance[ok], other[ok], strict=True)]
-    parent = list(range(len(nodes)))
+    pair = lambda i, j: (int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j])))
+    if every:
+        return [pair(i, j) for _, i, j in near]
+    out, parent = [], {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
+        while x in parent:
             x = parent[x]
         return x
 
-    out = []
     for _, i, j in sorted(near):
-        x, y = root(i), root(j)
-        if x != y and similar(sets[i], sets[j], num, den):
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y:
             parent[x] = y
-            out.append((nodes[i], nodes[j]))
+            out.append(pair(i, j))
     return out
 
 
-def _links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """clusters: node, label -> links (a, b) that connect what is linked, from tasks of two blocks each."""
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = clusters.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    met = dealt.select("node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int, every: bool) -> Table:
+    """Pairs to verify across the components that still share a key; see across()."""
+    others = shared.where(F.col("wide") & (F.col("node") != F.col("centre"))).select("key", "node")
+    told = others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    told = Table(told, "jaccard-told")
+    keys = told.df.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
+    keys = Table(keys.select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")), "jaccard-open")
+    live = lookup(told.df, "key", keys.df).where(F.col("blocks").isNotNull())
+    block = F.pmod(F.xxhash64("node"), "blocks")
+    met = live.withColumn("block", block).select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
     lo, hi = F.least("block", "with"), F.greatest("block", "with")
-    tasks = met.select("node", F.xxhash64("label", lo, hi).alias("task"), (F.col("block") == lo).alias("first"))
-    rows = tasks.join(sets, "node").repartition("task").sortWithinPartitions("task", "node").select("task", "node", "first", "members")
+    tasks = met.select("node", "label", F.xxhash64("key", lo, hi).alias("task"), (F.col("block") == lo).alias("first"))
+    rows = tasks.join(nodes.select("node", "n", "sketch"), "node").repartition("task").sortWithinPartitions("task", "node").select("task", "node", "label", "n", "sketch", "first")
+
+    def one(held: list):
+        if len(held) > 1:
+            node, label, n, sketch, first = zip(*held, strict=True)
+            found = across(np.array(node), np.array(label), np.array(n), list(sketch), np.array(first), num, den, every)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     def run(batches):
         task, held = None, []
         for batch in batches:
-            for t, node, first, members in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for t, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if t != task:
-                    yield from _one(held, num, den)
+                    yield from one(held)
                     task, held = t, []
-                held.append((node, first, members))
-        yield from _one(held, num, den)
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _one(held: list, num: int, den: int):
-    if len(held) > 1:
-        nodes, first, members = zip(*held, strict=True)
-        found = forest(list(nodes), [np.frombuffer(m, np.uint64) for m in members], np.array(first), num, den)
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _stars(shared: DataFrame) -> DataFrame:
-    """Which nodes share parts, as links (a, b) that connect them: each part's nodes with its smallest, and then each
-    node only with the smallest of those, which is linked with the others in its place."""
-    centre = shared.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = shared.join(centre, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    low = pairs.groupBy("b").agg(F.min("a").alias("low"))
-    moved = pairs.join(low, "b").where(F.col("a") != F.col("low")).select(F.col("low").alias("a"), F.col("a").alias("b"))
-    return low.select(F.col("low").alias("a"), "b").unionByName(moved).distinct()
+                held.append(row)
+        yield from one(held)
+
+    pairs = Table(rows.mapInArrow(run, "a long, b long").distinct(), "jaccard-rest")
+    told.drop()
+    keys.drop()
+    return pairs
+
+
+def _linked(found: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> Table:
+    """node, label of all nodes that have a verified link; the label is the component's smallest node."""
+    shared = found.where(F.col("key").isNotNull())
+    stars = Table(shared.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
+    likely = Table(_plausible(stars.df, nodes, num, den), "jaccard-likely")
+    stars.drop()
+    links = [_verified(likely.df, docs, nodes, k, num, den)]
+    likely.drop()
+    labels = components(links[0].df)
+    for every in (False, True):
+        pairs = _rest(shared, labels.df, nodes, num, den, every)
+        none = pairs.df.isEmpty()
+        if not none:
+            links.append(_verified(pairs.df, docs, nodes, k, num, den))
+            if not links[-1].df.isEmpty():
+                labels.drop()
+                labels = components(reduce(DataFrame.unionByName, [x.df for x in links]))
+        pairs.drop()
+        if none:
+            break
+    for table in links:
+        table.drop()
+    return labels
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_shingles, component_id: the smallest id reachable by links of similarity num/den.
 
     keep: further columns, hash (of the text) and label (one for each component of rows that have shingles)."""
-    spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(docs.sparkSession)
     found = Table(_shared(_spread(docs, k, Bands(num, den))), "jaccard")
-    free_shuffles(spark)
-    known = found.df.where(F.col("n").isNotNull())
-    people = known.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node", "hash")
-    shared = found.df.where(F.col("n").isNull()).select("key", "node")
-    nodes = shared.select("node").distinct()
-    wanted = known.groupBy("node").agg(F.min(F.struct("doc", "hash")).alias("one")).join(nodes, "node", "left_semi")
-    sets = Table(_sets(docs, wanted, k), "jaccard-sets")
-    free_shuffles(spark)
-    clusters = components(_stars(shared))
-    free_shuffles(spark)
-    links = Table(_links(clusters.df, sets.df, num, den), "jaccard-links")
-    sets.drop()
-    free_shuffles(spark)
-    labels = components(links.df)
-    named = people.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.where(F.col("n_shingles") > 0).groupBy("label").agg(F.min("doc_id").alias("low"))
-    out = named.join(lowest, "label", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
-    done = Table(out, "jaccard-components")
-    for table in (found, clusters, links, labels):
+    known = found.df.where(F.col("key").isNull()).select("doc", F.col("n").alias("n_shingles"), "node", "hash", "n", "sketch")
+    one = F.min(F.struct("doc", "hash"))
+    nodes = known.where(F.col("n") > 0).groupBy("node").agg(one.alias("one"), F.min("doc").alias("low"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = Table(nodes.select("node", "one.doc", "one.hash", "low", "n", "sketch"), "jaccard-nodes")
+    labels = _linked(found.df, docs, nodes.df, k, num, den)
+    lowest = Table(labels.df.join(nodes.df.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("all")), "jaccard-lowest")
+    named = Table(lookup(labels.df, "label", lowest.df), "jaccard-named")
+    final = nodes.df.select("node", "low").join(named.df, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("all")).alias("low"))
+    people = known.where(F.col("n") > 0).select("doc", "n_shingles", "node", "hash")
+    told = lookup(people, "node", final).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("low").alias("component_id"), "hash", "label")
+    bare = known.where(F.col("n") == 0).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("doc").alias("component_id"), "hash", F.col("node").alias("label"))
+    done = Table(told.unionByName(bare).select("doc_id", "n_shingles", "component_id", *keep), "jaccard-components")
+    for table in (found, nodes, labels, lowest, named):
         table.drop()
-    free_shuffles(spark)
     return done.df

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.shared import Table, free_shuffles, mix64, small_batches
+from lexibond.llm.shared import Table, mix64, small_batches
 
 WIDTH = 100
 GRAM = 32
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     if not gram < width <= 120:
         raise ValueError("strings must be longer than a gram and of 120 bytes at most")
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"), F.encode(text, "UTF-8").alias("bytes"))
     source = slim.select("doc", "tag", "bytes")
@@ -312,6 +312,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     for block in (BLOCK, 1, None):
         passes.append(Table(_classes(rows, width).select("digit", "doc", "place", "kind"), "suffix-pass"))
         rows = None if block is None else _narrower(source, passes[-1].df.where(F.col("kind") == 0), width, block)
-        free_shuffles(spark)
     decided = passes[0].df.unionByName(passes[1].df).unionByName(passes[2].df).where(F.col("kind") == 3)
     return _cut(slim, decided)
