@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--n_workers", type=at_least(1), help="cores, where no Spark master is set")
     p.add_argument("--tokenizer_batch_size", type=at_least(1), default=100_000, help="rows of an Arrow batch")
     p.add_argument("--log", help="log file of the run, for lexibond.report")
+    p.add_argument("--clean_up", action="store_true", help="delete the tables of the run, but for the vocabulary")
+    p.add_argument("--no_vocabulary_file", action="store_true", help="don't write the vocabulary")
     p.add_argument("--n_samples", type=at_least(1))
     p.add_argument("--root", required=True, help="folder of the Parquet tables")
     p.add_argument("--out", required=True, help="folder for counts, totals and the vocabulary")
@@ -54,9 +56,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.tokenizer_name == "word-piece":
         register_tokenizer(word_piece_spec(load_word_pieces(spark, args.vocab_file)))
     if args.log:
-        run_logged(spark, config, args.root, args.out, args.log)
+        run_logged(spark, config, args.root, args.out, args.log, args.clean_up, not args.no_vocabulary_file)
     else:
-        run_to_file(spark, config, args.root, args.out)
+        run_to_file(spark, config, args.root, args.out, args.clean_up, not args.no_vocabulary_file)
 
 
 if __name__ == "__main__":

@@ -1,70 +1,160 @@
-"""Tokenising expressions and tokenizers behind a registry."""
+"""Normalising, tokenising and ids; tokenizers behind a registry."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-# The accented letters that are folded, and the split of text into words and single punctuation marks.
-ACCENTED = "éèêóñçüäöí"
-PLAIN = "eeeoncuaoi"
+from lexibond.tables import Table
+
+# The split of text into words and single punctuation marks, and the special tokens in the order of their ids.
 WORD_PATTERN = r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+"
-SPECIALS = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
+SPECIALS = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
 WORD_LEVEL_CAP = 500_000
+BROADCAST_CHARS = 64_000_000  # of a vocabulary that tasks hold as an array
+
+_PLAIN = r"[^\t\n\r\x20-\x7E]"  # texts without these are only lower-cased
+_CONTROL = r"[\p{C}\uFFFD&&[^\t\n\r]]"
+_MARKS = r"\p{Mn}"
+# The blocks whose signs stand apart as words.
+_APART = r"([\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF\x{20000}-\x{2A6DF}\x{2A700}-\x{2B81F}\x{2B920}-\x{2CEAF}\x{2F800}-\x{2FA1F}])"
+
+
+@cache
+def base_letters() -> tuple[str, str, dict[str, str]]:
+    """By the rule of canonical decomposition without marks: letters and what each becomes, and those that become several.
+    Hangul syllables follow their own rule."""
+    letters, plain, longer = [], [], {}
+    for code in range(0x110000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code <= 0xD7A3 or unicodedata.category(c) == "Mn":
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if base != c and len(base) == 1:
+            letters.append(c)
+            plain.append(base)
+        elif base != c:
+            longer[c] = base
+    return "".join(letters), "".join(plain), longer
+
+
+def _syllables(text: Column) -> Column:
+    """Hangul syllables as the letters they are made of."""
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    letter = lambda first, n, i: F.substr(F.lit("".join(chr(first + j) for j in range(n))), i + 1, F.lit(1))
+    parts = lambda c: F.concat(letter(0x1100, 19, F.floor(code(c) / 588).cast("int")), letter(0x1161, 21, F.floor(code(c) % 588 / 28).cast("int")), F.when(code(c) % 28 > 0, letter(0x11A8, 27, code(c) % 28 - 1)).otherwise(""))
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.between("\uac00", "\ud7a3"), parts(c)).otherwise(c)), "")
+
+
+def normalise(text: Column) -> Column:
+    """Lower-cased and without accents; control characters go, every white space is a blank, CJK signs stand apart. In the JVM:
+    only texts beyond printable ASCII take the long way."""
+    letters, plain, longer = base_letters()
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _CONTROL, ""), r"\p{Z}", " "), _APART, " $1 ")
+    clean = F.when(clean.rlike("[\uac00-\ud7a3]"), _syllables(clean)).otherwise(clean)
+    several = clean
+    for c, base in longer.items():
+        several = F.replace(several, F.lit(c), F.lit(base))
+    clean = F.when(clean.rlike("[" + "".join(longer) + "]"), several).otherwise(clean)
+    folded = F.lower(F.regexp_replace(F.translate(clean, letters, plain), _MARKS, ""))
+    return F.when(text.rlike(_PLAIN), folded).otherwise(F.lower(text))
 
 
 def words(text: Column) -> Column:
-    """Lower-cased, accent-folded words and punctuation marks, in order; an empty array for null. Stays in the JVM."""
-    clean = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.coalesce(F.regexp_extract_all(clean, F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    """Normalised words and punctuation marks, in order; an empty array for null."""
+    return F.coalesce(F.regexp_extract_all(normalise(text), F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-@F.pandas_udf(StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Full NFD folding for text beyond the letters that `words` folds; control characters go, CJK signs stand apart."""
+def tokenise(corpus: DataFrame) -> DataFrame:
+    """sample_id, tokens (array of string)."""
+    return corpus.select("sample_id", words(F.col("text")).alias("tokens"))
 
-    def fold(s):
-        if s is None:
-            return None
-        out = []
-        for ch in unicodedata.normalize("NFD", s.lower()):
-            kind = unicodedata.category(ch)
-            if kind == "Mn" or (kind.startswith("C") and ch not in "\t\n\r"):
-                continue
-            cjk = 0x4E00 <= ord(ch) <= 0x9FFF or 0x3400 <= ord(ch) <= 0x4DBF or 0x20000 <= ord(ch) <= 0x2A6DF or 0xF900 <= ord(ch) <= 0xFAFF
-            out.append(f" {ch} " if cjk else ch)
-        return "".join(out)
 
-    return text.map(fold)
+def count_words(tokenised: DataFrame) -> DataFrame:
+    """token, count. Tasks count in Arrow arrays before the shuffle."""
 
+    def run(batches):
+        for rows in batches:
+            got = pc.value_counts(rows.column(0).flatten())
+            if len(got):
+                yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], names=["token", "count"])
 
-def tokenise(corpus: DataFrame) -> DataFrame:
-    """sample_id, tokens (array of string)."""
-    return corpus.select("sample_id", words(F.col("text")).alias("tokens"))
+    return tokenised.select("tokens").mapInArrow(run, "token string, count long").groupBy("token").agg(F.sum("count").alias("count"))
 
 
 def train_word_level(corpus: DataFrame, cap: int = WORD_LEVEL_CAP) -> DataFrame:
-    """token, token_id: specials first, then words by count descending and word ascending, `cap` ids in all.
-
-    The words kept are few (the cap) whatever the corpus: TakeOrdered prunes to them before ids are numbered."""
-    spark = corpus.sparkSession
-    counted = tokenise(corpus).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    kept = counted.orderBy(F.desc("count"), "token").limit(cap - len(SPECIALS))
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
-    special = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, token_id int")
-    return special.unionByName(kept.select("token", (rank + len(SPECIALS) - 1).alias("token_id")))
+    """token, token_id: specials first, then words by count descending and word ascending, `cap` ids in all."""
+    return number_words(count_words(tokenise(corpus)), cap)
+
+
+def number_words(counted: DataFrame, cap: int = WORD_LEVEL_CAP) -> DataFrame:
+    """token, count -> token, token_id. No task sees more than a share of the words, whatever their number: a histogram of
+    counts says down to which count all words are kept, and of the words of that count the first are found by ranges."""
+    spark, room = counted.sparkSession, cap - len(SPECIALS)
+    table = Table(counted, "words")
+    kept = table.df
+    ties = None
+    if table.df.count() > room:
+        levels = Table(table.df.groupBy("count").agg(F.count(F.lit(1)).alias("words")), "levels")
+        upto = F.sum("words").over(Window.orderBy(F.desc("count")))
+        last = levels.df.withColumn("upto", upto).where(F.col("upto") >= room).agg(F.max(F.struct("count", "upto", "words")).alias("m")).select("m.*").first()
+        above, left = last["upto"] - last["words"], room - (last["upto"] - last["words"])
+        kept = table.df.where(F.col("count") > last["count"]) if above else table.df.limit(0)
+        ranged = table.df.where(F.col("count") == last["count"]).repartitionByRange("token").withColumn("range", F.spark_partition_id())
+        ties = Table(ranged, "ties")
+        sizes = sorted((r["range"], r["n"]) for r in ties.df.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+        whole, before = [], 0
+        for at, n in sizes:
+            if before + n > left:
+                kept = kept.unionByName(ties.df.where(F.col("range") == at).orderBy("token").limit(left - before).drop("range"))
+                break
+            whole.append(at)
+            before += n
+        kept = kept.unionByName(ties.df.where(F.col("range").isin(whole)).drop("range"))
+        levels.drop()
+    # `cap` words at most, so the driver may number them
+    names = kept.orderBy(F.desc("count"), "token").select("token").toArrow().column("token").combine_chunks()
+    table.drop()
+    if ties:
+        ties.drop()
+    tokens = pa.concat_arrays([pa.array(SPECIALS, pa.string()), names.cast(pa.string())])
+    return spark.createDataFrame(pa.table({"token": tokens, "token_id": pa.array(range(len(tokens)), pa.int32())}))
 
 
 def encode(tokenised: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """sample_id, input_ids: unknown words get the id of [UNK]. The vocabulary is capped, so it is broadcast."""
+    """sample_id, input_ids: unknown words get the id of [UNK]. A vocabulary is capped; one of BROADCAST_CHARS at most is an
+    array that tasks look words up in, a longer one (very long words) is joined."""
+    if (vocabulary.agg(F.sum(F.length("token"))).first()[0] or 0) > BROADCAST_CHARS:
+        return encode_by_join(tokenised, vocabulary)
+    known = vocabulary.orderBy("token_id").toArrow()
+    names, numbers = known.column("token").combine_chunks().cast(pa.string()), known.column("token_id").combine_chunks().cast(pa.int32())
+    sent = tokenised.sparkSession.sparkContext.broadcast((names, numbers))
+
+    def run(batches):
+        names, numbers = sent.value
+        for rows in batches:
+            tokens = rows.column(1)
+            at = pc.index_in(tokens.flatten().cast(pa.string()), value_set=names)
+            ids = pc.fill_null(pc.take(numbers, at), 0)
+            starts = pc.subtract(tokens.offsets, tokens.offsets[0])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(starts, ids)], names=["sample_id", "input_ids"])
+
+    kind = tokenised.schema["sample_id"].dataType.simpleString()
+    return tokenised.select("sample_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(run, f"sample_id {kind}, input_ids array<int>")
+
+
+def encode_by_join(tokenised: DataFrame, vocabulary: DataFrame) -> DataFrame:
     flat = tokenised.select("sample_id", F.posexplode_outer("tokens").alias("pos", "token"))
-    coded = flat.join(F.broadcast(vocabulary), "token", "left").select("sample_id", "pos", F.when(F.col("token").isNotNull(), F.coalesce("token_id", F.lit(0))).alias("token_id"))
+    coded = flat.join(vocabulary, "token", "left").select("sample_id", "pos", F.when(F.col("token").isNotNull(), F.coalesce("token_id", F.lit(0))).alias("token_id"))
     packed = coded.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("seq"))
     return packed.select("sample_id", F.col("seq.token_id").alias("input_ids"))
 
@@ -96,17 +186,14 @@ def word_piece(pieces: dict[str, int]):
 
 
 def word_piece_spec(pieces: dict[str, int]) -> TokenizerSpec:
-    """A tokenizer of word pieces as strings; continued pieces begin with ## and are joined again by decoding."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ws: [p for w in ws for p in split_pieces(w, pieces)])
+    """A tokenizer of a given vocabulary of word pieces; continued pieces begin with ## and are joined again by decoding."""
+    cut = word_piece(pieces)
 
-    def run(corpus: DataFrame) -> DataFrame:
-        clean = corpus.select("sample_id", words(strip_accents(F.coalesce("text", F.lit("")))).alias("tokens"))
-        return clean.select("sample_id", cut("tokens").alias("tokens"))
+    def ids(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+        table = corpus.sparkSession.createDataFrame(list(pieces.items()), "token string, token_id int")
+        return tokenise(corpus).select("sample_id", cut("tokens").alias("input_ids")), table
 
-    return TokenizerSpec("word-piece", run)
+    return TokenizerSpec("word-piece", ids)
 
 
 def load_word_pieces(spark: SparkSession, path: str) -> dict[str, int]:
@@ -117,13 +204,18 @@ def load_word_pieces(spark: SparkSession, path: str) -> dict[str, int]:
 
 @dataclass(frozen=True)
 class TokenizerSpec:
-    """tokenise: corpus -> sample_id, tokens. Ids are attached to what survives counting, not to the corpus."""
+    """ids: corpus -> (sample_id, input_ids) and the vocabulary (token, token_id), which is trained where it isn't given."""
 
     name: str
-    tokenise: Callable[[DataFrame], DataFrame]
+    ids: Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def word_level_ids(corpus: DataFrame, cap: int = WORD_LEVEL_CAP) -> tuple[DataFrame, DataFrame]:
+    vocabulary = train_word_level(corpus, cap)
+    return encode(tokenise(corpus), vocabulary), vocabulary
 
 
-_TOKENIZERS = {"word-level": TokenizerSpec("word-level", tokenise)}
+_TOKENIZERS = {"word-level": TokenizerSpec("word-level", word_level_ids)}
 
 
 def register_tokenizer(spec: TokenizerSpec) -> None:

@@ -13,7 +13,7 @@ STEP_GROWTH = {
     "compute_log_likelihood": ("linear", 1.25),
     "compute_max_segmentation_log_likelihood_sum": ("n_log_n", 2.0),
     "compute_pmi_score": ("linear", 4.0),
-    "compute_pmi_masking_vocab": ("n_log_n", 2.0),
+    "select_vocabulary": ("n_log_n", 2.0),
 }
 CORPUS_TOKENS = {"bookcorpus": 1_098_720_840, "wikipedia": 24_000_000_000, "RedPajama": 1_200_000_000_000}
 

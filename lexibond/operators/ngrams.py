@@ -4,10 +4,14 @@ A token table has `sample_id` and `tokens` (array of any orderable type). An n-g
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from lexibond.tables import Table
+
 SCORES = ("log_likelihood", "max_segmentation_log_likelihood_sum", "pmi_score")
 
 
@@ -42,6 +46,106 @@ def count_ngrams(tokens: DataFrame, sizes: list[int], min_count: int = 1) -> Dat
     return prune(counted, min_count)
 
 
+HELD_TOKENS = 4_000_000  # that a task counts at once
+PAIRS = 4_000_000  # frequent pairs that tasks hold
+
+
+def _held(batches, most: int):
+    """Arrow batches of token arrays -> all tokens in a row and where samples end, about `most` at a time."""
+    flat, ends, size = [], [], 0
+    for rows in batches:
+        tokens = rows.column(0)
+        offsets = tokens.offsets.to_numpy().astype(np.int64)
+        flat.append(tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        ends.append(offsets[1:] - offsets[0] + size)
+        size += len(flat[-1])
+        if size >= most:
+            yield np.concatenate(flat), np.concatenate(ends)
+            flat, ends, size = [], [], 0
+    if size:
+        yield np.concatenate(flat), np.concatenate(ends)
+
+
+def _part_counts(flat: np.ndarray, ends: np.ndarray, sizes: range, frequent: np.ndarray | None, pairs: np.ndarray | None):
+    """(n, first places of the distinct n-grams, counts) of some samples. frequent: which ids can be in an n-gram that is
+    wanted; pairs: which (first << 32 | second) can be in one of three or more."""
+    if 1 in sizes:
+        _, first, count = np.unique(flat, return_index=True, return_counts=True)
+        yield 1, first, count
+    alive = np.ones(len(flat), bool)
+    alive[ends[ends > 0] - 1] = False  # no window goes on beyond a sample
+    if frequent is not None:
+        alive &= frequent[flat]
+        alive[:-1] &= frequent[flat[1:]]
+    code = flat
+    for n in range(2, max(sizes) + 1):
+        at = np.flatnonzero(alive)
+        key = code[at] << 32 | code[at + 1]
+        if n == 2 and pairs is not None:
+            spot = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
+            known = pairs[spot] == key if len(pairs) else np.zeros(len(key), bool)
+            alive[at[~known]] = False
+            at, key = at[known], key[known]
+        if not len(at):
+            return
+        _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if n in sizes:
+            yield n, at[first], count
+        # an n-gram is two that overlap in all but their ends
+        code = np.zeros(len(flat), np.int64)
+        code[at] = inverse
+        alive[:-1] &= alive[1:]
+
+
+def _count_parts(ids: DataFrame, sizes: range, frequent: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
+    top = max(sizes)
+    names = ["n", *[token_field(i) for i in range(top)], "count"]
+    sent, held = ids.sparkSession.sparkContext.broadcast((frequent, pairs)), HELD_TOKENS
+
+    def run(batches):
+        frequent, pairs = sent.value
+        for flat, ends in _held(batches, held):
+            for n, first, count in _part_counts(flat, ends, sizes, frequent, pairs):
+                tokens = [pa.array(flat[first + i].astype(np.int32)) if i < n else pa.array(np.full(len(first), -1, np.int32)) for i in range(top)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), *tokens, pa.array(count.astype(np.int64))], names=names)
+
+    kinds = ", ".join(f"{c} int" for c in names[:-1])
+    parts = ids.select("tokens").mapInArrow(run, f"{kinds}, count long")
+    return parts.groupBy(*names[:-1]).agg(F.sum("count").alias("count"))
+
+
+def _packed(counts: DataFrame) -> DataFrame:
+    top = len(counts.columns) - 2
+    return counts.select("n", F.slice(F.array(*[token_field(i) for i in range(top)]), F.lit(1), F.col("n")).alias("ngram"), "count")
+
+
+def count_id_ngrams(ids: DataFrame, max_size: int, min_count: int = 1) -> DataFrame:
+    """n, ngram, count like count_ngrams, for tokens that are ids of a capped vocabulary (ints from 0).
+
+    Size after size: only windows whose tokens, then pairs, are frequent enough can be, so rare ones are never shuffled. Tasks
+    count in sorted arrays. Frequent ids are a bitmap of the vocabulary's cap; frequent pairs are held by tasks if there are
+    PAIRS at most, otherwise all windows of frequent tokens are counted."""
+    single = Table(prune(_count_parts(ids, range(1, 2)), min_count), "counts")
+    done, frequent, pairs = _packed(single.df), None, None
+    if max_size == 1:
+        return done
+    if min_count > 1:
+        some = single.df.select(token_field(0)).toArrow().column(0).to_numpy().astype(np.int64)
+        highest = ids.agg(F.max(F.array_max("tokens"))).first()[0]
+        frequent = np.zeros((0 if highest is None else int(highest)) + 1, bool)
+        frequent[some] = True
+    double = Table(prune(_count_parts(ids, range(2, 3), frequent), min_count), "counts")
+    done = done.unionByName(_packed(double.df))
+    if max_size == 2:
+        return done
+    if min_count > 1 and double.df.count() <= PAIRS:
+        held = double.df.select(token_field(0), token_field(1)).toArrow()
+        first, second = (held.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+        pairs = np.sort(first << 32 | second)
+    longer = Table(prune(_count_parts(ids, range(3, max_size + 1), frequent, pairs), min_count), "counts")
+    return done.unionByName(_packed(longer.df))
+
+
 def count_in_batches(tokens: DataFrame, sizes: list[int], batch_size: int, min_count_batch: int, min_count: int = 1) -> DataFrame:
     """Counts that first drop what is rare in a batch of batch_size consecutive sample ids, then sum over batches."""
     if min_count_batch <= 1:
@@ -87,3 +191,14 @@ def wide(counts: DataFrame, n: int) -> DataFrame:
     """The n-grams of one size with a column for each token: token_0 .. token_{n-1}."""
     rest = [c for c in counts.columns if c not in ("n", "ngram")]
     return counts.where(F.col("n") == n).select(*[F.col("ngram")[i].alias(token_field(i)) for i in range(n)], *rest)
+
+
+def declared(counts: DataFrame, n: int) -> DataFrame:
+    """The table of one size under its declared columns. An n-gram that stands in it twice, or a null, raises."""
+    columns = wide_schema(n)
+    table = wide(counts, n).select(*[F.col(f.name).cast(f.dataType) for f in columns])
+    keys = [token_field(i) for i in range(n)]
+    bad = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count("count").alias("counts")).where((F.col("rows") > 1) | (F.col("counts") < 1) | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
+    if (first := bad.first()) is not None:
+        raise ValueError(f"{tuple(first[k] for k in keys)} isn't one counted n-gram")
+    return table

@@ -9,7 +9,7 @@ from lexibond.functions.units import STEP_GROWTH, duration_text, grow_linear, gr
 
 # The layout of a log line and the messages that carry a run's figures.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),\d+ - ([\w.]+) - (\w+) - (.*)$"
-MODULE_PREFIX = "src.db_implementation."
+MODULE_PREFIX = "lexibond.run."  # before step names; logs of other writers have their own
 MESSAGES = {
     "n_tokens": r"n_tokens: (\d+)",
     "n_workers": r"n_workers: (\d+)",
@@ -40,7 +40,8 @@ def matching(parsed: DataFrame, pattern: str, group: int = 1) -> DataFrame:
 def pair_starts_ends(parsed: DataFrame, is_start: Column, is_end: Column, by: list[str] | None = None) -> DataFrame:
     """Each end line with the latest start line before it (as-of): start_line, end_line, start_ts, end_ts, seconds.
 
-    Starts that were never ended drop out; an end without a start has nulls. `by` pairs within groups."""
+    Starts that were never ended drop out; an end without a start has nulls. `by` pairs within groups; without it all start
+    and end lines (not the log) are one window, which suits the few of an experiment."""
     before = Window.partitionBy(*(by or [])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     marked = parsed.where(is_start | is_end).withColumn("s", F.last(F.when(is_start, F.struct("line_no", "ts")), ignorenulls=True).over(before))
     ends = marked.where(is_end)
@@ -53,16 +54,16 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 
 def last_run(parsed: DataFrame, experiment: str) -> DataFrame:
-    """The lines of an experiment's last finished run, start and end included."""
+    """The lines of an experiment's last finished run, start and end included. Only its few start and end lines are paired."""
     pairs = pair_starts_ends(parsed, F.col("message") == f"start experiment: {experiment}", F.col("message") == f"end experiment: {experiment}")
     span = pairs.agg(F.max(F.struct("end_line", "start_line")).alias("m")).select(F.col("m.start_line").alias("from_line"), F.col("m.end_line").alias("to_line"))
     return parsed.join(F.broadcast(span), F.col("line_no").between(F.col("from_line"), F.col("to_line"))).drop("from_line", "to_line")
 
 
-def step_times(run: DataFrame) -> DataFrame:
+def step_times(run: DataFrame, prefix: str = MODULE_PREFIX) -> DataFrame:
     """step, pairs, seconds for the steps of a run; pairs other than 1 mean a damaged log."""
-    step = F.regexp_replace("module_name", "^" + MODULE_PREFIX.replace(".", r"\."), "")
-    known = run.withColumn("step", step).where(F.col("step").isin(list(STEP_GROWTH)) & F.col("module_name").startswith(MODULE_PREFIX))
+    step = F.expr(f"substring(module_name, {len(prefix) + 1})")
+    known = run.withColumn("step", step).where(F.col("step").isin(list(STEP_GROWTH)) & F.col("module_name").startswith(prefix))
     pairs = pair_starts_ends(known, F.col("message") == "start", F.col("message") == "end", ["step"])
     return pairs.groupBy("step").agg(F.count(F.lit(1)).alias("pairs"), F.max("seconds").alias("seconds"))
 

@@ -1,8 +1,8 @@
 """Log-likelihoods, the best segmentation of an n-gram, and the association score.
 
 best(w) is the larger of ll(w) and the best sum over the cuts of w; the segmentation score of w is that sum without the
-uncut w. Instead of two joins for every cut of every size, each n-gram looks up all its contiguous parts in one join and
-the recursion over cuts runs on columns of the regrouped row."""
+uncut w. Instead of two joins for every cut of every size, each n-gram looks up two others, all but its last and all but its
+first token: the one brings the best of all shorter prefixes with it, the other that of all shorter suffixes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexibond.tables import Table
+
 
 def with_log_likelihood(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Adds ln(count) - ln(total of the size). totals has a row for each size, so it is broadcast."""
@@ -18,39 +20,33 @@ def with_log_likelihood(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals), "n").withColumn("log_likelihood", ll).drop("total")
 
 
-def parts_of(n: int) -> list[tuple[int, int]]:
-    """(start, length) of the contiguous parts shorter than n; starts count from 0."""
-    return [(s, k) for k in range(1, n) for s in range(n - k + 1)]
-
-
-def _look_up(scored: DataFrame, max_size: int) -> DataFrame:
-    """n, ngram and p: map-like columns p_s_k with the log-likelihood of each part."""
-    longer = scored.where(F.col("n") >= 2)
-    spans = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("k")) for s, k in parts_of(max_size)])
-    mine = F.filter(spans, lambda x: (x["s"] + x["k"] <= F.col("n")) & (x["k"] < F.col("n")))
-    asked = longer.select("n", "ngram", F.explode(mine).alias("x")).select("n", "ngram", "x.s", "x.k", F.expr("slice(ngram, x.s + 1, x.k)").alias("part"))
-    known = scored.select(F.col("ngram").alias("part"), F.col("log_likelihood").alias("part_ll"))
-    found = asked.join(known, "part")
-    return found.groupBy("n", "ngram").agg(*[F.max(F.when((F.col("s") == s) & (F.col("k") == k), F.col("part_ll"))).alias(f"p_{s}_{k}") for s, k in parts_of(max_size)])
+SINGLES = 500_000  # single tokens that are broadcast: the cap of a vocabulary
 
 
 def max_segmentation(scored: DataFrame, max_size: int) -> DataFrame:
-    """n >= 2 n-grams with max_segmentation_log_likelihood_sum; null where a needed part is missing from `scored`."""
-    parts = _look_up(scored, max_size)
-    best: dict[tuple[int, int], str] = {(s, 1): f"p_{s}_1" for s in range(max_size)}
-    for k in range(2, max_size):  # one projection for each length: longer spans read the columns of shorter ones
-        new = {}
-        for s in range(max_size - k + 1):
-            cuts = [F.col(best[s, j]) + F.col(best[s + j, k - j]) for j in range(1, k)]
-            new[f"b_{s}_{k}"] = F.greatest(F.col(f"p_{s}_{k}"), *cuts)
-        parts = parts.withColumns(new)
-        best |= {(s, k): f"b_{s}_{k}" for s in range(max_size - k + 1)}
-    whole = F.lit(None).cast("double")
+    """n >= 2 n-grams with max_segmentation_log_likelihood_sum; null where needed parts are missing from `scored`.
+
+    scored should be a written table: each size reads its own rows of it, and is written itself."""
+    sums = "max_segmentation_log_likelihood_sum"
+    own = scored.where(F.col("n") == 1)
+    below = Table(own.select("ngram", F.array("log_likelihood").alias("heads"), F.array("log_likelihood").alias("tails")), "best")
+    few, done = below.df.count() <= SINGLES, None
     for n in range(2, max_size + 1):
-        cuts = [F.col(best[0, j]) + F.col(best[j, n - j]) for j in range(1, n)]
-        whole = F.when(F.col("n") == n, cuts[0] if len(cuts) == 1 else F.greatest(*cuts)).otherwise(whole)
-    segmented = parts.select("n", "ngram", whole.alias("max_segmentation_log_likelihood_sum"))
-    return scored.where(F.col("n") >= 2).join(segmented, ["n", "ngram"], "left")
+        side = F.broadcast if n == 2 and few else (lambda df: df)  # the only lookup with very frequent keys
+        left = side(below.df.select(F.col("ngram").alias("_head"), "heads"))
+        right = side(below.df.select(F.col("ngram").alias("_tail"), "tails"))
+        own = scored.where(F.col("n") == n).withColumns({"_head": F.slice("ngram", 1, n - 1), "_tail": F.slice("ngram", 2, n - 1)})
+        met = own.join(left, "_head", "left").join(right, "_tail", "left")
+        none = F.array(*[F.lit(None).cast("double")] * (n - 1))
+        met = met.withColumns({"heads": F.coalesce("heads", none), "tails": F.coalesce("tails", none)})
+        cuts = [F.col("heads")[k - 1] + F.col("tails")[n - k - 1] for k in range(1, n)]
+        met = met.withColumn(sums, cuts[0] if n == 2 else F.greatest(*cuts))
+        best = F.array(F.greatest("log_likelihood", sums))
+        size = Table(met.select(*scored.columns, sums, F.concat("heads", best).alias("heads"), F.concat("tails", best).alias("tails")), "best")
+        below = size
+        rows = size.df.select(*scored.columns, sums)
+        done = rows if done is None else done.unionByName(rows)
+    return done
 
 
 def part_condition(main: str, part: str, k: int, start: int) -> Column:
@@ -61,7 +57,7 @@ def part_condition(main: str, part: str, k: int, start: int) -> Column:
 def max_segmentation_by_splits(scored: DataFrame, max_size: int) -> DataFrame:
     """The same values size after size, with two equi-joins for each cut: shorter sizes must be done before longer ones.
 
-    For tables in which only few n-grams are long; max_segmentation needs one join for all sizes."""
+    The plain form of the recursion; max_segmentation needs two joins for each size."""
     best = {1: scored.where(F.col("n") == 1).select("ngram", F.col("log_likelihood").alias("best"))}
     done = None
     for n in range(2, max_size + 1):
@@ -112,4 +108,5 @@ def with_pmi(segmented: DataFrame) -> DataFrame:
 
 def scores(counts: DataFrame, totals: DataFrame, max_size: int) -> DataFrame:
     """n >= 2 n-grams with count, log_likelihood, max_segmentation_log_likelihood_sum and pmi_score."""
-    return with_pmi(max_segmentation(with_log_likelihood(counts, totals), max_size))
+    likely = Table(with_log_likelihood(counts, totals), "likelihood")
+    return with_pmi(max_segmentation(likely.df, max_size))

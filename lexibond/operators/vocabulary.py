@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6  # scores are ranked as rounded, so that the last bits of a logarithm don't decide
@@ -26,24 +26,36 @@ def select_vocabulary(scored: DataFrame, quotas: dict[int, int]) -> DataFrame:
     return ranked.where(F.col("rank") <= quota).select("n", "rank", "ngram", "pmi_score")
 
 
+def spell(tokens: Column, clean_up: bool = False) -> Column:
+    """Tokens joined by a blank and ## pieces to their words; clean_up joins punctuation to words too."""
+    text = F.regexp_replace(F.array_join(tokens, " "), r" ##(?=\S)", "")
+    return F.regexp_replace(text, r" ([.,!?])", "$1") if clean_up else text
+
+
 def decode(vocab: DataFrame, clean_up: bool = False) -> DataFrame:
-    """Adds ngram_text, tokens joined by a space and ## pieces to their words; clean_up joins punctuation to words too."""
-    text = F.regexp_replace(F.array_join("ngram", " "), r" ##(?=\S)", "")
-    if clean_up:
-        text = F.regexp_replace(text, r" ([.,!?])", "$1")
-    return vocab.withColumn("ngram_text", text)
+    """Adds ngram_text to a vocabulary of tokens."""
+    return vocab.withColumn("ngram_text", spell(F.col("ngram"), clean_up))
+
+
+def name_ids(ngrams: DataFrame, names: DataFrame) -> DataFrame:
+    """ngrams (ids in `ngram`) with `named`, their tokens. The names are joined once for each place, by their ids."""
+    out = ngrams
+    longest = ngrams.agg(F.max(F.size("ngram"))).first()[0] or 0
+    for i in range(longest):
+        at = names.select(F.col("token_id").alias(f"_id{i}"), F.col("token").alias(f"_token{i}"))
+        out = out.withColumn(f"_id{i}", F.get("ngram", F.lit(i))).join(at, f"_id{i}", "left")
+    tokens = F.array(*[F.col(f"_token{i}") for i in range(longest)]) if longest else F.array().cast("array<string>")
+    return out.select(*ngrams.columns, F.slice(tokens, F.lit(1), F.size("ngram")).alias("named"))
 
 
-def decode_ids(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Adds ngram_text to a vocabulary of ids; `tokens` (token, token_id) is a capped table, so it is broadcast."""
-    flat = vocab.select("n", "rank", F.posexplode("ngram").alias("pos", "token_id"))
-    named = flat.join(F.broadcast(tokens), "token_id", "left")
-    joined = named.groupBy("n", "rank").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("seq"))
-    return vocab.join(joined.select("n", "rank", F.array_join(F.col("seq.token"), " ").alias("ngram_text")), ["n", "rank"])
+def decode_ids(vocab: DataFrame, names: DataFrame, clean_up: bool = False) -> DataFrame:
+    """Adds ngram_text to a vocabulary of ids; `names` has token, token_id."""
+    return name_ids(vocab, names).withColumn("ngram_text", spell(F.col("named"), clean_up)).drop("named")
 
 
 def vocabulary_lines(vocab: DataFrame) -> DataFrame:
-    return decode(vocab).orderBy("n", "rank").select("ngram_text")
+    """The texts of a decoded vocabulary, sizes ascending and best first."""
+    return vocab.orderBy("n", "rank").select("ngram_text")
 
 
 def compare_vocabularies(first: DataFrame, second: DataFrame) -> DataFrame:

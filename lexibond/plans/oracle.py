@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from lexibond.config import size_quotas
-from lexibond.functions.text import ACCENTED, PLAIN, WORD_PATTERN
+from lexibond.functions.text import WORD_PATTERN
 from lexibond.functions.units import CORPUS_TOKENS, STEP_GROWTH
-from lexibond.plans.queries import BATCH, MAX_SIZE, MIN_COUNT, PERCENTS, RUN_LINES, VOCAB_SIZE
+from lexibond.plans.queries import BATCH, CAP, MAX_SIZE, MIN_COUNT, PERCENTS, RUN_LINES, VOCAB_SIZE
 
 _PATTERN = WORD_PATTERN.replace("'", "''")
 
 
+# The accented letters of the test tables and their bases, stated apart from the engine's rule.
+ACCENTED, PLAIN = "éèêóñçüäöí", "eeeoncuaoi"
+
+
 def _toks(table: str = "documents", sample: str = "doc_id", where: str = "true") -> str:
     return f"SELECT {sample} AS sample_id, coalesce(regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '{_PATTERN}'), []) AS t FROM {table} WHERE {where}"
 
@@ -32,11 +36,21 @@ def _total(n: int) -> str:
     return f"(SELECT CAST(sum(greatest(len(t) - {n - 1}, 0)) AS BIGINT) FROM tok)"
 
 
+def _names(cap: int) -> str:
+    """CTE v: the ids of words. 0 is [UNK], 1 to 4 are the other special tokens, `cap` ids in all."""
+    return f"v AS MATERIALIZED (SELECT token, 4 + row_number() OVER (ORDER BY c DESC, token) AS token_id FROM (SELECT t AS token, count(*) AS c FROM (SELECT unnest(t) AS t FROM tok) GROUP BY 1) QUALIFY token_id < {cap})"
+
+
+def _id_lists(cap: int) -> str:
+    """CTE ids: the documents as lists t of ids."""
+    return f"WITH tok AS MATERIALIZED ({_toks()}), {_names(cap)}, w AS MATERIALIZED (SELECT sample_id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM tok), ids AS MATERIALIZED (SELECT sample_id, list(CAST(coalesce(token_id, 0) AS BIGINT) ORDER BY pos) AS t FROM w LEFT JOIN v USING (token) GROUP BY sample_id)"
+
+
 def _chain(n_max: int, least: int = MIN_COUNT, tok: str | None = None) -> str:
-    """CTEs s1..sN with count, ll, mx (null for size 1) and best."""
-    parts = [f"tok AS ({tok or _toks()})"]
+    """CTEs s1..sN with count, ll, mx (null for size 1) and best, and v with the ids of tokens."""
+    parts = [f"tok AS MATERIALIZED ({tok or _toks()})", _names(500_000)]
     for n in range(1, n_max + 1):
-        parts.append(f"c{n} AS ({_counts(n, least)})")
+        parts.append(f"c{n} AS MATERIALIZED ({_counts(n, least)})")
         parts.append(f"l{n} AS (SELECT *, ln(count) - ln({_total(n)}) AS ll FROM c{n})")
         if n == 1:
             parts.append("s1 AS (SELECT *, ll AS best FROM l1)")
@@ -49,13 +63,17 @@ def _chain(n_max: int, least: int = MIN_COUNT, tok: str | None = None) -> str:
             sums.append(f"a{k}.best + b{k}.best")
         mx = sums[0] if len(sums) == 1 else f"greatest({', '.join(sums)})"
         parts.append(f"x{n} AS (SELECT {_cols(n, 'm.')}, m.count, m.ll, {mx} AS mx FROM l{n} m {' '.join(joins)})")
-        parts.append(f"s{n} AS (SELECT *, greatest(ll, mx) AS best, round(2 * ll - mx, 6) AS pmi_score FROM x{n})")
+        parts.append(f"s{n} AS MATERIALIZED (SELECT *, greatest(ll, mx) AS best, round(2 * ll - mx, 6) AS pmi_score FROM x{n})")
     return "WITH " + ", ".join(parts)
 
 
 def _ranked(n: int, k: int) -> str:
+    """The best of a size; ties go to the smaller ids."""
     text = " || ' ' || ".join(f"token_{i}" for i in range(n))
-    return f"SELECT * FROM (SELECT CAST({n} AS BIGINT) AS n, row_number() OVER (ORDER BY pmi_score DESC NULLS LAST, {_cols(n)}) AS rank, {text} AS ngram_text, {_cols(n)}, pmi_score FROM s{n}) WHERE rank <= {k}"
+    ids = ", ".join(f"v{i}.token_id AS id_{i}" for i in range(n))
+    named = " ".join(f"JOIN v v{i} ON v{i}.token = token_{i}" for i in range(n))
+    order = ", ".join(f"id_{i}" for i in range(n))
+    return f"SELECT * FROM (SELECT CAST({n} AS BIGINT) AS n, row_number() OVER (ORDER BY pmi_score DESC NULLS LAST, {order}) AS rank, * FROM (SELECT {text} AS ngram_text, {_cols(n)}, {ids}, pmi_score FROM s{n} {named})) WHERE rank <= {k}"
 
 
 def _compare() -> str:
@@ -77,7 +95,7 @@ def _run() -> str:
       e AS (SELECT max(line_no) AS hi FROM p WHERE message = 'end experiment: small'),
       b AS (SELECT max(line_no) AS lo FROM p, e WHERE message = 'start experiment: small' AND line_no < hi),
       run AS (SELECT p.* FROM p, b, e WHERE line_no BETWEEN lo AND hi),
-      steps AS (SELECT replace(module_name, 'src.db_implementation.', '') AS step, count(*) FILTER (message = 'end') AS pairs, CAST(max(secs) FILTER (message = 'end') - max(secs) FILTER (message = 'start') AS BIGINT) AS seconds FROM run WHERE message IN ('start', 'end') GROUP BY 1),
+      steps AS (SELECT replace(module_name, 'lexibond.run.', '') AS step, count(*) FILTER (message = 'end') AS pairs, CAST(max(secs) FILTER (message = 'end') - max(secs) FILTER (message = 'start') AS BIGINT) AS seconds FROM run WHERE message IN ('start', 'end') GROUP BY 1),
       facts AS (SELECT max(CASE WHEN message LIKE 'n_tokens: %' THEN CAST(message[11:] AS BIGINT) END) AS n_tokens, max(CASE WHEN message LIKE 'n_workers: %' THEN CAST(message[12:] AS BIGINT) END) AS n_workers,
         max(CASE WHEN message LIKE 'RAM_size: %' THEN CAST(message[11:] AS BIGINT) END) AS ram, CAST(max(secs) - min(secs) AS BIGINT) AS total_time,
         greatest(max(CASE WHEN message LIKE 'db size bytes%' THEN CAST(regexp_extract(message, '([0-9]+)$', 1) AS BIGINT) END), CAST(sum(CASE WHEN message LIKE 'samples %' THEN CAST(regexp_extract(message, '([0-9]+)$', 1) AS BIGINT) END) AS BIGINT)) AS total_space FROM run)"""
@@ -102,7 +120,7 @@ def _unit(v: str, steps: list[tuple[str, str]], last: str) -> str:
 def all_oracles() -> dict[str, str]:
     tok = f"WITH tok AS ({_toks()})"
     vocab = "SELECT t AS token, count(*) AS c FROM (SELECT unnest(t) AS t FROM tok) GROUP BY 1"
-    special = "SELECT * FROM (VALUES ('[UNK]', 0), ('[CLS]', 1), ('[SEP]', 2), ('[PAD]', 3), ('[MASK]', 4)) v(token, token_id)"
+    special = "SELECT * FROM (VALUES ('[UNK]', 0), ('[PAD]', 1), ('[CLS]', 2), ('[SEP]', 3), ('[MASK]', 4)) v(token, token_id)"
     quotas = size_quotas(PERCENTS, VOCAB_SIZE)
     d = "o_totalprice"
     q = "(o_totalprice * o_totalprice)"
@@ -112,7 +130,14 @@ def all_oracles() -> dict[str, str]:
         "word_tokens": f"{tok} SELECT sample_id, CAST(unnest(range(0, len(t))) AS BIGINT) AS pos, unnest(t) AS token FROM tok",
         "token_vocab": f"{tok} SELECT token, CAST(token_id AS BIGINT) AS token_id FROM ({special} UNION ALL SELECT token, 4 + row_number() OVER (ORDER BY c DESC, token) FROM ({vocab}))",
         "encoded_ids": f"{tok}, v AS (SELECT token, 4 + row_number() OVER (ORDER BY c DESC, token) AS token_id FROM ({vocab}) QUALIFY token_id < 5000) SELECT sample_id, pos, CAST(coalesce(token_id, 0) AS BIGINT) AS token_id FROM (SELECT sample_id, CAST(unnest(range(0, len(t))) AS BIGINT) AS pos, unnest(t) AS token FROM tok) LEFT JOIN v USING (token)",
-        "decoded_ids": f"{_chain(2)}, v AS (SELECT token, 4 + row_number() OVER (ORDER BY c DESC, token) AS token_id FROM ({vocab})) SELECT rank, a.token_id AS id_0, b.token_id AS id_1, ngram_text FROM ({_ranked(2, 200)}) r JOIN v a ON a.token = r.token_0 JOIN v b ON b.token = r.token_1",
+        "decoded_ids": f"{_chain(2)} SELECT rank, id_0, id_1, ngram_text FROM ({_ranked(2, 200)})",
+        "capped_counts": f"{_id_lists(CAP)} " + " UNION ALL ".join(f"SELECT {', '.join(f't[i + {j}] AS id_{j}' if j < n else f'CAST(-1 AS BIGINT) AS id_{j}' for j in range(3))}, count(*) AS count FROM (SELECT t, unnest(range(1, len(t) - {n} + 2)) AS i FROM ids) GROUP BY ALL HAVING count(*) >= {MIN_COUNT}" for n in (1, 2, 3)),
+        "written_counts_3": f"{_id_lists(500_000)} SELECT t[i] AS token_0, t[i + 1] AS token_1, t[i + 2] AS token_2, count(*) AS count FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM ids) GROUP BY ALL HAVING count(*) >= {MIN_COUNT}",
+        "written_totals": tok + " " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS n, {_total(n)} AS total" for n in range(1, MAX_SIZE + 1)),
+        "written_vocabulary": f"{_chain(5)} " + " UNION ALL ".join(f"SELECT ngram_text FROM ({_ranked(n, quotas[n])})" for n in quotas),
+        "written_log": f"{_run()} SELECT line_no, CAST(secs AS BIGINT) AS secs, module_name, message FROM p",
+        "corpus_pages": "SELECT page_id AS sample_id, html AS text FROM pages",
+        "corpus_benchmark": "SELECT item_id AS sample_id, text FROM benchmark",
         "total_ngrams_per_size": tok + " " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS n, {_total(n)} AS total" for n in range(1, MAX_SIZE + 1)),
         "ngram_table_sizes": tok + " " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS n, count(*) AS ngrams FROM ({_counts(n, MIN_COUNT)})" for n in range(1, MAX_SIZE + 1)),
         "batch_counts_2": f"{tok} SELECT token_0, token_1, batch_id, count(*) AS count FROM ({_grams(2, f'CAST(floor(sample_id / {BATCH}) AS BIGINT) AS batch_id,')}) GROUP BY ALL HAVING count(*) >= 3",

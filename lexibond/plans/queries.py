@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -15,26 +16,36 @@ from lexibond.operators import ngrams as G
 from lexibond.operators import runlog as L
 from lexibond.operators import scoring as S
 from lexibond.operators import vocabulary as V
-from lexibond.plans.mining import score_tokens
-from lexibond.sources import first_samples, load_corpus
+from lexibond.plans.mining import score_ids, score_tokens
+from lexibond.sources import first_samples, load_corpus, read_counts, read_log_lines, read_totals, read_vocabulary, sinks
+from lexibond.tables import Table, work_dir
 
 MIN_COUNT = 5
 MAX_SIZE = 5
 VOCAB_SIZE = 1000
 PERCENTS = {2: 50.0, 3: 25.0, 4: 12.5, 5: 12.5}
 BATCH = 100
+CAP = 5000
+SPREAD_BYTES = 32 << 20  # of input for each core, below which a table is dealt over all cores
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of few input splits (small files) is dealt over all cores; one of many splits is left as it is."""
+    """A small table, which may have fewer input splits than there are cores, is dealt over all; a larger one is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def _tokens(spark: SparkSession, root: str, corpus: str = "documents") -> DataFrame:
     return T.tokenise(spread(load_corpus(spark, corpus, root)))
 
 
+def _ids(corpus: DataFrame, cap: int = T.WORD_LEVEL_CAP) -> tuple[DataFrame, DataFrame]:
+    """Token ids of a corpus and the vocabulary that is trained on it."""
+    ids, names = T.word_level_ids(spread(corpus), cap)
+    return Table(ids.select("sample_id", F.col("input_ids").alias("tokens")), "ids").df, names
+
+
 def _six(name: str) -> Column:
     return F.round(name, 6).alias(name)
 
@@ -62,18 +73,22 @@ def token_vocab(spark, root):
 
 def encoded_ids(spark, root):
     corpus = spread(load_corpus(spark, "documents", root))
-    ids = T.encode(T.tokenise(corpus), T.train_word_level(corpus, 5000))
+    ids = T.encode(T.tokenise(corpus), T.train_word_level(corpus, CAP))
     return ids.select("sample_id", F.posexplode("input_ids").alias("pos", "token_id")).select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"))
 
 
 def decoded_ids(spark, root):
-    """The most frequent bigrams as ids, decoded by the tokenizer's table."""
-    corpus = spread(load_corpus(spark, "documents", root))
-    tokens = T.train_word_level(corpus)
-    scored = V.select_vocabulary(_scored(spark, root, 2), {2: 200})
-    flat = scored.select("n", "rank", F.posexplode("ngram").alias("pos", "token")).join(F.broadcast(tokens), "token")
-    ids = flat.groupBy("n", "rank").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("s")).select("n", "rank", F.col("s.token_id").alias("ngram"))
-    return V.decode_ids(ids, tokens).select(F.col("rank").cast("long").alias("rank"), F.col("ngram")[0].cast("long").alias("id_0"), F.col("ngram")[1].cast("long").alias("id_1"), "ngram_text")
+    """The best bigrams as ids and, by the tokenizer's table, as text."""
+    scored, names = _mined(spark, root, 2)
+    top = V.decode_ids(V.select_vocabulary(scored, {2: 200}), names)
+    return top.select(F.col("rank").cast("long").alias("rank"), F.col("ngram")[0].cast("long").alias("id_0"), F.col("ngram")[1].cast("long").alias("id_1"), "ngram_text")
+
+
+def capped_counts(spark, root):
+    """Counts of ids where the vocabulary holds CAP words, so that [UNK] stands in many n-grams."""
+    ids, _ = _ids(load_corpus(spark, "documents", root), CAP)
+    counts = G.count_id_ngrams(ids, 3, MIN_COUNT)
+    return counts.select(*[F.coalesce(F.get("ngram", F.lit(i)), F.lit(-1)).cast("long").alias(f"id_{i}") for i in range(3)], "count")
 
 
 def total_ngrams_per_size(spark, root):
@@ -85,7 +100,8 @@ def ngram_counts(spark, root, n):
 
 
 def ngram_table_sizes(spark, root):
-    return G.table_sizes(G.count_ngrams(_tokens(spark, root), list(range(1, MAX_SIZE + 1)), MIN_COUNT)).select(F.col("n").cast("long").alias("n"), "ngrams")
+    ids, _ = _ids(load_corpus(spark, "documents", root))
+    return G.table_sizes(G.count_id_ngrams(ids, MAX_SIZE, MIN_COUNT)).select(F.col("n").cast("long").alias("n"), "ngrams")
 
 
 def batch_counts_2(spark, root):
@@ -108,8 +124,16 @@ def log_likelihood(spark, root, n):
     return _wide(ll, n).withColumn("log_likelihood", _six("log_likelihood"))
 
 
-def _scored(spark, root, max_size):
-    return score_tokens(_tokens(spark, root), max_size, MIN_COUNT)
+def _mined(spark, root, max_size):
+    """Scored n-grams of ids, and the tokens of ids."""
+    ids, names = _ids(load_corpus(spark, "documents", root))
+    return score_ids(ids, max_size, MIN_COUNT), names
+
+
+def _scored(spark, root, n):
+    """The scored n-grams of one size, tokens in place of ids."""
+    scored, names = _mined(spark, root, n)
+    return V.name_ids(scored.where(F.col("n") == n), names).withColumn("ngram", F.col("named")).drop("named")
 
 
 def max_segmentation(spark, root, n):
@@ -143,27 +167,30 @@ def pmi_score(spark, root, n):
 
 
 def vocab_topk_2(spark, root):
-    top = V.top_of_size(_scored(spark, root, 2), 2, 500)
-    return top.select(F.col("rank").cast("long").alias("rank"), F.col("ngram")[0].alias("token_0"), F.col("ngram")[1].alias("token_1"), "pmi_score")
+    scored, names = _mined(spark, root, 2)
+    top = V.name_ids(V.top_of_size(scored, 2, 500), names)
+    return top.select(F.col("rank").cast("long").alias("rank"), F.col("named")[0].alias("token_0"), F.col("named")[1].alias("token_1"), "pmi_score")
 
 
 def _vocab(spark, root, vocab_size=VOCAB_SIZE):
-    return V.decode(V.select_vocabulary(_scored(spark, root, MAX_SIZE), size_quotas(PERCENTS, vocab_size)))
+    scored, names = _mined(spark, root, MAX_SIZE)
+    return V.decode_ids(V.select_vocabulary(scored, size_quotas(PERCENTS, vocab_size)), names)
 
 
 def vocab_all_sizes(spark, root):
-    """The flagship: corpus to size-balanced vocabulary."""
+    """The flagship: corpus to size-balanced vocabulary, on ids of the vocabulary trained on it."""
     return _vocab(spark, root).select(F.col("n").cast("long").alias("n"), F.col("rank").cast("long").alias("rank"), "ngram_text", "pmi_score")
 
 
 def vocab_decoded(spark, root):
-    return V.decode(V.select_vocabulary(_scored(spark, root, 3), {2: 300, 3: 200}), clean_up=True).select("ngram_text")
+    scored, names = _mined(spark, root, 3)
+    return V.decode_ids(V.select_vocabulary(scored, {2: 300, 3: 200}), names, clean_up=True).select("ngram_text")
 
 
 def _half(spark, root, low):
     docs = spark.read.parquet(f"{root}/documents.parquet").where(F.regexp_extract("source", r"(\d+)$", 1).cast("int").between(low, low + 9))
-    tokens = T.tokenise(spread(docs.select(F.col("doc_id").alias("sample_id"), "text")))
-    return V.decode(V.select_vocabulary(score_tokens(tokens, 2, MIN_COUNT), {2: 500})).select("ngram_text")
+    ids, names = _ids(docs.select(F.col("doc_id").alias("sample_id"), "text"))
+    return V.decode_ids(V.select_vocabulary(score_ids(ids, 2, MIN_COUNT), {2: 500}), names).select("ngram_text")
 
 
 def vocab_compare(spark, root):
@@ -179,6 +206,46 @@ def event_sequence_pmi(spark, root):
     return _wide(score_tokens(tokens, 2), 2).select("token_0", "token_1", "count", _six("pmi_score"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder of the shared one for what a query writes and reads back."""
+    return f"{work_dir(spark)}/lexibond-out-{uuid.uuid4().hex}"
+
+
+def written_counts_3(spark, root):
+    """Counts written as one folder for each size, read back under the declared columns of one."""
+    at = _folder(spark)
+    ids, _ = _ids(load_corpus(spark, "documents", root))
+    sinks.write_counts(G.count_id_ngrams(ids, 3, MIN_COUNT), at)
+    return G.declared(read_counts(spark, at).withColumn("n", F.col("n").cast("int")), 3)
+
+
+def written_totals(spark, root):
+    at = _folder(spark)
+    sinks.write_totals(G.totals(_tokens(spark, root), MAX_SIZE), at)
+    return read_totals(spark, at).select(F.col("n").cast("long").alias("n"), "total")
+
+
+def written_vocabulary(spark, root):
+    at = _folder(spark)
+    sinks.write_vocabulary(_vocab(spark, root), at)
+    return read_vocabulary(spark, at)
+
+
+def written_log(spark, root):
+    """The sample log written as a text file, read back by lines."""
+    at = _folder(spark)
+    spark.createDataFrame([(line,) for line in RUN_LINES], "value string").coalesce(1).write.text(at)
+    return L.parse_log(read_log_lines(spark, at)).select("line_no", F.unix_timestamp("ts").alias("secs"), "module_name", "message")
+
+
+def corpus_pages(spark, root):
+    return load_corpus(spark, "pages", root)
+
+
+def corpus_benchmark(spark, root):
+    return load_corpus(spark, "benchmark", root)
+
+
 def _log(spark, root):
     """A run log made of events: each user's clicks start a step, purchases end it."""
     events = spark.read.parquet(f"{root}/events.parquet")
@@ -203,33 +270,33 @@ def log_pairing(spark, root):
 
 
 RUN_LINES = [
-    "2024-03-01 10:00:00,000 - src.db_implementation.run_pipeline - INFO - start experiment: small",
-    "2024-03-01 10:00:30,000 - src.db_implementation.run_pipeline - INFO - start experiment: small",
-    "2024-03-01 10:00:31,000 - src.db_implementation.run_pipeline - INFO - dataset: documents",
-    "2024-03-01 10:00:31,000 - src.db_implementation.run_pipeline - INFO - n_workers: 8",
-    "2024-03-01 10:00:31,000 - src.db_implementation.run_pipeline - INFO - os: Linux",
-    "2024-03-01 10:00:31,000 - src.db_implementation.run_pipeline - INFO - processor: x86_64",
-    "2024-03-01 10:00:31,000 - src.db_implementation.run_pipeline - INFO - RAM_size: 34359738368",
-    "2024-03-01 10:01:00,000 - src.db_implementation.count_ngrams_in_batches - INFO - start",
-    "2024-03-01 10:01:01,000 - src.db_implementation.count_ngrams_in_batches - INFO - n_tokens: 5130042",
-    "2024-03-01 10:02:00,000 - src.db_implementation.count_ngrams_in_batches - INFO - samples 0-99, ngram size 2, parquet file size: 123456",
-    "2024-03-01 10:02:10,000 - src.db_implementation.count_ngrams_in_batches - INFO - samples 100-199, ngram size 2, parquet file size: 654321",
-    "2024-03-01 10:03:00,000 - src.db_implementation.count_ngrams_in_batches - INFO - end",
-    "2024-03-01 10:03:00,000 - src.db_implementation.aggregate_ngram_counts - INFO - start",
-    "2024-03-01 10:05:00,000 - src.db_implementation.aggregate_ngram_counts - INFO - end",
-    "2024-03-01 10:05:01,000 - src.db_implementation.run_pipeline - INFO - db size bytes after aggregate counts: 700000",
-    "2024-03-01 10:05:02,000 - src.db_implementation.prune_low_count_ngrams - INFO - start",
-    "2024-03-01 10:05:12,000 - src.db_implementation.prune_low_count_ngrams - INFO - end",
-    "2024-03-01 10:05:12,000 - src.db_implementation.compute_log_likelihood - INFO - start",
-    "2024-03-01 10:05:20,000 - src.db_implementation.compute_log_likelihood - INFO - end",
-    "2024-03-01 10:05:20,000 - src.db_implementation.compute_max_segmentation_log_likelihood_sum - INFO - start",
-    "2024-03-01 10:07:20,000 - src.db_implementation.compute_max_segmentation_log_likelihood_sum - INFO - end",
-    "2024-03-01 10:07:20,000 - src.db_implementation.compute_pmi_score - INFO - start",
-    "2024-03-01 10:07:25,000 - src.db_implementation.compute_pmi_score - INFO - end",
-    "2024-03-01 10:07:25,000 - src.db_implementation.run_pipeline - INFO - db size bytes after pmi compute: 900000",
-    "2024-03-01 10:07:25,000 - src.db_implementation.compute_pmi_masking_vocab - INFO - start",
-    "2024-03-01 10:07:35,000 - src.db_implementation.compute_pmi_masking_vocab - INFO - end",
-    "2024-03-01 10:07:40,000 - src.db_implementation.run_pipeline - INFO - end experiment: small",
+    "2024-03-01 10:00:00,000 - lexibond.run.run_pipeline - INFO - start experiment: small",
+    "2024-03-01 10:00:30,000 - lexibond.run.run_pipeline - INFO - start experiment: small",
+    "2024-03-01 10:00:31,000 - lexibond.run.run_pipeline - INFO - dataset: documents",
+    "2024-03-01 10:00:31,000 - lexibond.run.run_pipeline - INFO - n_workers: 8",
+    "2024-03-01 10:00:31,000 - lexibond.run.run_pipeline - INFO - os: Linux",
+    "2024-03-01 10:00:31,000 - lexibond.run.run_pipeline - INFO - processor: x86_64",
+    "2024-03-01 10:00:31,000 - lexibond.run.run_pipeline - INFO - RAM_size: 34359738368",
+    "2024-03-01 10:01:00,000 - lexibond.run.count_ngrams_in_batches - INFO - start",
+    "2024-03-01 10:01:01,000 - lexibond.run.count_ngrams_in_batches - INFO - n_tokens: 5130042",
+    "2024-03-01 10:02:00,000 - lexibond.run.count_ngrams_in_batches - INFO - samples 0-99, ngram size 2, parquet file size: 123456",
+    "2024-03-01 10:02:10,000 - lexibond.run.count_ngrams_in_batches - INFO - samples 100-199, ngram size 2, parquet file size: 654321",
+    "2024-03-01 10:03:00,000 - lexibond.run.count_ngrams_in_batches - INFO - end",
+    "2024-03-01 10:03:00,000 - lexibond.run.aggregate_ngram_counts - INFO - start",
+    "2024-03-01 10:05:00,000 - lexibond.run.aggregate_ngram_counts - INFO - end",
+    "2024-03-01 10:05:01,000 - lexibond.run.run_pipeline - INFO - db size bytes after aggregate counts: 700000",
+    "2024-03-01 10:05:02,000 - lexibond.run.prune_low_count_ngrams - INFO - start",
+    "2024-03-01 10:05:12,000 - lexibond.run.prune_low_count_ngrams - INFO - end",
+    "2024-03-01 10:05:12,000 - lexibond.run.compute_log_likelihood - INFO - start",
+    "2024-03-01 10:05:20,000 - lexibond.run.compute_log_likelihood - INFO - end",
+    "2024-03-01 10:05:20,000 - lexibond.run.compute_max_segmentation_log_likelihood_sum - INFO - start",
+    "2024-03-01 10:07:20,000 - lexibond.run.compute_max_segmentation_log_likelihood_sum - INFO - end",
+    "2024-03-01 10:07:20,000 - lexibond.run.compute_pmi_score - INFO - start",
+    "2024-03-01 10:07:25,000 - lexibond.run.compute_pmi_score - INFO - end",
+    "2024-03-01 10:07:25,000 - lexibond.run.run_pipeline - INFO - db size bytes after pmi compute: 900000",
+    "2024-03-01 10:07:25,000 - lexibond.run.select_vocabulary - INFO - start",
+    "2024-03-01 10:07:35,000 - lexibond.run.select_vocabulary - INFO - end",
+    "2024-03-01 10:07:40,000 - lexibond.run.run_pipeline - INFO - end experiment: small",
 ]
 
 
@@ -275,7 +342,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (corpus_union, first_n_samples, word_tokens, token_vocab, encoded_ids, decoded_ids, total_ngrams_per_size, ngram_table_sizes, batch_counts_2, batch_pruned_counts_2, merged_counts_2, max_segmentation_by_splits_4, max_segmentation_bruteforce_3, segmentations_3, vocab_topk_2, vocab_all_sizes, vocab_decoded, vocab_compare, event_sequence_pmi, log_parsed, log_values, log_pairing, log_step_times, log_report, log_experiment, resource_estimate, human_units, extrapolation)}
+    out: dict[str, Query] = {f.__name__: f for f in (corpus_union, first_n_samples, word_tokens, token_vocab, encoded_ids, decoded_ids, capped_counts, written_counts_3, written_totals, written_vocabulary, written_log, corpus_pages, corpus_benchmark, total_ngrams_per_size, ngram_table_sizes, batch_counts_2, batch_pruned_counts_2, merged_counts_2, max_segmentation_by_splits_4, max_segmentation_bruteforce_3, segmentations_3, vocab_topk_2, vocab_all_sizes, vocab_decoded, vocab_compare, event_sequence_pmi, log_parsed, log_values, log_pairing, log_step_times, log_report, log_experiment, resource_estimate, human_units, extrapolation)}
     out |= {f"ngram_counts_{n}": partial(ngram_counts, n=n) for n in range(1, 6)}
     out |= {f"log_likelihood_{n}": partial(log_likelihood, n=n) for n in range(1, 6)}
     out |= {f"max_segmentation_{n}": partial(max_segmentation, n=n) for n in range(2, 6)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,22 @@ def read_dialogue(spark: SparkSession, root: str) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "text")
 
 
+def read_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Raw web pages, markup included."""
+    return spark.read.parquet(f"{root}/pages.parquet").select(F.col("page_id").alias("sample_id"), F.col("html").alias("text"))
+
+
+def read_benchmark(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/benchmark.parquet").select(F.col("item_id").alias("sample_id"), "text")
+
+
+def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A corpus (sample_id, text) or token table (sample_id, tokens) that the driver holds as an Arrow table."""
+    if missing := {"sample_id"} - set(table.column_names):
+        raise ValueError(f"the table lacks {sorted(missing)}")
+    return spark.createDataFrame(table)
+
+
 def union_corpora(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both corpora as one bag. Text columns must have one type. `source_rank` keeps the order: first corpus first."""
     if first.schema["text"].dataType != second.schema["text"].dataType:
@@ -35,6 +52,8 @@ def read_documents_and_dialogue(spark: SparkSession, root: str) -> DataFrame:
 _CORPORA: dict[str, Loader] = {
     "documents": read_documents,
     "conversations": read_dialogue,
+    "pages": read_pages,
+    "benchmark": read_benchmark,
     "documents+conversations": read_documents_and_dialogue,
 }
 

@@ -7,6 +7,7 @@ from lexibond.operators import scoring as S
 from lexibond.operators import vocabulary as V
 from lexibond.plans.mining import score_tokens
 
+# A sample, and below a table of likelihoods, whose results are known in closed form.
 LINE = [1, 1, 1, 0, 1, 0, 2, 0, 2, 1]
 
 
@@ -51,6 +52,32 @@ def test_totals(spark):
     assert empty == {1: 0, 2: 0}
 
 
+@pytest.mark.parametrize("held", [30, 4_000_000])
+def test_id_counts_equal_brute_force(spark, monkeypatch, held):
+    import random
+
+    monkeypatch.setattr(G, "HELD_TOKENS", held)
+    r = random.Random(held)
+    samples = [[min(r.randrange(9), r.randrange(9)) for _ in range(r.choice([0, 1, 2, 3, 9, 40]))] for _ in range(30)]
+    want = {}
+    for n in range(1, 6):
+        want |= brute_counts(samples, n)
+    for least in (1, 2, 4):
+        for pairs in (4_000_000, 0):
+            monkeypatch.setattr(G, "PAIRS", pairs)
+            got = as_dict(G.count_id_ngrams(table(spark, samples).repartition(3), 5, least))
+            assert got == {g: c for g, c in want.items() if c >= least}
+    assert as_dict(G.count_id_ngrams(table(spark, []), 3, 2)) == {} and as_dict(G.count_id_ngrams(table(spark, [[7], []]), 3, 2)) == {}
+
+
+def test_declared_tables_are_unique(spark):
+    rows = [(2, [1, 2], 5), (2, [2, 1], 4), (1, [1], 9)]
+    df = spark.createDataFrame(rows, "n int, ngram array<int>, count long")
+    assert [f.dataType for f in G.declared(df, 2).schema] == [f.dataType for f in G.wide_schema(2)]
+    with pytest.raises(ValueError):
+        G.declared(df.unionByName(df.limit(1)), 2)
+
+
 def test_batches_prune_before_summing(spark):
     t = table(spark, [[1, 2], [1, 2], [1, 2], [3, 4]])
     assert as_dict(G.count_in_batches(t, [2], 2, 2)) == {(1, 2): 2}

@@ -48,16 +48,43 @@ def test_words(spark):
     assert [r[0] for r in df.select(T.words(F.col("t"))).collect()] == [["el", "dijo", ":", "¡", "hola", ",", "mundo", "!", "$", "5", "^", "x"], [], []]
 
 
-def test_strip_accents(spark):
-    assert spark.createDataFrame([("Ångström 漢字",)], "t string").select(T.strip_accents("t")).first()[0] == "angstrom  漢  字 "
+def test_normaliser_equals_the_library(spark):
+    """On letters of many scripts, marks, control characters, white space and signs; only what every version of Unicode agrees on."""
+    import random
+    import unicodedata
+
+    from tokenizers import normalizers, pre_tokenizers
+
+    r = random.Random(5)
+    ranges = [(0, 0x250), (0x250, 0x590), (0x1E00, 0x2000), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x4E80), (0xAC00, 0xD7A4), (0x900, 0x950), (0xF900, 0xFA00), (0xFF00, 0xFF60)]
+    texts = []
+    for low, high in ranges:
+        known = [chr(c) for c in range(low, high) if unicodedata.category(chr(c)) != "Cn"]
+        texts += [" ".join(r.choice(known) + r.choice(["", "a", "\u0301"]) for _ in range(60)) for _ in range(12)]
+    texts += ["Ångström 漢字 한국어 Ünïque\x0bfox\u00a0x\u0085 İ ﬁ", "plain Text\twith\nlines!"]
+    bert, split = normalizers.BertNormalizer(), pre_tokenizers.BertPreTokenizer()
+    got = [x[0] for x in spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(T.words(F.col("t"))).collect()]
+    for text, tokens in zip(texts, got, strict=True):
+        assert tokens == [w for w, _ in split.pre_tokenize_str(bert.normalize_str(text))], text
+
+
+def test_words_beyond_the_cap_are_cut_by_ranges(spark):
+    words = [(f"w{i:03d}", 9 - i // 40) for i in range(200)]
+    order = sorted(words, key=lambda x: (-x[1], x[0]))
+    table = spark.createDataFrame(words, "token string, count long").repartition(5)
+    for room in (1, 39, 40, 41, 130, 199, 200, 300):
+        got = {x["token"]: x["token_id"] for x in T.number_words(table, room + 5).collect()}
+        assert got == {t: i for i, t in enumerate([*T.SPECIALS, *[w for w, _ in order[:room]]])}
+    assert T.number_words(table.limit(0)).count() == 5
 
 
 def test_vocabulary_and_encoding(spark):
     corpus = spark.createDataFrame([(0, "b a b"), (1, "c b"), (2, "")], "sample_id long, text string")
     vocab = {r["token"]: r["token_id"] for r in T.train_word_level(corpus, 7).collect()}
-    assert vocab == {"[UNK]": 0, "[CLS]": 1, "[SEP]": 2, "[PAD]": 3, "[MASK]": 4, "b": 5, "a": 6}
-    ids = {r["sample_id"]: r["input_ids"] for r in T.encode(T.tokenise(corpus), T.train_word_level(corpus, 7)).collect()}
-    assert ids == {0: [5, 6, 5], 1: [0, 5], 2: []}
+    assert vocab == {"[UNK]": 0, "[PAD]": 1, "[CLS]": 2, "[SEP]": 3, "[MASK]": 4, "b": 5, "a": 6}
+    for way in (T.encode, T.encode_by_join):
+        ids = {r["sample_id"]: r["input_ids"] for r in way(T.tokenise(corpus), T.train_word_level(corpus, 7)).collect()}
+        assert ids == {0: [5, 6, 5], 1: [0, 5], 2: []}
 
 
 def test_word_pieces(spark, tmp_path):
@@ -79,12 +106,32 @@ def test_command_line_runs(spark, corpus_root, tmp_path):
     from lexibond.__main__ import main
 
     args = ["--experiment_name", "cli", "--dataset_name", "documents", "--root", corpus_root, "--out", str(tmp_path), "--max_ngram_size", "2", "--min_count_threshold", "2", "--vocab_size", "5", "--ngram_size_to_vocab_percent", "100"]
-    main(args)
+    main([*args, "--clean_up"])
     assert sources.read_vocabulary(spark, f"{tmp_path}/cli/vocabulary").count() == 5
+    assert not (tmp_path / "cli" / "counts").exists()
+    main([*args, "--no_vocabulary_file", "--experiment_name", "bare"])
+    assert (tmp_path / "bare" / "counts").exists() and not (tmp_path / "bare" / "vocabulary").exists()
     with pytest.raises(SystemExit):
         main([*args, "--tokenizer_name", "word-piece"])
 
 
+def test_system_statistics(spark):
+    from lexibond.plans.logged import executor_memory, machine
+
+    has = machine()
+    assert has["cores"] >= 1 and has["memory"] >= has["memory_free"] > 0 and has["disk"] >= has["disk_free"] > 0
+    assert executor_memory(spark).first()["storage_bytes"] > 0
+
+
+def test_arrow_tables_are_corpora(spark):
+    import pyarrow as pa
+
+    table = pa.table({"sample_id": [1, 2], "text": ["a b", None]})
+    assert [r["tokens"] for r in T.tokenise(sources.from_arrow(spark, table)).collect()] == [["a", "b"], []]
+    with pytest.raises(ValueError):
+        sources.from_arrow(spark, table.select(["text"]))
+
+
 def test_sources(spark, corpus_root):
     both = sources.load_corpus(spark, "documents+conversations", corpus_root)
     assert both.count() == 24
@@ -120,6 +167,12 @@ def test_logged_run_can_be_reported(spark, corpus_root, tmp_path, capsys):
     assert sorted(r["ngram_text"] for r in got.collect()) == sorted(r["ngram_text"] for r in want.collect())
     facts = L.run_facts(L.last_run(L.parse_log(sources.read_log_lines(spark, str(tmp_path / "run.log"))), "logged")).first()
     assert facts["complete"] and facts["n_tokens"] == 150
+    # a second run in the same process, with a log of its own
+    run_logged(spark, config, corpus_root, str(tmp_path), str(tmp_path / "second.log"), clean_up=True)
+    for name in ("run.log", "second.log"):
+        again = L.last_run(L.parse_log(sources.read_log_lines(spark, str(tmp_path / name))), "logged")
+        assert L.run_facts(again).first()["complete"] and all(r["pairs"] == 1 for r in L.step_times(again).collect())
+    assert sources.read_vocabulary(spark, f"{tmp_path}/logged/vocabulary").count() == 10 and not (tmp_path / "logged" / "scored").exists()
     print_report(spark, str(tmp_path / "run.log"), "logged")
     print_estimate(spark, str(tmp_path / "run.log"), "logged", 10**9, 4)
     assert "| documents | 150 |" in capsys.readouterr().out
