@@ -32,7 +32,7 @@ SPREAD_BYTES = 32 << 20  # of input for each core, below which a table is dealt
 def spread(df: DataFrame) -> DataFrame:
     """A small table, which may have fewer input splits than there are cores, is dealt over all; a larger one is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
