@@ -6,7 +6,9 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
+from weakref import WeakKeyDictionary
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +22,7 @@ from lexibond.tables import Table
 WORD_PATTERN = r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+"
 SPECIALS = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
 WORD_LEVEL_CAP = 500_000
-BROADCAST_CHARS = 64_000_000  # of a vocabulary that tasks hold as an array
+HELD_CHARS = 64_000_000  # of a vocabulary that tasks hold as an array
 
 _PLAIN = r"[^\t\n\r\x20-\x7E]"  # texts without these are only lower-cased
 _CONTROL = r"[\p{C}\uFFFD&&[^\t\n\r]]"
@@ -122,29 +124,46 @@ def number_words(counted: DataFrame, cap: int = WORD_LEVEL_CAP) -> DataFrame:
         kept = kept.unionByName(ties.df.where(F.col("range").isin(whole)).drop("range"))
         levels.drop()
     # `cap` words at most, so the driver may number them
-    names = kept.orderBy(F.desc("count"), "token").select("token").toArrow().column("token").combine_chunks()
+    held = kept.select("token", "count").toArrow()
+    held = held.take(pc.sort_indices(held, sort_keys=[("count", "descending"), ("token", "ascending")]))
+    names = held.column("token").cast(pa.string()).combine_chunks()
     table.drop()
     if ties:
         ties.drop()
-    tokens = pa.concat_arrays([pa.array(SPECIALS, pa.string()), names.cast(pa.string())])
-    return spark.createDataFrame(pa.table({"token": tokens, "token_id": pa.array(range(len(tokens)), pa.int32())}))
+    tokens = pa.concat_arrays([pa.array(SPECIALS, pa.string()), names])
+    out = spark.createDataFrame(pa.table({"token": tokens, "token_id": pa.array(range(len(tokens)), pa.int32())}))
+    _HELD[out] = tokens
+    return out
+
+
+_HELD: WeakKeyDictionary[DataFrame, pa.Array] = WeakKeyDictionary()
+
+
+def held_names(vocabulary: DataFrame) -> pa.Array | None:
+    """The tokens of a vocabulary (token, token_id; capped) by id, null for ids it lacks; None if they are too long to hold."""
+    if vocabulary not in _HELD:
+        if (vocabulary.agg(F.sum(F.length("token"))).first()[0] or 0) > HELD_CHARS:
+            return None
+        known = vocabulary.select("token", "token_id").toArrow()
+        at, names = known.column("token_id").to_numpy(), known.column("token").cast(pa.string()).combine_chunks()
+        places = np.full(int(at.max(initial=-1)) + 1, -1)
+        places[at] = np.arange(len(at))
+        _HELD[vocabulary] = names.take(pa.array(places, mask=places < 0))
+    return _HELD[vocabulary]
 
 
 def encode(tokenised: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """sample_id, input_ids: unknown words get the id of [UNK]. A vocabulary is capped; one of BROADCAST_CHARS at most is an
+    """sample_id, input_ids: unknown words get the id of [UNK]. A vocabulary is capped; one of HELD_CHARS at most is an
     array that tasks look words up in, a longer one (very long words) is joined."""
-    if (vocabulary.agg(F.sum(F.length("token"))).first()[0] or 0) > BROADCAST_CHARS:
+    names = held_names(vocabulary)
+    if names is None:
         return encode_by_join(tokenised, vocabulary)
-    known = vocabulary.orderBy("token_id").toArrow()
-    names, numbers = known.column("token").combine_chunks().cast(pa.string()), known.column("token_id").combine_chunks().cast(pa.int32())
-    sent = tokenised.sparkSession.sparkContext.broadcast((names, numbers))
+    sent = tokenised.sparkSession.sparkContext.broadcast(names)
 
     def run(batches):
-        names, numbers = sent.value
         for rows in batches:
             tokens = rows.column(1)
-            at = pc.index_in(tokens.flatten().cast(pa.string()), value_set=names)
-            ids = pc.fill_null(pc.take(numbers, at), 0)
+            ids = pc.fill_null(pc.index_in(tokens.flatten().cast(pa.string()), value_set=sent.value), 0)
             starts = pc.subtract(tokens.offsets, tokens.offsets[0])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(starts, ids)], names=["sample_id", "input_ids"])
 

@@ -75,8 +75,9 @@ def _part_counts(flat: np.ndarray, ends: np.ndarray, sizes: range, frequent: np.
     alive = np.ones(len(flat), bool)
     alive[ends[ends > 0] - 1] = False  # no window goes on beyond a sample
     if frequent is not None:
-        alive &= frequent[flat]
-        alive[:-1] &= frequent[flat[1:]]
+        often = np.append(frequent, False)[np.minimum(flat, len(frequent))]
+        alive &= often
+        alive[:-1] &= often[1:]
     code = flat
     for n in range(2, max(sizes) + 1):
         at = np.flatnonzero(alive)
@@ -131,8 +132,7 @@ def count_id_ngrams(ids: DataFrame, max_size: int, min_count: int = 1) -> DataFr
         return done
     if min_count > 1:
         some = single.df.select(token_field(0)).toArrow().column(0).to_numpy().astype(np.int64)
-        highest = ids.agg(F.max(F.array_max("tokens"))).first()[0]
-        frequent = np.zeros((0 if highest is None else int(highest)) + 1, bool)
+        frequent = np.zeros(int(some.max(initial=-1)) + 1, bool)
         frequent[some] = True
     double = Table(prune(_count_parts(ids, range(2, 3), frequent), min_count), "counts")
     done = done.unionByName(_packed(double.df))

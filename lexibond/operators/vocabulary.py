@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from lexibond.functions.text import held_names
 
 DIGITS = 6  # scores are ranked as rounded, so that the last bits of a logarithm don't decide
 
@@ -38,14 +43,26 @@ def decode(vocab: DataFrame, clean_up: bool = False) -> DataFrame:
 
 
 def name_ids(ngrams: DataFrame, names: DataFrame) -> DataFrame:
-    """ngrams (ids in `ngram`) with `named`, their tokens. The names are joined once for each place, by their ids."""
-    out = ngrams
-    longest = ngrams.agg(F.max(F.size("ngram"))).first()[0] or 0
-    for i in range(longest):
-        at = names.select(F.col("token_id").alias(f"_id{i}"), F.col("token").alias(f"_token{i}"))
-        out = out.withColumn(f"_id{i}", F.get("ngram", F.lit(i))).join(at, f"_id{i}", "left")
-    tokens = F.array(*[F.col(f"_token{i}") for i in range(longest)]) if longest else F.array().cast("array<string>")
-    return out.select(*ngrams.columns, F.slice(tokens, F.lit(1), F.size("ngram")).alias("named"))
+    """ngrams (ids in `ngram`) with `named`, their tokens; null for an id without one. Tasks hold the tokens as an array; a
+    vocabulary too long for that is joined."""
+    held = held_names(names)
+    schema = StructType([*ngrams.schema.fields, StructField("named", ArrayType(StringType()))])
+    if held is None:
+        flat = ngrams.select("ngram", F.posexplode("ngram").alias("pos", "token_id")).distinct().join(names, "token_id", "left")
+        spelt = flat.groupBy("ngram").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s")).select("ngram", F.col("s.token").alias("named"))
+        return ngrams.join(spelt, "ngram", "left").select(*schema.names)
+    sent, at = ngrams.sparkSession.sparkContext.broadcast(held), ngrams.columns.index("ngram")
+
+    def run(batches):
+        for rows in batches:
+            ids, known = rows.column(at), sent.value
+            flat = ids.flatten().cast(pa.int64())
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known)))
+            tokens = known.take(pc.if_else(inside, flat, pa.scalar(None, pa.int64())))
+            named = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), tokens)
+            yield pa.RecordBatch.from_arrays([*rows.columns, named], names=schema.names)
+
+    return ngrams.mapInArrow(run, schema)
 
 
 def decode_ids(vocab: DataFrame, names: DataFrame, clean_up: bool = False) -> DataFrame:
