@@ -11,11 +11,11 @@ doesn't goes to a part of its own for such sets, so that none is lost.
 Sets that are equal are one node from the start (local copies are dropped before the shuffle), so copies never meet as
 pairs. Only nodes that agree on a part are compared, and only what is verified on the sets themselves is a link:
 
-1. Every part's nodes are compared with its smallest node: sketches by their Hamming distance, then the sets. Links give
-   components, so a large group of near copies is mostly one component now.
+1. Every part's nodes are compared with its smallest node: sketches by their Hamming distance, short ones, then long ones
+   whose length follows the set's, then the sets. Links give components, so a large group of near copies is mostly one component now.
 2. Of the parts that still hold several components, the other nodes are compared by their sketches, a part in blocks of
    BLOCK nodes, two blocks in a task, and only across components. A block pair gives a spanning forest over components of
-   what the sketches allow, nearest first; the sets decide.
+   what the short sketches allow, nearest first; long sketches and the sets decide.
 3. The same once more, now with every pair that the sketches allow and that is still apart. What passes here without
    being a link has to be verified by any exact method.
 
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from lexibond.llm.components import components
 from lexibond.llm.shared import Table, hot_keys, lookup, mix64, shingle_set, small_batches
 
-BITS = 1 << 16  # bits of a sketch's part
+_FLIP = np.uint64(0x51ED270B)  # a part of a sketch has 2^64 bits, of which a member flips one
 LONGEST = 1 << 40
 BLOCK = 256  # nodes of a block
-SPARE = 16  # bits of a sketch for each element in which similar sets may differ
-LEAST_BITS, MOST_BITS = 256, 1024  # of a sketch
+SPARE, LEAST_BITS, MOST_BITS = 16, 256, 1024  # of a short sketch, bits: for each element in which similar sets may differ, and bounds
+SPARE_LONG = 4  # the same for a long sketch, which has no bound: noise is less where more may differ
 REMEMBERED = 500_000  # nodes a task remembers to drop local copies
-SLOTS = 256  # tasks over which the partners of one node are dealt
+SLOTS = 256  # tasks over which the partners of a node are dealt, if it has many
 BROADCAST = 500_000  # rows of three numbers
 
 
@@ -66,33 +66,36 @@ class Bands:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
-    def differ(self, band: int) -> int:
-        """Most elements in which a pair whose larger set is in the band differs."""
-        top = int(self.low[band + 1]) - 1
-        return 2 * top * (self.den - self.num) // (self.den + self.num)
+    def differ(self, n: int, m: int) -> int:
+        """Most elements in which similar sets of n and m members differ."""
+        return (n + m) * (self.den - self.num) // (self.den + self.num)
 
     def parts(self, band: int) -> int:
-        return int(self.factor * (self.differ(band) + 1)) + 3
+        top = int(self.low[band + 1]) - 1
+        return int(self.factor * (self.differ(top, top) + 1)) + 3
 
 
 def sketch_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set: hashes of (band, part, parity bits) of its filled parts, in its own and the next band."""
+    """The join keys of a set: hashes of (band, part, parity bits) of filled parts, in its own and the next band.
+
+    In a band, the set differs from any similar one in `differ` parts at most, so its first differ + 1 filled parts do: the
+    shorter of two such beginnings has a part in which both agree."""
     out = []
-    own = bands.of(len(s))
-    flips = mix64((s & np.uint64(BITS - 1)) + np.uint64(0x51ED270B))  # a linear hash of a part's bits: XOR of those set
+    n, own = len(s), bands.of(len(s))
+    flips = mix64(s + _FLIP)  # a linear hash of the bits of a part: the XOR of those set
     for band in (own, own + 1):
-        if band > own and len(s) * bands.den < bands.num * int(bands.low[band]):
+        if band > own and n * bands.den < bands.num * int(bands.low[band]):
             continue
-        p = bands.parts(band)
+        p, differ = bands.parts(band), bands.differ(n, min(int(bands.low[band + 1]) - 1, n * bands.den // bands.num))
         part = ((s >> np.uint64(20)) % np.uint64(p)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         sorted_part = part[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]]))
         bits = np.bitwise_xor.reduceat(flips[order], first)
-        filled = bits != 0
-        where = sorted_part[first][filled].astype(np.uint64)
-        out.append(mix64(mix64(bits[filled] + where * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band + 1)))
-        if filled.sum() <= bands.differ(band):
+        filled = np.flatnonzero(bits)
+        where = sorted_part[first][filled[: differ + 1]].astype(np.uint64)
+        out.append(mix64(mix64(bits[filled[: differ + 1]] + where * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band + 1)))
+        if len(filled) <= differ:
             out.append(mix64(np.array([band + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return np.concatenate(out)
 
@@ -119,14 +122,14 @@ def parity_sketch(s: np.ndarray, bits: int) -> int:
     return int.from_bytes(np.packbits(odd.astype(bool), bitorder="little").tobytes(), "little")
 
 
-def sketch_bits(n: int, num: int, den: int) -> int:
-    need = SPARE * 2 * n * (den - num) // (den + num)
-    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, need - 1).bit_length()))
-
-
-def sketch_bytes(s: np.ndarray, num: int, den: int) -> bytes:
-    bits = sketch_bits(len(s), num, den)
-    return parity_sketch(s, bits).to_bytes(bits // 8, "little")
+def sketches(s: np.ndarray, num: int, den: int) -> tuple[bytes, bytes]:
+    """A set's short sketch, which many may be compared by, and its long one, whose size follows the set's."""
+    differ = 2 * len(s) * (den - num) // (den + num)
+    size = lambda spare: 1 << max(0, spare * differ - 1).bit_length()
+    short = min(MOST_BITS, max(LEAST_BITS, size(SPARE)))
+    long = max(short, size(SPARE_LONG))
+    out = parity_sketch(s, long).to_bytes(long // 8, "little")
+    return folded(out, short // 8), out
 
 
 def folded(sketch: bytes, size: int) -> bytes:
@@ -149,11 +152,11 @@ def may_link(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
 
 
 # Rows of the first pass: a document (key is only there to deal rows out, n isn't null) or a sketch key of a node.
-ROWS = "key long, node long, n long, doc long, hash long, sketch binary"
-_NAMES = ["key", "node", "n", "doc", "hash", "sketch"]
+ROWS = "key long, node long, n long, doc long, hash long, short binary, long binary"
+_NAMES = ["key", "node", "n", "doc", "hash", "short", "long"]
 # After the keys are sorted: a document (key is null), or a node of a key that two or more have, with the key's smallest
 # node; wide is false only where the key surely has just two nodes.
-FOUND = "key long, node long, n long, doc long, hash long, sketch binary, centre long, wide boolean"
+FOUND = "key long, node long, n long, doc long, hash long, short binary, long binary, centre long, wide boolean"
 
 
 def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -164,13 +167,13 @@ def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         done = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0  # deals documents out, alike at every retry
         for rows in batches:
             ids, texts = rows.column(0), rows.column(1).to_pylist()
-            nodes, sizes, sketches, keys, owners = [], [], [], [], []
+            nodes, sizes, drawn, keys, owners = [], [], [], [], []
             for t in texts:
                 s = shingle_set((t or "").encode(), k)
                 node = node_of(s)
                 nodes.append(node)
                 sizes.append(len(s))
-                sketches.append(sketch_bytes(s, bands.num, bands.den) if len(s) else None)
+                drawn.append(sketches(s, bands.num, bands.den) if len(s) else (None, None))
                 if len(s) and node not in seen:
                     if len(seen) >= REMEMBERED:
                         seen = set()
@@ -180,19 +183,19 @@ def _spread(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                     owners.append(np.full(len(own), node, np.int64))
             dealt = mix64(np.arange(done, done + len(texts), dtype=np.uint64)).view(np.int64)
             done += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), ids, rows.column(2), pa.array(sketches, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), ids, rows.column(2), *[pa.array([x[i] for x in drawn], pa.binary()) for i in (0, 1)]], names=_NAMES)
             if keys:
                 flat, own = np.concatenate(keys).view(np.int64), np.concatenate(owners)
                 for at in range(0, len(flat), 200_000):
                     part = flat[at : at + 200_000]
                     none = pa.nulls(len(part), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[at : at + 200_000]), none, none, none, pa.nulls(len(part), pa.binary())], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[at : at + 200_000]), none, none, none, *[pa.nulls(len(part), pa.binary())] * 2], names=_NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, ROWS)
 
 
 def _found(columns: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.bool_()]
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
     size = max(len(c) for c in columns if c is not None)
     arrays = [pa.nulls(size, t) if c is None else pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, kinds, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[*_NAMES, "centre", "wide"])
@@ -208,7 +211,7 @@ def _shared(spread: DataFrame) -> DataFrame:
             is_doc = rows.column(2).is_valid().to_numpy(zero_copy_only=False)
             if is_doc.any():
                 mine = rows.filter(pa.array(is_doc))
-                yield _found([None, *[mine.column(i) for i in range(1, 6)], None, None])
+                yield _found([None, *[mine.column(i) for i in range(1, 7)], None, None])
                 key, node = key[~is_doc], node[~is_doc]
             if not len(key):
                 continue
@@ -232,17 +235,17 @@ def _shared(spread: DataFrame) -> DataFrame:
             wide = total >= 3
             wide[-1] = True  # more may follow
             if goes_on and size == 1 and out[0]:  # the open key's first node, kept back until a second came
-                yield _found([[int(key[0])], [int(first_node)], None, None, None, None, [int(first_node)], [bool(wide[0])]])
+                yield _found([[int(key[0])], [int(first_node)], None, None, None, None, None, [int(first_node)], [bool(wide[0])]])
             last_key, last_node, first_node, size = int(key[-1]), int(node[-1]), int(centre[-1]), int(total[-1])
             if out.any():
-                yield _found([key[out], node[out], None, None, None, None, centre[run_of][out], wide[run_of][out]])
+                yield _found([key[out], node[out], None, None, None, None, None, centre[run_of][out], wide[run_of][out]])
 
     return spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, FOUND)
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sketches allow a link. pairs is a written table."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"of_{c}"))
+def _plausible(pairs: DataFrame, nodes: DataFrame, sketch: str, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b; a written table) whose sketches, short or long, allow a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", sketch).alias(f"of_{c}"))
     hubs = hot_keys(pairs, "a")
     often = F.col("a").isin(hubs) if hubs else F.lit(False)
     ends = pairs.join(side("b"), "b")
@@ -253,23 +256,26 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     def run(batches):
         for rows in batches:
             sides = [rows.column(i).to_pylist() for i in (2, 3)]
-            ok = [may_link(x["n"], x["sketch"], y["n"], y["sketch"], num, den) for x, y in zip(*sides, strict=True)]
+            ok = [may_link(x["n"], x[sketch], y["n"], y[sketch], num, den) for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b; a written table) that are links, by the sets of one document of each node.
-
-    The partners of a node are dealt over SLOTS tasks, which hold the node's own set and see one partner at a time."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> Table:
+    """Those of the pairs (a, b; a written table) that are links: first by long sketches, then by the sets of one document
+    of each node. A task holds the set of a and sees one partner at a time; partners of a node that has many are dealt over
+    SLOTS tasks."""
+    likely = Table(_plausible(pairs, nodes, "long", num, den), "jaccard-likely")
+    wanted = likely.df.select(F.col("a").alias("node")).unionByName(likely.df.select(F.col("b").alias("node"))).distinct()
     wanted = Table(wanted.join(nodes, "node").select("node", "doc", "hash"), "jaccard-wanted")
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("th"))
     asked = F.broadcast(wanted.df) if wanted.df.count() <= BROADCAST else wanted.df
     one = named.join(asked, (F.col("th") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc"))).select("node", "text")
     texts = Table(one.dropDuplicates(["node"]), "jaccard-texts")  # rows may be repeated
-    dealt = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).cast("int"))
+    hubs = hot_keys(likely.df, "a")
+    slot = F.pmod(F.xxhash64("b"), F.lit(SLOTS))
+    dealt = likely.df.withColumn("slot", (F.when(F.col("a").isin(hubs), slot).otherwise(0) if hubs else F.lit(0)).cast("int"))
     members = dealt.join(texts.df.withColumnRenamed("node", "b"), "b").select("a", "slot", "b", "text")
     centres = dealt.select("a", "slot").distinct().join(texts.df.withColumnRenamed("node", "a"), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
     rows = centres.unionByName(members).repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
@@ -288,8 +294,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     links = Table(rows.mapInArrow(run, "a long, b long"), "jaccard-links")
-    wanted.drop()
-    texts.drop()
+    for table in (likely, wanted, texts):
+        table.drop()
     return links
 
 
@@ -338,12 +344,12 @@ def _rest(shared: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den:
     met = live.withColumn("block", block).select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
     lo, hi = F.least("block", "with"), F.greatest("block", "with")
     tasks = met.select("node", "label", F.xxhash64("key", lo, hi).alias("task"), (F.col("block") == lo).alias("first"))
-    rows = tasks.join(nodes.select("node", "n", "sketch"), "node").repartition("task").sortWithinPartitions("task", "node").select("task", "node", "label", "n", "sketch", "first")
+    rows = tasks.join(nodes.select("node", "n", "short"), "node").repartition("task").sortWithinPartitions("task", "node").select("task", "node", "label", "n", "short", "first")
 
     def one(held: list):
         if len(held) > 1:
-            node, label, n, sketch, first = zip(*held, strict=True)
-            found = across(np.array(node), np.array(label), np.array(n), list(sketch), np.array(first), num, den, every)
+            node, label, n, short, first = zip(*held, strict=True)
+            found = across(np.array(node), np.array(label), np.array(n), list(short), np.array(first), num, den, every)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -367,7 +373,7 @@ def _linked(found: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: in
     """node, label of all nodes that have a verified link; the label is the component's smallest node."""
     shared = found.where(F.col("key").isNotNull())
     stars = Table(shared.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
-    likely = Table(_plausible(stars.df, nodes, num, den), "jaccard-likely")
+    likely = Table(_plausible(stars.df, nodes, "short", num, den), "jaccard-near")
     stars.drop()
     links = [_verified(likely.df, docs, nodes, k, num, den)]
     likely.drop()
@@ -394,10 +400,10 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     keep: further columns, hash (of the text) and label (one for each component of rows that have shingles)."""
     small_batches(docs.sparkSession)
     found = Table(_shared(_spread(docs, k, Bands(num, den))), "jaccard")
-    known = found.df.where(F.col("key").isNull()).select("doc", F.col("n").alias("n_shingles"), "node", "hash", "n", "sketch")
+    known = found.df.where(F.col("key").isNull()).select("doc", F.col("n").alias("n_shingles"), "node", "hash", "n", "short", "long")
     one = F.min(F.struct("doc", "hash"))
-    nodes = known.where(F.col("n") > 0).groupBy("node").agg(one.alias("one"), F.min("doc").alias("low"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    nodes = Table(nodes.select("node", "one.doc", "one.hash", "low", "n", "sketch"), "jaccard-nodes")
+    nodes = known.where(F.col("n") > 0).groupBy("node").agg(one.alias("one"), F.min("doc").alias("low"), F.min("n").alias("n"), F.min("short").alias("short"), F.min("long").alias("long"))
+    nodes = Table(nodes.select("node", "one.doc", "one.hash", "low", "n", "short", "long"), "jaccard-nodes")
     labels = _linked(found.df, docs, nodes.df, k, num, den)
     lowest = Table(labels.df.join(nodes.df.select("node", "low"), "node").groupBy("label").agg(F.min("low").alias("all")), "jaccard-lowest")
     named = Table(lookup(labels.df, "label", lowest.df), "jaccard-named")
