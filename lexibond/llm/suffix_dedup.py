@@ -18,7 +18,7 @@ of by anchor, and two marks tell the anchor's own task that it has several class
 
 Earlier means a smaller id or, in the same document, an earlier start. Rows of one id are taken as one document in this:
 strings at the same start aren't earlier than each other (so all of them go on as first ones, and repeated rows as one
-record), and a removal applies to the rows with that text. Null ids come
+record). Every record carries its text's 64-bit hash, and a removal applies to the rows with that id and text. Null ids come
 after all others. A null text is empty. Every row gives one row (exact repeats of id and text are judged alike), other
 columns are left out, texts shorter than `width` bytes stay whole, an empty table gives no rows."""
 
@@ -109,15 +109,15 @@ def merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.concatenate([new[1:], [len(start)]]) - 1] if len(start) else reach
 
 
-# Rows between stages. kind 0: a record dealt by anchor, 1: by class, 2: a mark, 3: a decided removal (a = start, b = end).
-# place packs the anchor's (or string's) start, 16 bits of the text's hash and the run: start << 30 | tag << 14 | before << 7 | after.
-ROWS = "key long, digit long, doc long, place long, kind int"
-_NAMES = ["key", "digit", "doc", "place", "kind"]
+# Rows between stages. kind 0: a record dealt by anchor, 1: by class, 2: a mark, 3: a decided removal (digit = start, place = end).
+# tag is the hash of the text; place packs the anchor's (or string's) start and the run: start << 14 | before << 7 | after.
+ROWS = "key long, digit long, doc long, tag long, place long, kind int"
+_NAMES = ["key", "digit", "doc", "tag", "place", "kind"]
 
 
-def _rows(key, digit, doc, place, kind) -> pa.RecordBatch:
+def _rows(key, digit, doc, tag, place, kind) -> pa.RecordBatch:
     kinds = np.full(len(key), kind, np.int32) if np.isscalar(kind) else kind
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).view(np.int64) if np.asarray(c).dtype == np.uint64 else c) for c in (key, digit, doc, place)] + [pa.array(kinds, pa.int32())], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).view(np.int64) if np.asarray(c).dtype == np.uint64 else c) for c in (key, digit, doc, tag, place)] + [pa.array(kinds, pa.int32())], names=_NAMES)
 
 
 def _firsts(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +127,11 @@ def _firsts(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
 
 
-def _removed(doc: np.ndarray, place: np.ndarray, width: int) -> pa.RecordBatch:
-    """Records that are repeated whole, as rows of kind 3: digit is the first byte, place the end << 16 | tag.
+def _removed(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, width: int) -> pa.RecordBatch:
+    """Records that are repeated whole, as rows of kind 3: digit is the first byte, place the end.
 
     Overlapping removals of a text become one row."""
-    start, tag = place >> 30, (place >> 14) & 0xFFFF
+    start = place >> 14
     a, b = start - ((place >> 7) & 127), start - (place & 127) + width
     order = np.lexsort((a, tag, doc))
     doc, tag, a, b = doc[order], tag[order], a[order], b[order]
@@ -141,38 +141,38 @@ def _removed(doc: np.ndarray, place: np.ndarray, width: int) -> pa.RecordBatch:
     new = np.flatnonzero(np.concatenate([[True], text[1:] + a[1:] > reach[:-1]]))
     end = (reach - text)[np.concatenate([new[1:], [len(a)]]) - 1]
     doc, tag, a = doc[new], tag[new], a[new]
-    return _rows(mix64(doc.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64)), a, doc, end << 16 | tag, 3)
+    return _rows(mix64(tag.astype(np.uint64) * np.uint64(31) + a.astype(np.uint64)), a, doc, tag, end, 3)
 
 
-def _ties(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, first: np.ndarray, lead=(0, 0), before=None):
+def _ties(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, first: np.ndarray, lead=(0, 0), before=None):
     """Of rows in order: which start where the first of their class does in the same document, so that neither is earlier, and
     which repeat the row before them. lead: document and start of the class that goes on from before, before: the row before."""
-    start, at = place >> 30, np.flatnonzero(first)
+    start, at = place >> 14, np.flatnonzero(first)
     which = np.cumsum(first)
     tied = (doc == np.concatenate([[lead[0]], doc[at]])[which]) & (start == np.concatenate([[lead[1]], start[at]])[which])
-    same = np.zeros(len(key), bool)
-    same[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    same = np.zeros(len(doc), bool)
+    same[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (place[1:] == place[:-1])
     if before is not None and not first[0]:
-        same[0] = before == (doc[0], place[0])
+        same[0] = before == (doc[0], tag[0], place[0])
     return tied, same
 
 
-def _send(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, place: np.ndarray, width: int):
+def _send(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, width: int):
     """What a task sends of a batch: removals that it can decide, the first of each class, and marks of hot keys."""
-    order, first = _firsts([key, digit, doc, place])
-    key, digit, doc, place = key[order], digit[order], doc[order], place[order]
-    tied, same = _ties(key, digit, doc, place, first)
+    order, first = _firsts([key, digit, doc, place, tag])
+    key, digit, doc, tag, place = key[order], digit[order], doc[order], tag[order], place[order]
+    tied, same = _ties(doc, tag, place, first)
     if (~tied).any():
-        yield _removed(doc[~tied], place[~tied], width)
+        yield _removed(doc[~tied], tag[~tied], place[~tied], width)
     keys, count = np.unique(key[first], return_counts=True)
     sent = tied & ~same
-    key, digit, doc, place = key[sent], digit[sent], doc[sent], place[sent]
+    key, digit, doc, tag, place = key[sent], digit[sent], doc[sent], tag[sent], place[sent]
     hot = (count >= HOT)[np.searchsorted(keys, key)]
-    yield _rows(np.where(hot, mix64(key ^ mix64(digit)), key), digit, doc, place, hot.astype(np.int32))
+    yield _rows(np.where(hot, mix64(key ^ mix64(digit)), key), digit, doc, tag, place, hot.astype(np.int32))
     marks = keys[count >= HOT]
     if len(marks):
         twice, zero = np.repeat(marks, 2), np.zeros(2 * len(marks), np.int64)
-        yield _rows(twice, np.tile(np.array([-1, -2]), len(marks)), zero, zero, 2)
+        yield _rows(twice, np.tile(np.array([-1, -2]), len(marks)), zero, zero, zero, 2)
 
 
 def _records(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _records(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 if len(text) < width:
                     continue
                 h, u, p, begin, last = anchors(np.frombuffer(text, np.uint8), width, gram)
-                got.append((h, u, np.full(len(h), doc, np.int64), p << 30 | tag << 14 | (p - begin) << 7 | (p - last)))
+                got.append((h, u, np.full(len(h), doc, np.int64), np.full(len(h), tag, np.int64), p << 14 | (p - begin) << 7 | (p - last)))
             if not got:
                 continue
             yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
@@ -196,26 +196,25 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         last = None  # (key, digit) of the last row
-        lead, before = (0, 0), None  # document and start of the first row of the open class; document and place of the last row
+        lead, before = (0, 0), None  # document and start of the first row of the open class; document, text and place of the last row
         held = None  # the first rows of the open anchor while it has one class
         many = False  # whether the open anchor has several classes
         for batch in batches:
-            key, digit, doc, place = (batch.column(i).to_numpy() for i in range(4))
-            kind = batch.column(4).to_numpy()
+            key, digit, doc, tag, place, kind = (batch.column(i).to_numpy() for i in range(6))
             passing = kind == 3
             if passing.any():
-                yield _rows(key[passing], digit[passing], doc[passing], place[passing], 3)
-                key, digit, doc, place, kind = (c[~passing] for c in (key, digit, doc, place, kind))
+                yield _rows(key[passing], digit[passing], doc[passing], tag[passing], place[passing], 3)
+                key, digit, doc, tag, place, kind = (c[~passing] for c in (key, digit, doc, tag, place, kind))
             if not len(key):
                 continue
             goes_on = last is not None and last[0] == key[0]
             new_key = np.concatenate([[not goes_on], key[1:] != key[:-1]])
             new_class = new_key | np.concatenate([[not (goes_on and last[1] == digit[0])], digit[1:] != digit[:-1]])
-            tied, same = _ties(key, digit, doc, place, new_class, lead, before)
+            tied, same = _ties(doc, tag, place, new_class, lead, before)
             again = ~tied & (kind != 2)
             fresh = tied & ~same & (kind != 2)
             if again.any():
-                yield _removed(doc[again], place[again], width)
+                yield _removed(doc[again], tag[again], place[again], width)
             run_of = np.cumsum(new_key) - new_key[0]  # 0 is the open anchor, or the first if none goes on
             run_of = run_of - run_of[0]
             classes = np.bincount(run_of, weights=new_class).astype(np.int64)
@@ -228,27 +227,27 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
                 held = None
             sent = fresh & ((classes[run_of] >= 2) | (kind == 1))
             if sent.any():
-                yield _rows(key[sent], digit[sent], doc[sent], place[sent], 0)
+                yield _rows(key[sent], digit[sent], doc[sent], tag[sent], place[sent], 0)
             end = run_of == run_of[-1]
             many = bool(classes[-1] >= 2)
             lone = np.flatnonzero(end & fresh & (kind == 0))
             if many or run_of[-1]:
                 held = None
             if not many and len(lone):
-                own = (key[lone], digit[lone], doc[lone], place[lone])
+                own = (key[lone], digit[lone], doc[lone], tag[lone], place[lone])
                 held = own if held is None else tuple(np.concatenate(c) for c in zip(held, own, strict=True))
-            last, before = (key[-1], digit[-1]), (doc[-1], place[-1])
+            last, before = (key[-1], digit[-1]), (doc[-1], tag[-1], place[-1])
             if new_class.any():
                 i = np.flatnonzero(new_class)[-1]
-                lead = (doc[i], place[i] >> 30)
+                lead = (doc[i], place[i] >> 14)
 
-    return rows.repartition("key").sortWithinPartitions("key", "digit", "doc", "place").mapInArrow(run, ROWS)
+    return rows.repartition("key").sortWithinPartitions("key", "digit", "doc", "place", "tag").mapInArrow(run, ROWS)
 
 
 def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) -> DataFrame:
     """The runs that are still open, divided at multiples of `block` before the anchor. The key is the hash of the bytes
     that all strings of a whole block share, the digit that of the bytes that the strings at hand cover."""
-    wanted = open_runs.withColumn("tag", F.shiftright("place", 14).bitwiseAND(0xFFFF)).groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+    wanted = open_runs.groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
     mine = docs.select("doc", "tag", "bytes").join(wanted, ["doc", "tag"]).select("doc", "tag", "bytes", "places")
 
     def run(batches):
@@ -258,7 +257,7 @@ def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) ->
                 place, data = np.unique(np.array(places, np.int64)), np.frombuffer(text, np.uint8)
                 for at in range(0, len(place), CHUNK // 64):
                     own = place[at : at + CHUNK // 64]
-                    p, far, near = own >> 30, (own >> 7) & 127, own & 127
+                    p, far, near = own >> 14, (own >> 7) & 127, own & 127
                     n = far // block - near // block + 1
                     which = np.repeat(np.arange(len(own)), n)
                     j = (near // block)[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -267,7 +266,7 @@ def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) ->
                     spans, more, q = Spans(data[low:top]), Spans(data[low:top], 1), p - low
                     key = mix64(spans.of(q - j * block, q - (j * block + block - 1) + width) + j.astype(np.uint64) * np.uint64(257))
                     digit = mix64(more.of(q - far, q - near + width) + (far * 128 + near).astype(np.uint64))
-                    got.append((key, digit, np.full(len(p), doc, np.int64), p << 30 | tag << 14 | far << 7 | near))
+                    got.append((key, digit, np.full(len(p), doc, np.int64), np.full(len(p), tag, np.int64), p << 14 | far << 7 | near))
             if got:
                 yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
 
@@ -276,7 +275,7 @@ def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) ->
 
 def _cut(docs: DataFrame, removals: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (bytes that are left) and spans (the removed runs)."""
-    tagged = removals.select("doc", F.col("place").bitwiseAND(0xFFFF).alias("tag"), F.struct(F.col("digit").alias("a"), F.shiftright("place", 16).alias("b")).alias("x"))
+    tagged = removals.select("doc", "tag", F.struct(F.col("digit").alias("a"), F.col("place").alias("b")).alias("x"))
     lists = tagged.groupBy("doc", "tag").agg(F.collect_list("x").alias("xs"))
     mine = docs.join(lists, ["doc", "tag"], "left").select("doc_id", "bytes", F.col("xs.a").alias("a"), F.col("xs.b").alias("b"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -305,12 +304,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"), F.encode(text, "UTF-8").alias("bytes"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("tag"), F.encode(text, "UTF-8").alias("bytes"))
     source = slim.select("doc", "tag", "bytes")
     passes = []
     rows = _records(source, width, gram)
     for block in (BLOCK, 1, None):
-        passes.append(Table(_classes(rows, width).select("digit", "doc", "place", "kind"), "suffix-pass"))
+        passes.append(Table(_classes(rows, width).select("digit", "doc", "tag", "place", "kind"), "suffix-pass"))
         rows = None if block is None else _narrower(source, passes[-1].df.where(F.col("kind") == 0), width, block)
     decided = passes[0].df.unionByName(passes[1].df).unionByName(passes[2].df).where(F.col("kind") == 3)
     return _cut(slim, decided)

@@ -172,6 +172,22 @@ def test_repeated_rows_are_first_occurrences(spark):
         assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)) == brute_removal(docs, 100)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Null ids and one repeated id, with texts whose hashes agree in 16 bits."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(21)
+    texts = [(i, f"{i} " + "".join(r.choice("abcdefgh") for _ in range(380))) for i in range(1500)]
+    hashed = spark.createDataFrame(texts, "i long, t string").select("i", F.xxhash64("t").bitwiseAND(0xFFFF).alias("h")).collect()
+    by = {}
+    for x in hashed:
+        by.setdefault(x["h"], []).append(x["i"])
+    same = next(v for v in by.values() if len(v) > 1)
+    a, b, other = texts[same[0]][1], texts[same[1]][1], texts[7 if 7 not in same else 8][1]
+    docs = [(None, a), (None, b), (None, other[:150] + a[:200]), (5, a[:151] + "x" * 20), (9, a), (9, b), (9, b[100:] + other)]
+    assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute_removal(docs, 100)
+
+
 def test_removal_on_odd_documents(spark):
     docs = [(d, t[:3000] if t else t) for d, t, *_ in rows()]
     df = spark.createDataFrame([(d, t, 1, 2, "b") for d, t in docs], "doc_id long, text string, doc int, tag int, bytes string")
