@@ -54,7 +54,7 @@ def brute(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("density,top", [(1.0, 30), (0.1, 3), (1.0, 2_000_000)])
+@pytest.mark.parametrize("density,top", [(1.0, 30), (0.1, 3), (0.4, 9), (1.0, 2_000_000), (0.7, 2**29)])
 def test_topk_is_exact(spark, density, top):
     r = np.random.RandomState(3)
     rows = [(i, [int(x) if r.rand() < density else 0 for x in r.randint(-top, top, 12)]) for i in range(300)] + [(301, None)]
@@ -63,6 +63,30 @@ def test_topk_is_exact(spark, density, top):
     assert sorted(tuple(x) for x in got.collect()) == brute(rows, 7)
 
 
+def test_weights_of_more_than_32_bits(spark):
+    """6.4e9 is what a component of 1e8 becomes; beyond 64 bits scores are cut off and rank as equals."""
+    rows = [(i, [6_400_000_000 * (i % 7 - 3), i, -i * i]) for i in range(60)]
+    got = topk.top_k(spark.createDataFrame(rows, "id long, w array<long>"), F.col("id") % 20 == 0, 9, block=16)
+    most = lambda x: max(-(2**63), min(2**63 - 1, x))
+
+    def best(q, v):
+        scores = sorted((-most(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)
+        return [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:9])]
+
+    assert sorted(tuple(x) for x in got.collect()) == [x for q, v in rows if q % 20 == 0 for x in best(q, v)]
+    assert spark.createDataFrame([([1e8],)], "v array<float>").select(topk.integer_weights(F.col("v"))).first()[0] == [6_400_000_000]
+
+
+def test_terms_are_scattered_as_lists_and_arrays():
+    r = np.random.RandomState(2)
+    c = r.randint(-5, 6, (50, 8)) * (r.rand(50, 8) < np.linspace(0, 1, 8))
+    q = r.randint(-5, 6, (9, 8)) * (r.rand(9, 8) < np.linspace(1, 0, 8))
+    for kind in (np.float32, np.float64, np.int64, object):
+        lists = topk.postings(c, kind)
+        assert {at is None for at, _ in lists} == {True, False}
+        assert (topk.accumulate(q, lists, len(c), kind) == q @ c.T).all()
+
+
 def test_topk_ties_and_few_rows(spark):
     rows = [(i, [1, 2]) for i in range(50)]
     got = topk.top_k(spark.createDataFrame(rows, "id long, w array<long>"), F.col("id") % 20 == 0, 5, block=16)
