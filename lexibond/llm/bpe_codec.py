@@ -2,15 +2,18 @@
 
 A rolling hash of the last bytes picks chunk ends by content, so that copies and shared passages fall into equal chunks
 wherever they stand. Each worker encodes a chunk once and keeps its ids; a text's ids are those of its chunks, with the
-joins repaired: where a join isn't a proven boundary of the splitting pattern, the words around it are encoded again in a
-growing window until the window's ends agree with both chunks exactly. Chunks are shared within a worker, not over the
-cluster: a shuffle of chunk texts and ids would write more than the input, reading each text once writes nothing.
+joins repaired: where a join isn't a proven boundary of the splitting pattern, what stands between the nearest proven ones
+on both sides is encoded again, and both chunks' tokens must agree with those places exactly; where there is none near, the
+chunks are one from the start. So the work is linear in the text, whatever its script. Chunks are shared within a worker,
+not over the cluster: a shuffle of chunk texts and ids would write more than the input, reading each text once writes nothing.
 
 Nulls count as empty texts. One row for each row, repeated rows repeat, an empty table gives an empty one."""
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ WINDOW = 16  # bytes under the rolling hash
 MEAN_BITS = 8  # a chunk has about 2^8 bytes more than the least
 LEAST = 64
 MOST = 16_384
+NEAR = 1_024  # characters of both sides in which a join looks for proven places
 REMEMBERED_BYTES = 24_000_000  # of chunk texts and ids a worker keeps
 
 _NONE = np.zeros(0, np.int32)
@@ -41,20 +45,31 @@ def rolling(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def chunk_ends(text: bytes, mean_bits: int = MEAN_BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Byte places where chunks end: by content before a space or, if none comes, after `most` bytes."""
+# Characters whose class no version of Unicode changed, and the class changes at which the splitting pattern
+# always ends a word, whatever stands before. Apostrophes (contractions) and the signs of special strings take no part.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_DIGITS = "0-9"
+_SIGNS = r"!-&(-/:;=?-@\[-`{}~\u3001-\u3003\u3008-\u3011\uff01\uff0c\uff1a\uff1b\uff1f"
+_CUT = re.compile(rf"(?<=[{_LETTERS}])(?=[{_DIGITS}{_SIGNS}' \n\t])|(?<=[{_DIGITS}])(?=[{_LETTERS}{_SIGNS}' \n\t])|(?<=[{_SIGNS}])(?=[{_LETTERS}{_DIGITS} \n\t])")
+
+
+def chunk_ends(text: bytes, mean_bits: int = MEAN_BITS, least: int = LEAST, most: int = MOST, cuts: Callable[[], np.ndarray] | None = None) -> list[int]:
+    """Byte places where chunks end: by content before a space; where none comes for `most` bytes, at the next of `cuts`
+    (proven byte places of the text), if there is one."""
     n = len(text)
     if n <= least:
         return [n] if n else []
     data = np.frombuffer(text, np.uint8)
     mask = np.uint64((1 << max(0, mean_bits - 3)) - 1)  # about one byte in 2^3 is followed by a space
     ends = np.flatnonzero(((rolling(data)[:-1] & mask) == 0) & (data[1:] == 32)) + 1
-    out, at = [], 0
+    out, at, places = [], 0, None
     for e in [*ends.tolist(), n]:
-        while e - at > most:
-            at += most
-            while text[at] & 0xC0 == 0x80:  # never inside a character
-                at -= 1
+        while e - at > most and cuts:
+            places = cuts() if places is None else places
+            i = int(np.searchsorted(places, at + most))
+            if i == len(places) or places[i] >= e:
+                break
+            at = int(places[i])
             out.append(at)
         if e - at >= least or e == n:
             if e > at:
@@ -78,6 +93,9 @@ class Codec:
 
     def __init__(self, file: str) -> None:
         self.library, self.bytes = Library.of(file), Bytes.of(file)
+        special = sorted(self.library.special_strings(), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.longest = max(map(len, special), default=0)
         self.kept: OrderedDict[str, np.ndarray] = OrderedDict()
         self.size = 0
 
@@ -87,16 +105,38 @@ class Codec:
             cls._open[file] = cls(file)
         return cls._open[file]
 
+    def cuts(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
+        """The proven places of a text in [start, end)."""
+        inside = {i for m in self.special.finditer(text, max(0, start - self.longest), min(len(text), (len(text) if end is None else end) + self.longest)) for i in range(m.start() + 1, m.end())} if self.special else ()
+        return [m.start() for m in _CUT.finditer(text, start, len(text) if end is None else end) if m.start() > start and m.start() not in inside]
+
+    def _byte_cuts(self, text: str) -> np.ndarray:
+        sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        width = 1 + (sizes > 0x7F).astype(np.int64) + (sizes > 0x7FF) + (sizes > 0xFFFF)
+        return np.concatenate([[0], np.cumsum(width)])[np.array(self.cuts(text), np.int64)]
+
     def chunks(self, texts: list[str], **how) -> list[list[str]]:
         out = []
         for t in texts:
             raw, at, own = t.encode(), 0, []
-            for e in chunk_ends(raw, **how):
+            for e in chunk_ends(raw, cuts=lambda t=t: self._byte_cuts(t), **how):
                 own.append(raw[at:e].decode())
                 at = e
-            out.append(own)
+            out.append(self._glued(own))
         return out
 
+    def _glued(self, own: list[str]) -> list[str]:
+        """Chunks whose join is neither proven nor has proven places near on both sides are one."""
+        if all(proven(a, b) for a, b in zip(own, own[1:], strict=False)):
+            return own
+        out: list[list[str]] = []
+        for c in own:
+            if out and not (proven(out[-1][-1], c) or (self.cuts(out[-1][-1], max(0, len(out[-1][-1]) - NEAR)) and self.cuts(c, 0, NEAR))):
+                out[-1].append(c)
+            else:
+                out.append([c])
+        return ["".join(parts) for parts in out]
+
     def encode_many(self, texts: list[str], **how) -> list[np.ndarray]:
         cut = self.chunks(texts, **how)
         need = set().union(*cut) if cut else set()
@@ -120,47 +160,32 @@ class Codec:
         return out
 
     def _repaired(self, own: list[str], found: dict[str, np.ndarray]) -> np.ndarray:
-        """Joins left to right; text and ids of what is joined so far grow together."""
-        done, text = found[own[0]], own[0]
+        """Joins left to right. What stands before the last proven place is done; the rest, text and ids, is at hand."""
+        done, text, ids = [], own[0], found[own[0]]
         for c in own[1:]:
-            ids = found[c]
-            done = np.concatenate([done, ids]) if proven(text, c) else self._join(text, done, c, ids)
-            text += c
-        return done
-
-    def _join(self, a: str, a_ids: np.ndarray, b: str, b_ids: np.ndarray) -> np.ndarray:
-        """Encodes a window around the join again, wider until it begins and ends at proven cuts inside both sides."""
-        before, after = 256, 256
-        while True:
-            left, right = _cut_back(a, before), _cut_ahead(b, after)
-            head, tail = len(a[:left].encode()), len(b[:right].encode())
-            i = _token_at(self.bytes.lengths[a_ids], head)
-            j = _token_at(self.bytes.lengths[b_ids], tail)
-            if i is not None and j is not None:
-                middle = self.library.encode_many([a[left:] + b[:right]])[0]
-                return np.concatenate([a_ids[:i], middle, b_ids[j:]])
-            before, after = (before * 2 if i is None else before), (after * 2 if j is None else after)
+            if proven(text, c):
+                done.append(ids)
+                text, ids = c, found[c]
+                continue
+            before, after = self.cuts(text, max(0, len(text) - NEAR)), self.cuts(c, 0, NEAR)
+            left = before[0] if before else 0
+            i = _token_from_end(self.bytes.lengths[ids], len(text[left:].encode()))
+            j = _token_at(self.bytes.lengths[found[c]], len(c[: after[-1]].encode())) if after else None
+            if i is None:  # can't be for a proven place: all at hand is encoded again
+                left, i = 0, 0
+            if j is None:  # the end of this chunk isn't proven: it stays at hand
+                done.append(ids[:i])
+                text = text[left:] + c
+                ids = self.library.encode_many([text])[0]
+                continue
+            done += [ids[:i], self.library.encode_many([text[left:] + c[: after[-1]]])[0]]
+            text, ids = c[after[-1] :], found[c][j:]
+        return np.concatenate([_NONE, *done, ids])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes.decode(ids)
 
 
-def _cut_back(a: str, most: int) -> int:
-    """The last proven cut of `a` not within its last `most` characters; 0 if there is none."""
-    at = len(a) - most
-    while at > 0 and not proven(a[:at][-1:], a[at : at + 1]):
-        at -= 1
-    return max(at, 0)
-
-
-def _cut_ahead(b: str, least: int) -> int:
-    """The first proven cut of `b` at `least` characters or later; its length if there is none."""
-    at = least
-    while at < len(b) and not proven(b[at - 1 : at], b[at : at + 1]):
-        at += 1
-    return min(at, len(b))
-
-
 def _token_at(lengths: np.ndarray, place: int) -> int | None:
     """Index of the token that begins at a byte place, or None if none does."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -168,6 +193,13 @@ def _token_at(lengths: np.ndarray, place: int) -> int | None:
     return i if ends[i] == place else None
 
 
+def _token_from_end(lengths: np.ndarray, size: int) -> int | None:
+    """Index of the token from which on the tokens have `size` bytes, or None."""
+    n = min(len(lengths), size)  # no token is empty
+    i = _token_at(lengths[len(lengths) - n :][::-1], size)
+    return None if i is None else len(lengths) - i
+
+
 def encode_decode(docs: DataFrame, tokenizer_file: str, keep: list[str] | None = None) -> DataFrame:
     """The columns in `keep` (all but text) with ids (array of int) and decoded (string)."""
     small_batches(docs.sparkSession)

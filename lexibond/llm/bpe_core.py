@@ -46,6 +46,10 @@ class Library:
             cls._open[file] = cls(file)
         return cls._open[file]
 
+    def special_strings(self) -> list[str]:
+        """Strings that become one token wherever they stand in a text."""
+        return [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
     def _rank_encoder(self, file: str):
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)

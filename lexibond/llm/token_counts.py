@@ -20,7 +20,6 @@ from lexibond.llm.shared import small_batches
 
 CHUNK = 65_536  # characters
 OVERLAP = 1_024
-GUARD = 32  # characters before a cut end that aren't trusted: longer than any special string
 
 
 def _edges(encoding, base: int) -> dict[int, int]:
@@ -36,6 +35,8 @@ def _edges(encoding, base: int) -> dict[int, int]:
 def splice(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     """The ids of a whole text from overlapping chunks of it."""
     ids: list[int] = []
+    # characters before a cut end that aren't trusted: more than a special string or a contraction has
+    guard = 8 + max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0)
     start, place = 0, 0  # where the current chunk begins, and up to where ids has the tokens
     while True:
         end, wide = min(len(text), start + chunk), overlap
@@ -45,8 +46,8 @@ def splice(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
             stop = min(len(text), after + max(chunk, wide + chunk // 2))
             right = tokenizer.encode(text[after:stop], add_special_tokens=False)
             mine, other = _edges(left, start), _edges(right, after)
-            sure = min(end, stop if stop < len(text) else end) - GUARD
-            good = [p for p in mine if p in other and max(place, after + GUARD) < p <= min(sure, max(mine) - 1)]
+            sure = min(end, stop if stop < len(text) else end) - guard
+            good = [p for p in mine if p in other and max(place, after + guard) < p <= min(sure, max(mine) - 1)]
             if good:
                 break
             if wide < end - start - 1:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -55,6 +56,30 @@ def test_codec_is_exact_and_round_trips(library, how):
             assert codec.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_texts_without_spaces_are_linear(library):
+    """CJK prose, one run of letters, white space and signs that no cut is proven in: exact, and no text is encoded twice over."""
+    r = random.Random(1)
+    prose = "".join(chr(r.randrange(0x4E00, 0x9FA5)) + ("\u3002" if r.random() < 0.05 else "") for _ in range(60_000))
+    texts = [prose, prose.replace("\u3002", ""), "\n \t \x0b " * 8_000, "\U0001f600 \u0301" * 8_000, "<|endoftext|>" * 2_000 + "," * 20_000, base64.b64encode(r.randbytes(60_000)).decode()]
+    codec = Codec(FILE)
+    seen = []
+    plain = codec.library.encode_many
+    codec.library = type("Counting", (), {"encode_many": staticmethod(lambda ts: (seen.extend(map(len, ts)), plain(ts))[1])})
+    for text in texts:
+        seen.clear()
+        assert codec.encode_many([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert sum(seen) <= 2.5 * len(text)
+
+
+def test_proven_cuts_change_nothing(library):
+    codec = Codec(FILE)
+    for text in odd_texts():
+        cuts = codec.cuts(text)[:40]
+        for at in cuts:
+            a, b = (library.encode(x, add_special_tokens=False).ids for x in (text[:at], text[at:]))
+            assert a + b == library.encode(text, add_special_tokens=False).ids
+
+
 def test_decode_of_broken_utf8(library):
     ids = [i for i in range(300)]
     assert Codec(FILE).decode(np.array(ids)).decode() == library.decode(ids, skip_special_tokens=False)
