@@ -3,10 +3,15 @@
 Matches of one pattern are validated by kind and replaced by a keyed Feistel permutation within their format, so that one
 value has one pseudonym in every document and different values have different ones:
 card numbers (Luhn), also beside other numbers: any window of 13 to 19 digits at the edges of digit groups - the digits
-before the check digit are permuted and it is made anew; phone numbers - the national
-digits; dates - the day within its 400-year cycle; IPv4 addresses - the 32 bits; social security numbers - their digits;
-e-mail addresses - letters and digits of the local part and of all domain labels but the last; secrets after words like
-token or password - letters and digits of the value (as hex, if it is hex). What doesn't validate stays as it is.
+before the check digit are permuted and it is made anew; North American phone numbers - area, exchange and line, where valid
+areas and exchanges (no leading 0 or 1) stay valid; international ones (8 to 15 digits, by E.164) - the digits after the
+country code; IBANs (mod 97) - letters and digits after the country, and new check digits; dates - the day within its
+400-year cycle; IPv4 addresses - the 32 bits; IPv6 addresses as they are written - their hex digits; social security
+numbers - among the valid ones; e-mail addresses - letters and digits of the local part and of all domain labels but the
+last; secrets after words like token or password - letters and digits of the value (as hex, if it is hex). What doesn't
+validate stays as it is.
+
+The key decides the permutations, and who has it can invert them: it is an argument without a default.
 
 Only DataFrame functions, no shuffle: one projection over the texts. Texts that hold no digit, no @ and no named secret are
 passed through unread by the pattern, which is linear in the text: it is anchored by look-behinds and possessive, so that long runs don't backtrack.
@@ -20,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "lexibond"  # production runs give their own
 
 # The forms that are looked for.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -29,11 +33,17 @@ IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+ABROAD = rf"(?<![\d+])\+[1-9]\d{{0,2}}(?:[ .-]?\(\d{{1,4}}\)|[ .-]\d{{1,5}})(?:[ .-]?(?!{DATE}|{IP}|{SSN})\d{{2,8}}){{1,5}}+(?!\d)|(?<![\d+])\+[1-9]\d{{7,14}}(?!\d)"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])"
+_H = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![\w:.])(?:(?:{_H}:){{7}}{_H}|{_H}(?::{_H}){{0,5}}+::(?:{_H}(?::{_H}){{0,5}})?+)(?![\w:])"
 # a group of digits that doesn't go on a run: another kind starts there and has signs that runs don't have
-OTHER = rf"{EMAIL}|{IP}|(?<![\d/-])\d{{2}}/\d{{2}}/\d{{4}}(?![\d/-])|(?=\d{{3}}(?:[ -]\d{{3}})?\.){PHONE}"
+OTHER = rf"{EMAIL}|{IP}|{IPV6}|(?<![\d/-])\d{{2}}/\d{{2}}/\d{{4}}(?![\d/-])|(?=\d{{3}}(?:[ -]\d{{3}})?\.){PHONE}"
 CARD = rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{OTHER})\d++)*+"  # a run of groups that may hold cards
 WITHIN = f"(?!^)(?:{DATE}|{SSN}|{PHONE})"  # beside the cards of a run; at its start they were looked for before
-ANY = "|".join((EMAIL, SECRET, IP, DATE, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, SECRET, IP, IPV6, IBAN, DATE, SSN, PHONE, ABROAD, CARD))
+# Country codes of one and two digits; all others have three.
+SHORT_CODES = "1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 MAY = f"[0-9@]|{SECRET}"  # every match of ANY has one of these
 
 
@@ -84,7 +94,9 @@ def _bound(value: Column, f) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
-    body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
+    move = lambda d: permute_digits(d, key, F.lit("card"))
+    # a card of zeros isn't valid; the walk goes on from it to the next number of the cycle
+    body = _bound(move(F.substr(digits, F.lit(1), F.length(digits) - 1)), lambda d: F.when(d.rlike("[1-9]"), d).otherwise(move(d)))
     check = lambda d: F.concat(d, ((10 - luhn_sum(F.concat(d, F.lit("0"))) % 10) % 10).cast("string"))
     return _bound(body, lambda d: refill(m, check(d)))
 
@@ -140,15 +152,75 @@ def _run(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    # the national number is the last ten digits
+    """The national number is the last ten digits; area and exchange stay with or without a leading 0 or 1."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     lead = F.substr(digits, F.lit(1), F.length(digits) - 10)
-    return _bound(permute_digits(F.right(digits, F.lit(10)), key, F.lit("phone")), lambda d: refill(m, F.concat(lead, d)))
+    part = lambda at, n: F.substr(digits, F.length(digits) - 9 + at, F.lit(n)).cast("long")
+    area, exchange, line = part(0, 3), part(3, 3), part(6, 4)
+    most = lambda x: F.when(x >= 200, F.lit(800)).otherwise(F.lit(200)).cast("long")
+    low = lambda x: F.when(x >= 200, F.lit(200)).otherwise(F.lit(0)).cast("long")
+    moved = feistel((area - low(area)) * most(exchange) + exchange - low(exchange), line, most(area) * most(exchange), 10_000, key, F.concat_ws("|", F.lit("phone"), most(area), most(exchange)))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    text = lambda v: F.concat(lead, pad(low(area) + F.floor(v["a"] / most(exchange)).cast("long"), 3), pad(low(exchange) + v["a"] % most(exchange), 3), pad(v["b"], 4))
+    return _bound(F.struct(moved[0].alias("a"), moved[1].alias("b")), lambda v: refill(m, text(v)))
+
+
+def _cards_in(m: Column, key: str) -> Column:
+    """What isn't the number it looked like, with the cards that it holds replaced."""
+    return _bound(F.transform(F.regexp_extract_all(m, F.lit(CARD), F.lit(0)), lambda x: _run(x, key)), lambda new: _joined(m, CARD, new)["text"])
+
+
+def _abroad(m: Column, key: str) -> Column:
+    """A number with a country code, which is what stands before the first sign or, in a plain run, what the list of codes says."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    apart = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
+    listed = F.regexp_extract(digits, f"^({SHORT_CODES})", 1)
+    code = F.when(apart != "", apart).when(listed != "", listed).otherwise(F.left(digits, F.lit(3)))
+    own = F.substr(digits, F.length(code) + 1, F.length(digits) - F.length(code))
+    moved = _bound(permute_digits(own, key, F.concat_ws("|", F.lit("abroad"), code)), lambda d: refill(m, F.concat(code, d)))
+    return F.when(F.length(digits).between(8, 15), moved).otherwise(_cards_in(m, key))
+
+
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (A = 10 .. Z = 35) make, modulo 97."""
+    value = lambda c: F.position(c, F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("int") - 1
+    step = lambda acc, c: (acc * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(m: Column, key: str) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    country, check, own = F.left(plain, F.lit(2)), F.substr(plain, F.lit(3), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain) - 4)
+    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(own, country, check)) == 1)
+
+    def whole(new: Column) -> Column:
+        sums = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, sums, new)
+
+    spaced = lambda t: F.when(m.contains(" "), F.trim(F.regexp_replace(t, "(.{4})", "$1 "))).otherwise(t)
+    return F.when(valid, _bound(permute_text(own, key, "iban"), lambda new: spaced(whole(new)))).otherwise(_cards_in(m, key))
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    """Hex digits permuted in place; small and capital forms of one address are linked, a shortened form is its own value."""
+    valid = m.rlike("[0-9]") & (F.size(F.split(F.regexp_replace(m, "::", ":"), ":")) >= 2) & ~m.rlike("::$")
+    new = permute_text(F.lower(m), key, "ipv6", _HEX)
+    return F.when(valid, F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
+    """Area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999: pairs of (area and group, serial) are permuted."""
     valid = ~m.rlike(r"^(000|666|9\d\d)|-00-|-0000$")
-    return F.when(valid, _bound(permute_digits(F.regexp_replace(m, "-", ""), key, F.lit("ssn")), lambda d: refill(m, d))).otherwise(m)
+    area, group, serial = (F.substr(m, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = (area - 1 - (area > 666).cast("long")) * 99 + group - 1
+    a, b = feistel(place, serial - 1, 898 * 99, 9999, key, F.lit("ssn"))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+
+    def text(v: Column) -> Column:
+        area = F.floor(v["a"] / 99).cast("long") + 1
+        return F.concat_ws("-", pad(area + (area >= 666).cast("long"), 3), pad(v["a"] % 99 + 1, 2), pad(v["b"] + 1, 4))
+
+    return F.when(valid, _bound(F.struct(a.alias("a"), b.alias("b")), text)).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -227,7 +299,7 @@ def _simple(m: Column, key: str, kinds: tuple = ((PHONE, _phone), (SSN, _ssn), (
 
 def replaced(m: Column, key: str) -> Column:
     """One match: a struct of its pseudonyms in place (the match itself if nothing validates) and the number of them."""
-    other = _simple(m, key, ((PHONE, _phone), (SSN, _ssn), (DATE, _date), (IP, _ip), (SECRET, _secret), (EMAIL, _email)), F.lit(None).cast("string"))
+    other = _simple(m, key, ((ABROAD, _abroad), (PHONE, _phone), (SSN, _ssn), (DATE, _date), (IBAN, _iban), (IPV6, _ipv6), (IP, _ip), (SECRET, _secret), (EMAIL, _email)), F.lit(None).cast("string"))
     return _bound(other, lambda new: F.when(new.isNull(), _run(m, key)).otherwise(_counted(m, new)))
 
 
@@ -236,8 +308,8 @@ def pseudonym(m: Column, key: str) -> Column:
     return replaced(m, key)["text"]
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with pseudonyms in text and n_pii, the number of values replaced."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with pseudonyms in text and n_pii, the number of values replaced. One key links values over runs."""
     held = docs.withColumn("__pii_has", F.col("text").rlike(MAY))
     found = held.withColumn("__pii_found", F.when(F.col("__pii_has"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     new = found.withColumn("__pii_new", F.when(F.size("__pii_found") > 0, _bound(F.transform("__pii_found", lambda m: replaced(m, key)), lambda x: _joined(F.col("text"), ANY, x))))

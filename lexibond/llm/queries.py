@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,15 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_KEY = secrets.token_hex(32)
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of pseudonyms, the setting lexibond.pii.key. Without it a new one for each process: values are linked within
+    its runs, and nobody can invert them afterwards."""
+    return spark.conf.get("lexibond.pii.key", None) or _KEY
+
+
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
@@ -30,7 +40,7 @@ def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, root: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, root, "documents")).select("doc_id", "n_pii", "text")
+    return pii.pseudonymise(_table(spark, root, "documents"), pii_key(spark)).select("doc_id", "n_pii", "text")
 
 
 def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
