@@ -1,14 +1,19 @@
 """URL filter by a ratio of character language models.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, are counted from the URLs that rules decide.
-A model interpolates orders 0 to ORDER by Witten-Bell weights. The log-likelihood ratio of a character is taken at the
-longest context that the table knows: every gram holds its ratio less that of its own suffix, so that the sum over all
-known grams that end at a character telescopes to the longest. A URL's score is the sum over its characters divided by
-their number; the threshold is where both kinds of error are equal on rule-decided URLs that weren't counted.
+A model interpolates orders 0 to ORDER by Witten-Bell weights: in a context seen n times with t different characters,
+P(c) = (count(c) + (1 + t) P'(c)) / (n + 1 + t), where P' is the next lower order's and 1/ALPHABET below order 0. So each
+model gives every character a probability in every context and sums to one over the alphabet.
+
+The log-likelihood ratio of a character is a sum over orders of what an order adds to the next lower one's: for a known gram
+its own ratio less that of its suffix; for an unknown one in a known context the ratio of what both models leave to the lower
+order; in an unknown context nothing. A context is the gram that ends one character before, so both parts are kept with
+grams, and a URL's score is one sum over the grams that it holds, divided by its number of characters. The threshold is
+where both kinds of error are equal on rule-decided URLs that weren't counted.
 
 Only DataFrame functions. The table holds every gram of the counted URLs and is joined by shuffle; only grams of which each
 takes 1 of HEAVY places or more, at most HEAVY of an order, are broadcast, so that they don't gather in one task. Equal URLs
-are scored once.
+are scored once. Windows are by context, so they hold at most one row for each character of the alphabet.
 
 Models are fitted to and score the whole URL, its host lower-cased; only rules are limited to host and path. A URL without
 `://` has an empty host and path, fits no rule and is scored as it is; a null one is scored as empty. Repeated rows repeat, other columns
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from lexibond.llm.shared import Table
 
 ORDER = 4
+ALPHABET = 256
 HEAVY = 2000
 HELD_OUT = 5  # one URL of so many calibrates
 BINS = 100  # bins of the calibration in a unit of score; scores are clamped to +-20
@@ -71,28 +77,46 @@ def grams(urls: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> DataFrame:
-    """labelled: s, good (boolean) -> k, gram, delta, seen: the table of all grams."""
+    """labelled: s, good (boolean) -> k, gram, delta, seen: the table of all grams, and a row of k = -1 with two numbers:
+    delta is what every character of a URL adds, seen what a URL adds once (by its empty beginning)."""
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    counted = Table(grams(labelled, ["good"]).groupBy("k", "gram").agg(one(F.col("good")).alias("a"), one(~F.col("good")).alias("r")), "url-counts").df
+    counted = Table(grams(labelled, ["good"]).groupBy("k", "gram").agg(one(F.col("good")).alias("a"), one(~F.col("good")).alias("r")), "url-counts")
     whole = Window.partitionBy("k", "context")
-    table = counted.withColumn("context", F.substr("gram", F.lit(1), F.col("k")))
+    table = counted.df.withColumn("context", F.substr("gram", F.lit(1), F.col("k")))
     for c in ("a", "r"):
         table = table.withColumn(f"n_{c}", F.sum(c).over(whole)).withColumn(f"t_{c}", F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0)).over(whole))
-    table = Table(table.select("k", "gram", (F.col("a") + F.col("r")).alias("seen"), *[x for c in ("a", "r") for x in (c, f"n_{c}", f"t_{c}")]), "url-totals").df
+    left = lambda c: (1 + F.col(f"t_{c}")) / (F.col(f"n_{c}") + 1 + F.col(f"t_{c}"))
+    table = table.withColumn("leaves", F.log(left("a") / left("r")))
+    totals = Table(table.select("k", "gram", "context", "leaves", (F.col("a") + F.col("r")).alias("seen"), *[x for c in ("a", "r") for x in (c, f"n_{c}", f"t_{c}")]), "url-totals")
+    counted.drop()
     smooth = lambda c, low: (F.col(c) + (1 + F.col(f"t_{c}")) * low) / (F.col(f"n_{c}") + 1 + F.col(f"t_{c}"))
-    done, below = None, None
+    done, orders = None, []
     for k in range(ORDER + 1):
-        own = table.where(F.col("k") == k)
+        own = totals.df.where(F.col("k") == k)
         if k == 0:
-            own = own.select("k", "gram", "seen", smooth("a", F.lit(1 / 256)).alias("pa"), smooth("r", F.lit(1 / 256)).alias("pr"), F.lit(0.0).alias("lower"))
+            own = own.withColumns({"la": F.lit(1 / ALPHABET), "lr": F.lit(1 / ALPHABET)})
         else:
-            low = below.select(F.col("gram").alias("suffix"), F.col("pa").alias("la"), F.col("pr").alias("lr"))
+            low = orders[-1].df.select(F.col("gram").alias("suffix"), F.col("pa").alias("la"), F.col("pr").alias("lr"))
             own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(low, "suffix")
-            own = own.select("k", "gram", "seen", smooth("a", F.col("la")).alias("pa"), smooth("r", F.col("lr")).alias("pr"), F.log(F.col("la") / F.col("lr")).alias("lower"))
-        below = Table(own, "url-order").df
-        rows = below.select("k", "gram", (F.log(F.col("pa") / F.col("pr")) - F.col("lower")).alias("delta"), "seen")
+        own = own.withColumns({"pa": smooth("a", F.col("la")), "pr": smooth("r", F.col("lr"))})
+        adds = F.log(F.col("pa") / F.col("pr")) - F.log(F.col("la") / F.col("lr")) - F.col("leaves")
+        orders.append(Table(own.select("k", "gram", "pa", "pr", adds.alias("adds"), "seen"), "url-order"))
+    for k, order in enumerate(orders):
+        # the grams of this order are the contexts of the next
+        after = totals.df.where(F.col("k") == k + 1).groupBy(F.col("context").alias("gram")).agg(F.min("leaves").alias("leaves"))
+        rows = order.df.join(after, "gram", "left").select("k", "gram", (F.col("adds") + F.coalesce("leaves", F.lit(0.0))).alias("delta"), "seen")
         done = rows if done is None else done.unionByName(rows)
-    return done
+    empty = F.lit(None).cast("string")
+    begin = F.lit(False)
+    for k in range(1, ORDER + 1):
+        begin = begin | ((F.col("k") == k) & (F.col("context") == "\x02" * k))
+    contexts = totals.df.where(begin | (F.col("k") == 0)).groupBy("k").agg(F.min("leaves").alias("leaves"))
+    fixed = contexts.agg(F.sum(F.when(F.col("k") == 0, F.col("leaves"))).alias("delta"), F.sum(F.when(F.col("k") > 0, F.col("leaves"))).alias("seen"))
+    fixed = fixed.select(F.lit(-1).alias("k"), empty.alias("gram"), F.coalesce("delta", F.lit(0.0)).alias("delta"), F.coalesce("seen", F.lit(0.0)).alias("seen"))
+    model = Table(done.unionByName(fixed), "url-model")
+    for table in (totals, *orders):
+        table.drop()
+    return model.df
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
@@ -102,12 +126,14 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     keyed = distinct.withColumns({"u": F.xxhash64("s"), "v": F.xxhash64(F.lit("v"), "s")})
     places = model.where(F.col("k") == 0).agg(F.sum("seen")).scalar()
     often = F.col("seen") * HEAVY >= places
-    heavy, light = (model.where(c).select("k", "gram", "delta") for c in (often, ~often))
+    heavy, light = (model.where((F.col("k") >= 0) & c).select("k", "gram", "delta") for c in (often, ~often))
     spots = grams(keyed, ["u", "v"])
     dealt = spots.join(F.broadcast(heavy.select("k", "gram")), ["k", "gram"], "left_anti")
     sums = [found.groupBy("u", "v").agg(F.sum("delta").alias("part")) for found in (spots.join(F.broadcast(heavy), ["k", "gram"]), dealt.join(light, ["k", "gram"]))]
     total = sums[0].unionByName(sums[1]).groupBy("u", "v").agg(F.sum("part").alias("total"))
-    return keyed.join(total, ["u", "v"]).select("s", (F.col("total") / F.greatest(F.length("s") + 1, F.lit(1))).alias("score"))
+    each, once = (model.where(F.col("k") == -1).agg(F.max(c)).scalar() for c in ("delta", "seen"))
+    size = F.length("s") + 1
+    return keyed.join(total, ["u", "v"], "left").select("s", ((F.coalesce("total", F.lit(0.0)) + each * size + once) / size).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
@@ -128,7 +154,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_column: str =
     parsed = parsed.withColumns({"rule": rule, "said": said})
     seeds = parsed.where(F.col("said").isNotNull()).select("s", (F.col("said") == "allow").alias("good")).distinct()
     out = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
-    model = Table(fit(seeds.where(~out)), "url-model").df
+    model = fit(seeds.where(~out))
     held = seeds.where(out)
     threshold = Table(calibrate(held.join(score(held, model), "s", "left").select("good", F.coalesce("score", F.lit(0.0)).alias("score"))), "url-threshold").df
     open_ones = parsed.where(F.col("rule").isNull())
