@@ -1,22 +1,30 @@
 """Quality rules: base rules and robust multivariate outliers.
 
 Each document's statistics are counted over its whole text; those that pass the base rules are transformed into vectors.
-For each language and source a minimum-covariance-determinant estimate is made: from the medians and deviations of each
-component, concentration steps refit mean and covariance to the KEPT share of documents of smallest distance. A document
-whose squared Mahalanobis distance is beyond the CUTOFF quantile of the chi-square law is rejected.
+For each language and source a minimum-covariance-determinant estimate is made, by deterministic starts: medians and
+median deviations give scales, and four correlations are tried with them (none; of tanh of the standardised values; of their
+spatial signs; of the half nearest to the medians). From each start, concentration steps refit mean and covariance to the
+KEPT share of documents of smallest distance until no determinant shrinks by TOLERANCE any more; the fit of the smallest
+determinant is taken and reweighted: mean and covariance of all documents within its WITHIN quantile. A document whose
+squared Mahalanobis distance is beyond the CUTOFF quantile of the chi-square law is rejected.
 
-Only DataFrame functions. Statistics are written once; every step is an aggregate by group of that small table, partial
-before its shuffle, and texts are never shuffled. Quantiles are exact over values on a grid, so reruns agree. Groups of
-fewer than SMALL documents share one estimate; if even that group is small, its documents are judged by the base rules.
+Covariances are regularised as in the minimum regularised covariance determinant: a group's is mixed with the diagonal one of
+all documents' median deviations, which counts as much as RIDGE documents. So every group has a fit of its own, by one rule
+whatever its size; in a group of few documents the mixture keeps the fit wide.
+
+Only DataFrame functions. Statistics are written once; every step is an aggregate by group and start of that small table,
+partial before its shuffle, and texts are never shuffled. Quantiles are read from counts of values on a grid, at most a few
+thousand for a group, so reruns agree.
 
 A null text has no words and fails the base rules; null languages and sources are groups of their own. Every row gives one
-row and is judged alike whether repeated or not; other columns are left out, an empty table gives no rows."""
+row and is judged alike whether repeated or not; other columns are left out, an empty table gives no rows. A group all of
+whose documents fail the base rules has no fit (d2 null)."""
 
 from __future__ import annotations
 
 from math import exp
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexibond.llm.shared import WORD, Table
@@ -25,11 +33,14 @@ WINDOW = 5
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 KEPT = 0.75  # share of a group that an estimate is fitted to
-STEPS = 2
-SMALL = 60
+TOLERANCE = 1e-3  # of a determinant's logarithm
+STEPS = 30  # at most; grids let a determinant waver by less than the tolerance
+RIDGE = 12.0  # documents
+WITHIN = 0.975
 CUTOFF = 1 - 1e-6
 FLOOR = 0.06  # least deviation of a component, so that constant components don't make a covariance singular
-GRID = 100.0  # values are put on a grid of 1/GRID for quantiles
+GRID = 100.0  # values are put on a grid of 1/GRID for quantiles, distances on one of 1/GRID of their logarithm
+STARTS = 4
 
 COMPONENTS = ("log_words", "log_length", "symbols", "duplicates", "repeats", "capitals")
 
@@ -95,70 +106,140 @@ def chi2_quantile(p: float, d: int) -> float:
     return high
 
 
-def grid_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """keys, name: the smallest grid value that at least a share q of a group's rows doesn't exceed."""
-    bins = df.groupBy(*keys, F.round(F.col(value) * GRID).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    line = Window.partitionBy(*keys).orderBy("bin")
-    upto = F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    every = F.sum("n").over(Window.partitionBy(*keys))
-    marked = bins.select(*keys, "bin", upto.alias("upto"), every.alias("every"))
-    return marked.where(F.col("upto") >= F.col("every") * q).groupBy(*keys).agg((F.min("bin") / GRID).alias(name))
+def grid_quantile(df: DataFrame, keys: list[str], bin_of: Column, q: float, name: str) -> DataFrame:
+    """keys, name: the smallest bin that at least a share q of a group's rows doesn't exceed. Few bins make a group."""
+    counts = df.groupBy(*keys, bin_of.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    lines = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("line"), F.sum("n").alias("every"))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("at"))
+    step = lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), F.coalesce(a["at"], F.when(a["upto"] + x["n"] >= F.col("every") * q, x["bin"])).alias("at"))
+    return lines.select(*keys, F.aggregate("line", start, step, lambda a: a["at"]).alias(name))
+
+
+def value_bin(x: Column) -> Column:
+    return F.round(x * GRID)
+
+
+def distance_bin(d2: Column) -> Column:
+    """Of a squared distance, on a grid of logarithms; all beyond 1e12 and below 1e-6 are one bin each."""
+    return F.round(F.log(F.greatest(F.least(d2, F.lit(1e12)), F.lit(1e-6))) * GRID)
+
+
+D = len(COMPONENTS)
+CELLS = [(i, j) for i in range(D) for j in range(i + 1)]
+MEANS = [f"m{i}" for i in range(D)]
+FACTORS = [f"l{i}{j}" for i, j in CELLS]
 
 
-def _long(df: DataFrame) -> DataFrame:
-    return df.select("grp", F.inline(F.array(*[F.struct(F.lit(i).alias("j"), F.col(c).alias("x")) for i, c in enumerate(COMPONENTS)])))
+def covariance_scale(share: float) -> float:
+    """What the covariance of the nearest share of a normal law is multiplied by to give that of the whole."""
+    return share / chi2_cdf(chi2_quantile(share, D), D + 2)
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    """grp, m0.., L00.. : means and the Cholesky factor of the covariance, scaled for the share it was fitted to."""
-    d = len(COMPONENTS)
-    names = {(i, j): f"c{i}{j}" for i in range(d) for j in range(i + 1)}
-    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(COMPONENTS)]
-    aggs += [F.covar_pop(COMPONENTS[i], COMPONENTS[j]).alias(n) for (i, j), n in names.items()]
-    out = df.groupBy("grp").agg(*aggs)
-    scale = KEPT / chi2_cdf(chi2_quantile(KEPT, d), d + 2)
-    out = out.withColumns({n: F.col(n) * scale + (FLOOR**2 if i == j else 0.0) for (i, j), n in names.items()})
-    for j in range(d):
+def cholesky(out: DataFrame) -> DataFrame:
+    """Adds the factor l.. of the covariance c.. and logdet, the logarithm of its determinant."""
+    for j in range(D):
         pivot = F.col(f"c{j}{j}")
         for k in range(j):
             pivot = pivot - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(pivot, F.lit(FLOOR**2 / 100))))
         new = {}
-        for i in range(j + 1, d):
+        for i in range(j + 1, D):
             cell = F.col(f"c{i}{j}")
             for k in range(j):
                 cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             new[f"l{i}{j}"] = cell / F.col(f"l{j}{j}")
         out = out.withColumns(new) if new else out
-    return out.select("grp", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i, j in names])
+    total = F.lit(0.0)
+    for j in range(D):
+        total = total + 2 * F.log(f"l{j}{j}")
+    return out.withColumn("logdet", total)
+
+
+def regularised(fit: DataFrame, groups: DataFrame, scale: float) -> DataFrame:
+    """fit: grp, start, m.., c.. (covariances of what was kept) -> grp, start, m.., l.., logdet.
+
+    groups: grp, n and w0.. (the deviations of all documents)."""
+    share = F.lit(RIDGE) / (F.col("n") + RIDGE)
+    mixed = {f"c{i}{j}": F.col(f"c{i}{j}") * scale * (1 - share) + (share * F.col(f"w{i}") * F.col(f"w{i}") + FLOOR**2 if i == j else 0.0) for i, j in CELLS}
+    return cholesky(fit.join(groups, "grp").withColumns(mixed)).select("grp", "start", *MEANS, *FACTORS, "logdet")
+
+
+def moments(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)], *[F.covar_pop(values[i], values[j]).alias(f"c{i}{j}") for i, j in CELLS])
 
 
-def _distance(df: DataFrame, fit: DataFrame) -> DataFrame:
-    """df with d2, the squared Mahalanobis distance under its group's fit; null without one."""
-    keep, d = df.columns, len(COMPONENTS)
-    out = df.join(fit, "grp", "left")
+def with_distance(df: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance under the fit (m.., l..) that stands in the row; null without one."""
+    out = df
     for i, c in enumerate(COMPONENTS):
         y = F.col(c) - F.col(f"m{i}")
         for j in range(i):
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
     total = F.lit(0.0)
-    for i in range(d):
+    for i in range(D):
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return out.select(*keep, total.alias("d2"))
+    return out.withColumn("d2", total).drop(*[f"y{i}" for i in range(D)])
 
 
-def _start(df: DataFrame) -> DataFrame:
-    """Medians and median deviations as a diagonal first fit."""
-    d = len(COMPONENTS)
-    long = _long(df)
-    middle = grid_quantile(long, ["grp", "j"], "x", 0.5, "middle")
-    off = long.join(middle, ["grp", "j"]).select("grp", "j", F.abs(F.col("x") - F.col("middle")).alias("off"))
-    wide = grid_quantile(off, ["grp", "j"], "off", 0.5, "wide")
-    both = middle.join(wide, ["grp", "j"])
+def middles(df: DataFrame) -> DataFrame:
+    """grp, a0.. (medians) and s0.. (median deviations as those of a normal law, FLOOR at least)."""
+    long = df.select("grp", F.inline(F.array(*[F.struct(F.lit(i).alias("j"), F.col(c).alias("x")) for i, c in enumerate(COMPONENTS)])))
+    middle = grid_quantile(long, ["grp", "j"], value_bin(F.col("x")), 0.5, "middle").withColumn("middle", F.col("middle") / GRID)
+    off = long.join(middle, ["grp", "j"])
+    wide = grid_quantile(off, ["grp", "j"], value_bin(F.abs(F.col("x") - F.col("middle"))), 0.5, "wide").withColumn("wide", F.col("wide") / GRID)
     pick = lambda c, i: F.max(F.when(F.col("j") == i, F.col(c)))
-    fit = both.groupBy("grp").agg(*[pick("middle", i).alias(f"m{i}") for i in range(d)], *[F.greatest(pick("wide", i) * 1.4826, F.lit(FLOOR)).alias(f"l{i}{i}") for i in range(d)])
-    return fit.withColumns({f"l{i}{j}": F.lit(0.0) for i in range(d) for j in range(i)})
+    return middle.join(wide, ["grp", "j"]).groupBy("grp").agg(*[pick("middle", i).alias(f"a{i}") for i in range(D)], *[F.greatest(pick("wide", i) * 1.4826, F.lit(FLOOR)).alias(f"s{i}") for i in range(D)])
+
+
+def starts(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first fits of each group. groups: grp, n, a.., s.., w.."""
+    z = df.join(groups.select("grp", *[f"{c}{i}" for c in "as" for i in range(D)]), "grp").select("grp", *[((F.col(c) - F.col(f"a{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, c in enumerate(COMPONENTS)])
+    size = F.lit(0.0)
+    for i in range(D):
+        size = size + F.col(f"z{i}") * F.col(f"z{i}")
+    z = z.withColumn("size", size)
+    half = grid_quantile(z, ["grp"], distance_bin(F.col("size")), 0.5, "half")
+    near = distance_bin(F.col("size")) <= F.col("half")
+    values = [
+        lambda i: F.tanh(f"z{i}"),
+        lambda i: F.col(f"z{i}") / F.greatest(F.sqrt("size"), F.lit(1e-3)),
+        lambda i: F.when(near, F.col(f"z{i}")),
+    ]
+    tried = F.inline(F.array(*[F.struct(F.lit(s + 1).alias("start"), *[f(i).cast("double").alias(f"v{i}") for i in range(D)]) for s, f in enumerate(values)]))
+    found = moments(z.join(half, "grp").select("grp", tried), ["grp", "start"], [f"v{i}" for i in range(D)])
+    shape = found.select("grp", "start", *[(F.col(f"c{i}{j}") / F.sqrt(F.greatest(F.col(f"c{i}{i}") * F.col(f"c{j}{j}"), F.lit(1e-12)))).alias(f"c{i}{j}") if i != j else F.lit(1.0).alias(f"c{i}{j}") for i, j in CELLS])
+    plain = groups.select("grp", F.lit(0).alias("start"), *[F.lit(1.0 if i == j else 0.0).alias(f"c{i}{j}") for i, j in CELLS])
+    first = shape.unionByName(plain).join(groups.select("grp", *[f"{c}{i}" for c in "as" for i in range(D)]), "grp")
+    first = first.select("grp", "start", *[F.col(f"a{i}").alias(f"m{i}") for i in range(D)], *[(F.col(f"c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in CELLS])
+    return regularised(first, groups.select("grp", "n", *[f"w{i}" for i in range(D)]), 1.0)
+
+
+def minimum_determinant(df: DataFrame) -> DataFrame:
+    """df: grp and COMPONENTS -> grp, m.., l.., logdet: the reweighted estimate of each group."""
+    every = middles(df.withColumn("grp", F.lit(""))).select(*[F.col(f"s{i}").alias(f"w{i}") for i in range(D)])
+    groups = middles(df).join(df.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n")), "grp").join(F.broadcast(every))
+    groups = Table(groups, "quality-groups")
+    mix = groups.df.select("grp", "n", *[f"w{i}" for i in range(D)])
+    fit = Table(starts(df, groups.df).withColumn("fell", F.lit(0.0)), "quality-fit")
+    for step in range(STEPS):
+        far = with_distance(df.join(fit.df.drop("fell", "logdet"), "grp")).withColumn("bin", distance_bin(F.col("d2"))).select("grp", "start", "bin", *COMPONENTS)
+        edge = grid_quantile(far, ["grp", "start"], F.col("bin"), KEPT, "edge")
+        near = far.join(edge, ["grp", "start"]).where(F.col("bin") <= F.col("edge"))
+        new = regularised(moments(near, ["grp", "start"], list(COMPONENTS)), mix, covariance_scale(KEPT))
+        was = fit.df.select("grp", "start", F.col("logdet").alias("was"))
+        better = Table(new.join(was, ["grp", "start"]).withColumn("fell", F.col("was") - F.col("logdet")).drop("was"), "quality-fit")
+        fit.drop()
+        fit = better
+        if step and not (fit.df.agg(F.max("fell")).first()[0] or 0.0) > TOLERANCE:
+            break
+    best = F.min_by(F.struct(*MEANS, *FACTORS), F.struct("logdet", "start"))
+    raw = fit.df.groupBy("grp").agg(best.alias("f")).select("grp", F.lit(0).alias("start"), "f.*")
+    inside = with_distance(df.join(raw, "grp")).where(F.col("d2") <= chi2_quantile(WITHIN, D))
+    out = Table(regularised(moments(inside, ["grp", "start"], list(COMPONENTS)), mix, covariance_scale(WITHIN)).drop("start"), "quality-fit")
+    fit.drop()
+    groups.drop()
+    return out.df
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -166,21 +247,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["doc_id"]
     extra = [F.col("lang").alias("_lang"), F.col("source").alias("_source")]
     stats = statistics(docs.select(*keep, "text", *extra), [*keep, "_lang", "_source"]).withColumn("base_failed", base_failed())
-    table = Table(stats.select("*", F.to_json(F.struct("_lang", "_source")).alias("own")), "quality-stats")
+    table = Table(stats.select("*", F.to_json(F.struct("_lang", "_source")).alias("grp")), "quality-stats")
     df = table.df.withColumns(vectors())
-    passed = df.where(~F.col("base_failed")).select("own", *COMPONENTS)
-    sizes = passed.groupBy("own").agg(F.count(F.lit(1)).alias("n"))
-    groups = sizes.select("own", F.when(F.col("n") >= SMALL, F.col("own")).otherwise("").alias("grp"), "n")
-    enough = groups.groupBy("grp").agg(F.sum("n").alias("all")).where(F.col("all") >= SMALL).select("grp")
-    groups = Table(groups.join(enough, "grp").select("own", "grp"), "quality-groups").df
-    grouped = passed.join(groups, "own").select("grp", *COMPONENTS)
-    fit = Table(_start(grouped), "quality-fit").df
-    for _ in range(STEPS):
-        far = _distance(grouped, fit).withColumn("r", F.least(F.sqrt("d2"), F.lit(1e6)))
-        edge = grid_quantile(far, ["grp"], "r", KEPT, "edge")
-        near = far.join(edge, "grp").where(F.round(F.col("r") * GRID) <= F.round(F.col("edge") * GRID))
-        fit = Table(_moments(near), "quality-fit").df
-    judged = _distance(df.join(groups, "own", "left"), fit)
-    limit = chi2_quantile(CUTOFF, len(COMPONENTS))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
+    fit = minimum_determinant(df.where(~F.col("base_failed")).select("grp", *COMPONENTS))
+    judged = with_distance(df.join(fit, "grp", "left"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(CUTOFF, D), F.lit(True))
     return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
