@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from lexibond.llm.shared import WORD, Table
 
-BLOCKS = 65_536  # of a source at most
+BLOCKS = 1 << 20  # of a source at most
 PER_BLOCK = 256  # documents of a block, about, while there are fewer blocks than that
+WORDS_PER_SHARD = 8_000_000
+LEAST_SHARDS = 8
 MOST = 2.0
 SHARE = 1.5
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -179,10 +181,14 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return nodes.select("source", F.col("node").alias("shard"), "quota").where(F.col("quota") > 0)
 
 
-def mix(docs: DataFrame, shards: int = 8, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, key (document_key) and `copies`, an array of (copy, shard, order)
-    with an entry for every time the mix takes it; expand() makes a row of each."""
+    with an entry for every time that an output shard draws it; expand() makes a row of each. Without a number of shards, one
+    has about WORDS_PER_SHARD words, but there are LEAST_SHARDS at least."""
     planned = Table(plan(docs, seed, weights, share, most), "mix-plan").df
+    if shards is None:
+        words = planned.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+        shards = max(LEAST_SHARDS, ceil(words / WORDS_PER_SHARD))
     taken = planned.where(F.col("copies") > 0).select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     units = taken.groupBy("source", "copy", "block").agg(F.count(F.lit(1)).alias("n"))
     line = Window.partitionBy("source").orderBy(keyed(seed, "unit", "source", "copy", "block"), "copy", "block")
@@ -200,5 +206,5 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 0, weights: tuple[float, .
 
 
 def expand(mixed: DataFrame) -> DataFrame:
-    """Every copy: doc_id, source, size, copy, shard, order. Written by shard and sorted by order, a shard is shuffled."""
-    return mixed.select("doc_id", "source", "size", F.inline("copies"))
+    """Every copy: doc_id, source, size, key, copy, shard, order. Dealt by shard and sorted by order, a shard is shuffled."""
+    return mixed.select("doc_id", "source", "size", "key", F.inline("copies"))
