@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexibond.llm import bpe_codec, jaccard_join, mixing, pii, quality_rules
-from lexibond.llm.queries import tokenizer_file
+from lexibond.llm.queries import pii_key, tokenizer_file
 from lexibond.llm.shared import Table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows of equal id and text have one verdict for each language and source."""
+    """Documents that the quality rules keep; rows of equal id and text have one verdict for each language and source. Null and
+    short texts go, null languages and sources are groups of their own, an empty table stays empty."""
     own = [F.coalesce(F.col(c), F.lit("\x00")) for c in ("lang", "source")]
     keyed = docs.withColumn("_key", F.xxhash64(mixing.document_key(), *own))
     kept = quality_rules.judge(keyed, keep=["_key"]).where("kept").select("_key").distinct()
@@ -40,20 +41,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms."""
-    return pii.pseudonymise(docs).select(*COLUMNS)
+    """All documents, personal data replaced by pseudonyms; null texts stay null, repeated rows are changed alike."""
+    return pii.pseudonymise(docs, pii_key(spark)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for every time that a document is taken."""
-    taken = mixing.mix(docs).where(F.size("copies") > 0).groupBy("key").agg(F.max(F.size("copies")).alias("_times"))
-    keyed = docs.withColumn("_key", mixing.document_key())
-    hit = keyed.join(taken.withColumnRenamed("key", "_key"), "_key")
-    return hit.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+    """The mix as its output shards: a row for every time that a shard draws a document, shard after shard in drawn order.
+    Repeated rows are drawn alike, as often as any of them. An empty or null text is never drawn."""
+    drawn = mixing.mix(docs).where(F.size("copies") > 0).groupBy("key").agg(F.max_by("copies", F.size("copies")).alias("copies"))
+    keyed = docs.withColumn("key", mixing.document_key())
+    rows = keyed.join(drawn, "key").select(*COLUMNS, F.inline("copies"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "order", "doc_id").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and whether they decode to the text."""
+    """doc_id, source, n_tokens, ids and whether they decode to the text; a null text is empty, repeated rows repeat."""
     coded = bpe_codec.encode_decode(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), tokenizer_file(), keep=["doc_id", "source", "_sha"])
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("exact"))
 
