@@ -33,14 +33,13 @@ WINDOW = 5
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 KEPT = 0.75  # share of a group that an estimate is fitted to
-TOLERANCE = 1e-3  # of a determinant's logarithm
+TOLERANCE = 0.01  # of a determinant's logarithm
 STEPS = 30  # at most; grids let a determinant waver by less than the tolerance
 RIDGE = 12.0  # documents
 WITHIN = 0.975
 CUTOFF = 1 - 1e-6
 FLOOR = 0.06  # least deviation of a component, so that constant components don't make a covariance singular
 GRID = 100.0  # values are put on a grid of 1/GRID for quantiles, distances on one of 1/GRID of their logarithm
-STARTS = 4
 
 COMPONENTS = ("log_words", "log_length", "symbols", "duplicates", "repeats", "capitals")
 
@@ -126,8 +125,7 @@ def distance_bin(d2: Column) -> Column:
 
 D = len(COMPONENTS)
 CELLS = [(i, j) for i in range(D) for j in range(i + 1)]
-MEANS = [f"m{i}" for i in range(D)]
-FACTORS = [f"l{i}{j}" for i, j in CELLS]
+Z = [f"z{i}" for i in range(D)]
 
 
 def covariance_scale(share: float) -> float:
@@ -135,110 +133,110 @@ def covariance_scale(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, D), D + 2)
 
 
-def cholesky(out: DataFrame) -> DataFrame:
-    """Adds the factor l.. of the covariance c.. and logdet, the logarithm of its determinant."""
-    for j in range(D):
-        pivot = F.col(f"c{j}{j}")
-        for k in range(j):
-            pivot = pivot - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(pivot, F.lit(FLOOR**2 / 100))))
-        new = {}
-        for i in range(j + 1, D):
-            cell = F.col(f"c{i}{j}")
-            for k in range(j):
-                cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            new[f"l{i}{j}"] = cell / F.col(f"l{j}{j}")
-        out = out.withColumns(new) if new else out
-    total = F.lit(0.0)
-    for j in range(D):
-        total = total + 2 * F.log(f"l{j}{j}")
-    return out.withColumn("logdet", total)
+def inverted(matrix: Column) -> Column:
+    """A positive definite matrix (D * D numbers in an array) -> a struct of its inverse and logdet, by sweeping every pivot."""
+    places = F.sequence(F.lit(0), F.lit(D * D - 1))
 
+    def sweep(acc: Column, k: Column) -> Column:
+        at = lambda i, j: F.get(acc["a"], i * D + j)
+        pivot = at(k, k)
 
-def regularised(fit: DataFrame, groups: DataFrame, scale: float) -> DataFrame:
-    """fit: grp, start, m.., c.. (covariances of what was kept) -> grp, start, m.., l.., logdet.
+        def cell(x: Column) -> Column:
+            i, j = F.floor(x / D).cast("int"), x % D
+            return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), at(i, j) / pivot).otherwise(at(i, j) - at(i, k) * at(k, j) / pivot)
 
-    groups: grp, n and w0.. (the deviations of all documents)."""
-    share = F.lit(RIDGE) / (F.col("n") + RIDGE)
-    mixed = {f"c{i}{j}": F.col(f"c{i}{j}") * scale * (1 - share) + (share * F.col(f"w{i}") * F.col(f"w{i}") + FLOOR**2 if i == j else 0.0) for i, j in CELLS}
-    return cholesky(fit.join(groups, "grp").withColumns(mixed)).select("grp", "start", *MEANS, *FACTORS, "logdet")
+        return F.struct(F.transform(places, cell).alias("a"), (acc["logdet"] + F.log(pivot)).alias("logdet"))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(D - 1)), F.struct(matrix.alias("a"), F.lit(0.0).alias("logdet")), sweep)
+    return F.element_at(F.transform(F.array(done), lambda x: F.struct(F.transform(x["a"], lambda v: -v).alias("p"), x["logdet"].alias("logdet"))), 1)
 
 
 def moments(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)], *[F.covar_pop(values[i], values[j]).alias(f"c{i}{j}") for i, j in CELLS])
+    """keys, m (means) and c (covariances, a whole matrix in an array)."""
+    cell = {(i, j): F.covar_pop(values[i], values[j]) for i, j in CELLS}
+    found = df.groupBy(*keys).agg(F.array(*[F.avg(v) for v in values]).alias("m"), F.array(*cell.values()).alias("_c"))
+    at = lambda i, j: F.col("_c")[CELLS.index((max(i, j), min(i, j)))]
+    return found.select(*keys, "m", F.array(*[at(i, j) for i in range(D) for j in range(D)]).alias("c"))
+
+
+def regularised(fit: DataFrame, groups: DataFrame, scale: float) -> DataFrame:
+    """fit: grp, start, m, c (means and covariances of what was kept) -> grp, start, m, p (the inverse), logdet.
 
+    groups: grp, share and ridge (what the diagonal covariance of all documents adds)."""
+    mixed = F.transform("c", lambda v, x: v * scale * (1 - F.col("share")) + F.when(x % (D + 1) == 0, F.get("ridge", F.floor(x / (D + 1)).cast("int"))).otherwise(0.0))
+    done = fit.join(groups.select("grp", "share", "ridge"), "grp").withColumn("f", inverted(mixed))
+    return done.select("grp", "start", "m", "f.p", "f.logdet")
 
-def with_distance(df: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance under the fit (m.., l..) that stands in the row; null without one."""
-    out = df
-    for i, c in enumerate(COMPONENTS):
-        y = F.col(c) - F.col(f"m{i}")
-        for j in range(i):
-            y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    total = F.lit(0.0)
-    for i in range(D):
-        total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return out.withColumn("d2", total).drop(*[f"y{i}" for i in range(D)])
+
+def distance(values: list[Column]) -> Column:
+    """The squared Mahalanobis distance of the values under the fit (m, p) that stands in the row; null without one."""
+    total = None
+    for i, j in CELLS:
+        term = (values[i] - F.col("m")[i]) * (values[j] - F.col("m")[j]) * F.col("p")[i * D + j] * (1.0 if i == j else 2.0)
+        total = term if total is None else total + term
+    return total
 
 
 def middles(df: DataFrame) -> DataFrame:
-    """grp, a0.. (medians) and s0.. (median deviations as those of a normal law, FLOOR at least)."""
-    long = df.select("grp", F.inline(F.array(*[F.struct(F.lit(i).alias("j"), F.col(c).alias("x")) for i, c in enumerate(COMPONENTS)])))
+    """grp, a (medians) and s (median deviations as those of a normal law, FLOOR at least), arrays over components."""
+    long = df.select("grp", F.posexplode(F.array(*COMPONENTS)).alias("j", "x"))
     middle = grid_quantile(long, ["grp", "j"], value_bin(F.col("x")), 0.5, "middle").withColumn("middle", F.col("middle") / GRID)
     off = long.join(middle, ["grp", "j"])
-    wide = grid_quantile(off, ["grp", "j"], value_bin(F.abs(F.col("x") - F.col("middle"))), 0.5, "wide").withColumn("wide", F.col("wide") / GRID)
-    pick = lambda c, i: F.max(F.when(F.col("j") == i, F.col(c)))
-    return middle.join(wide, ["grp", "j"]).groupBy("grp").agg(*[pick("middle", i).alias(f"a{i}") for i in range(D)], *[F.greatest(pick("wide", i) * 1.4826, F.lit(FLOOR)).alias(f"s{i}") for i in range(D)])
-
-
-def starts(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """The first fits of each group. groups: grp, n, a.., s.., w.."""
-    z = df.join(groups.select("grp", *[f"{c}{i}" for c in "as" for i in range(D)]), "grp").select("grp", *[((F.col(c) - F.col(f"a{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, c in enumerate(COMPONENTS)])
-    size = F.lit(0.0)
-    for i in range(D):
-        size = size + F.col(f"z{i}") * F.col(f"z{i}")
-    z = z.withColumn("size", size)
-    half = grid_quantile(z, ["grp"], distance_bin(F.col("size")), 0.5, "half")
+    wide = grid_quantile(off, ["grp", "j"], value_bin(F.abs(F.col("x") - F.col("middle"))), 0.5, "wide").withColumn("wide", F.greatest(F.col("wide") / GRID * 1.4826, F.lit(FLOOR)))
+    lines = middle.join(wide, ["grp", "j"]).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("j", "middle", "wide"))).alias("l"))
+    return lines.select("grp", F.col("l.middle").alias("a"), F.col("l.wide").alias("s"))
+
+
+def standardised() -> list[Column]:
+    """The components by the medians a and deviations s of the row's group."""
+    return [(F.col(c) - F.col("a")[i]) / F.col("s")[i] for i, c in enumerate(COMPONENTS)]
+
+
+def starts(z: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first fits of each group, in standardised components: no correlation, and three that outliers hardly change."""
+    size = F.aggregate(F.array(*Z), F.lit(0.0), lambda acc, x: acc + x * x)
+    sized = z.withColumn("size", size)
+    half = grid_quantile(sized, ["grp"], distance_bin(F.col("size")), 0.5, "half")
     near = distance_bin(F.col("size")) <= F.col("half")
-    values = [
-        lambda i: F.tanh(f"z{i}"),
-        lambda i: F.col(f"z{i}") / F.greatest(F.sqrt("size"), F.lit(1e-3)),
-        lambda i: F.when(near, F.col(f"z{i}")),
-    ]
-    tried = F.inline(F.array(*[F.struct(F.lit(s + 1).alias("start"), *[f(i).cast("double").alias(f"v{i}") for i in range(D)]) for s, f in enumerate(values)]))
-    found = moments(z.join(half, "grp").select("grp", tried), ["grp", "start"], [f"v{i}" for i in range(D)])
-    shape = found.select("grp", "start", *[(F.col(f"c{i}{j}") / F.sqrt(F.greatest(F.col(f"c{i}{i}") * F.col(f"c{j}{j}"), F.lit(1e-12)))).alias(f"c{i}{j}") if i != j else F.lit(1.0).alias(f"c{i}{j}") for i, j in CELLS])
-    plain = groups.select("grp", F.lit(0).alias("start"), *[F.lit(1.0 if i == j else 0.0).alias(f"c{i}{j}") for i, j in CELLS])
-    first = shape.unionByName(plain).join(groups.select("grp", *[f"{c}{i}" for c in "as" for i in range(D)]), "grp")
-    first = first.select("grp", "start", *[F.col(f"a{i}").alias(f"m{i}") for i in range(D)], *[(F.col(f"c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in CELLS])
-    return regularised(first, groups.select("grp", "n", *[f"w{i}" for i in range(D)]), 1.0)
+    ways = [F.tanh, lambda x: x / F.greatest(F.sqrt("size"), F.lit(1e-3)), lambda x: F.when(near, x)]
+    tried = F.inline(F.array(*[F.struct(F.lit(i + 1).alias("start"), *[way(F.col(c)).cast("double").alias(c) for c in Z]) for i, way in enumerate(ways)]))
+    found = moments(sized.join(half, "grp").select("grp", tried), ["grp", "start"], Z)
+    side = lambda x: F.get("c", x * (D + 1))
+    shape = F.transform("c", lambda v, x: F.when(x % (D + 1) == 0, 1.0).otherwise(v / F.sqrt(F.greatest(side(F.floor(x / D).cast("int")) * side(x % D), F.lit(1e-12)))))
+    plain = groups.select("grp", F.lit(0).alias("start"), F.array(*[F.lit(1.0 if i == j else 0.0) for i in range(D) for j in range(D)]).alias("c"))
+    first = found.select("grp", "start", shape.alias("c")).unionByName(plain).withColumn("m", F.array(*[F.lit(0.0)] * D))
+    return regularised(first, groups, 1.0)
 
 
 def minimum_determinant(df: DataFrame) -> DataFrame:
-    """df: grp and COMPONENTS -> grp, m.., l.., logdet: the reweighted estimate of each group."""
-    every = middles(df.withColumn("grp", F.lit(""))).select(*[F.col(f"s{i}").alias(f"w{i}") for i in range(D)])
-    groups = middles(df).join(df.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n")), "grp").join(F.broadcast(every))
-    groups = Table(groups, "quality-groups")
-    mix = groups.df.select("grp", "n", *[f"w{i}" for i in range(D)])
-    fit = Table(starts(df, groups.df).withColumn("fell", F.lit(0.0)), "quality-fit")
+    """df: grp and COMPONENTS -> grp, a, s, m, p: the reweighted estimate of each group, for components standardised by a, s."""
+    points = Table(df.select("grp", *COMPONENTS), "quality-points")
+    every = middles(points.df.withColumn("grp", F.lit(""))).select(F.col("s").alias("w"))
+    sizes = points.df.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    share = F.lit(RIDGE) / (F.col("n") + RIDGE)
+    ridge = F.zip_with("w", "s", lambda w, s: (F.col("share") * w * w + FLOOR**2) / (s * s))
+    groups = Table(middles(points.df).join(sizes, "grp").join(F.broadcast(every)).withColumn("share", share).withColumn("ridge", ridge), "quality-groups")
+    z = Table(points.df.join(groups.df.select("grp", "a", "s"), "grp").select("grp", *[x.alias(c) for c, x in zip(Z, standardised(), strict=True)]), "quality-z")
+    points.drop()
+    values = [F.col(c) for c in Z]
+    fit = Table(starts(z.df, groups.df).withColumn("fell", F.lit(0.0)), "quality-fit")
     for step in range(STEPS):
-        far = with_distance(df.join(fit.df.drop("fell", "logdet"), "grp")).withColumn("bin", distance_bin(F.col("d2"))).select("grp", "start", "bin", *COMPONENTS)
+        far = z.df.join(fit.df.select("grp", "start", "m", "p"), "grp").select("grp", "start", *Z, distance_bin(distance(values)).alias("bin"))
         edge = grid_quantile(far, ["grp", "start"], F.col("bin"), KEPT, "edge")
         near = far.join(edge, ["grp", "start"]).where(F.col("bin") <= F.col("edge"))
-        new = regularised(moments(near, ["grp", "start"], list(COMPONENTS)), mix, covariance_scale(KEPT))
+        new = regularised(moments(near, ["grp", "start"], Z), groups.df, covariance_scale(KEPT))
         was = fit.df.select("grp", "start", F.col("logdet").alias("was"))
-        better = Table(new.join(was, ["grp", "start"]).withColumn("fell", F.col("was") - F.col("logdet")).drop("was"), "quality-fit")
+        better = Table(new.join(was, ["grp", "start"]).select("grp", "start", "m", "p", "logdet", (F.col("was") - F.col("logdet")).alias("fell")), "quality-fit")
         fit.drop()
         fit = better
         if step and not (fit.df.agg(F.max("fell")).first()[0] or 0.0) > TOLERANCE:
             break
-    best = F.min_by(F.struct(*MEANS, *FACTORS), F.struct("logdet", "start"))
-    raw = fit.df.groupBy("grp").agg(best.alias("f")).select("grp", F.lit(0).alias("start"), "f.*")
-    inside = with_distance(df.join(raw, "grp")).where(F.col("d2") <= chi2_quantile(WITHIN, D))
-    out = Table(regularised(moments(inside, ["grp", "start"], list(COMPONENTS)), mix, covariance_scale(WITHIN)).drop("start"), "quality-fit")
-    fit.drop()
-    groups.drop()
+    raw = fit.df.groupBy("grp").agg(F.min_by(F.struct("m", "p"), F.struct("logdet", "start")).alias("f")).select("grp", "f.*")
+    inside = z.df.join(raw, "grp").where(distance(values) <= chi2_quantile(WITHIN, D)).select("grp", F.lit(0).alias("start"), *Z)
+    done = regularised(moments(inside, ["grp", "start"], Z), groups.df, covariance_scale(WITHIN)).select("grp", "m", "p")
+    out = Table(done.join(groups.df.select("grp", "a", "s"), "grp"), "quality-fit")
+    for table in (fit, groups, z):
+        table.drop()
     return out.df
 
 
@@ -250,6 +248,6 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     table = Table(stats.select("*", F.to_json(F.struct("_lang", "_source")).alias("grp")), "quality-stats")
     df = table.df.withColumns(vectors())
     fit = minimum_determinant(df.where(~F.col("base_failed")).select("grp", *COMPONENTS))
-    judged = with_distance(df.join(fit, "grp", "left"))
+    judged = df.join(fit, "grp", "left").withColumn("d2", distance(standardised()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(CUTOFF, D), F.lit(True))
     return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
