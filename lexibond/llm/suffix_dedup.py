@@ -12,8 +12,9 @@ of a group begin a repeated string. The sort goes by most significant digits, an
    run share, then by the bytes that they cover, in the same way.
 4. The last digit is the string itself: all but the first of equal strings are repeated.
 
-Hashes stand for bytes (128 bits decide). Before each shuffle a task decides what it can: of equal records or strings in a
-batch only the first is sent. An anchor hash with many classes in one batch is hot: its records are dealt by class instead
+Hashes stand for bytes (128 bits decide). Before each shuffle a task decides what it can: of equal records or strings among
+HELD ones only the first is sent, so a string that every document has reaches a task a few times for each part of the input.
+An anchor hash with many classes among these is hot: its records are dealt by class instead
 of by anchor, and two marks tell the anchor's own task that it has several classes.
 
 Earlier means a smaller id or, in the same document, an earlier start. Rows of one id are taken as one document in this:
@@ -35,7 +36,8 @@ WIDTH = 100
 GRAM = 32
 CHUNK = 1 << 18  # suffixes of a text that are handled at once
 BLOCK = 8  # neighbouring suffixes of the third digit
-HOT = 32  # classes of one anchor hash in a batch
+HELD = 400_000  # records that a task decides among before it sends any
+HOT = 32  # classes of one anchor hash among these
 LAST_ID = (1 << 63) - 1  # stands for a null id
 
 _MASK = np.uint64((1 << 20) - 1)
@@ -177,15 +179,18 @@ def _send(key: np.ndarray, digit: np.ndarray, doc: np.ndarray, tag: np.ndarray,
 
 def _records(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
+        got, size = [], 0
         for rows in batches:
-            got = []
             for doc, tag, text in zip(*[rows.column(i).to_pylist() for i in range(3)], strict=True):
                 if len(text) < width:
                     continue
                 h, u, p, begin, last = anchors(np.frombuffer(text, np.uint8), width, gram)
                 got.append((h, u, np.full(len(h), doc, np.int64), np.full(len(h), tag, np.int64), p << 14 | (p - begin) << 7 | (p - last)))
-            if not got:
-                continue
+                size += len(h)
+                if size >= HELD:
+                    yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
+                    got, size = [], 0
+        if got:
             yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
 
     return docs.mapInArrow(run, ROWS)
@@ -251,8 +256,8 @@ def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) ->
     mine = docs.select("doc", "tag", "bytes").join(wanted, ["doc", "tag"]).select("doc", "tag", "bytes", "places")
 
     def run(batches):
+        got, size = [], 0
         for rows in batches:
-            got = []
             for doc, tag, text, places in zip(*[rows.column(i).to_pylist() for i in range(4)], strict=True):
                 place, data = np.unique(np.array(places, np.int64)), np.frombuffer(text, np.uint8)
                 for at in range(0, len(place), CHUNK // 64):
@@ -267,8 +272,12 @@ def _narrower(docs: DataFrame, open_runs: DataFrame, width: int, block: int) ->
                     key = mix64(spans.of(q - j * block, q - (j * block + block - 1) + width) + j.astype(np.uint64) * np.uint64(257))
                     digit = mix64(more.of(q - far, q - near + width) + (far * 128 + near).astype(np.uint64))
                     got.append((key, digit, np.full(len(p), doc, np.int64), np.full(len(p), tag, np.int64), p << 14 | far << 7 | near))
-            if got:
-                yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
+                    size += len(p)
+                    if size >= HELD:
+                        yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
+                        got, size = [], 0
+        if got:
+            yield from _send(*(np.concatenate(c) for c in zip(*got, strict=True)), width)
 
     return mine.mapInArrow(run, ROWS)
 
