@@ -46,5 +46,22 @@ def jaccard_sql(k: int = 3, num: int = 90, den: int = 100) -> str:
       JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1) m USING (doc_id)"""
 
 
+def repeats_sql(width: int = 100) -> str:
+    """Every window of `width` bytes with its first place; what later ones cover goes. Windows are compared by md5."""
+    return f"""
+      WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+      w AS MATERIALIZED (SELECT doc_id, i, md5(array_slice(b, i, i + {width - 1})) AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {width - 2})) AS i FROM d)),
+      f AS (SELECT k, min(CAST(doc_id AS HUGEINT) * 4294967296 + i) AS first FROM w GROUP BY k HAVING count(*) > 1),
+      r AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE CAST(doc_id AS HUGEINT) * 4294967296 + i > first),
+      g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {width} THEN 1 ELSE 0 END AS fresh FROM r)),
+      s AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + {width - 1} AS z FROM g GROUP BY doc_id, run),
+      e AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS low, a - 1 AS high FROM s
+            UNION ALL SELECT doc_id, octet_length(b) + 1, coalesce((SELECT max(z) FROM s WHERE s.doc_id = d.doc_id), 0) + 1, octet_length(b) FROM d),
+      p AS (SELECT doc_id, string_agg(CASE WHEN high >= low THEN hex(array_slice(b, low, high)) ELSE '' END, '' ORDER BY a) AS h FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+      n AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+      SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+      FROM d JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard_sql(), "op8_exact_topk": topk_sql(), "op9_chat_format": chat_sql()}
+    return {"op1_suffix_dedup": repeats_sql(), "op5_jaccard_join": jaccard_sql(), "op8_exact_topk": topk_sql(), "op9_chat_format": chat_sql()}
