@@ -4,8 +4,8 @@ Each document's statistics are counted over its whole text; those that pass the
 For each language and source a minimum-covariance-determinant estimate is made, by deterministic starts: medians and
 median deviations give scales, and four correlations are tried with them (none; of tanh of the standardised values; of their
 spatial signs; of the half nearest to the medians). From each start, concentration steps refit mean and covariance to the
-KEPT share of documents of smallest distance until no determinant shrinks by TOLERANCE any more; the fit of the smallest
-determinant is taken and reweighted: mean and covariance of all documents within its WITHIN quantile. A document whose
+KEPT share of documents of smallest distance as long as that makes the determinant smaller by TOLERANCE or more; the fit of
+the smallest determinant is taken and reweighted: mean and covariance of all documents within its WITHIN quantile. A document whose
 squared Mahalanobis distance is beyond the CUTOFF quantile of the chi-square law is rejected.
 
 Covariances are regularised as in the minimum regularised covariance determinant: a group's is mixed with the diagonal one of
@@ -34,7 +34,7 @@ LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 KEPT = 0.75  # share of a group that an estimate is fitted to
 TOLERANCE = 0.01  # of a determinant's logarithm
-STEPS = 30  # at most; grids let a determinant waver by less than the tolerance
+STEPS = 50  # at most
 RIDGE = 12.0  # documents
 WITHIN = 0.975
 CUTOFF = 1 - 1e-6
@@ -219,17 +219,22 @@ def minimum_determinant(df: DataFrame) -> DataFrame:
     z = Table(points.df.join(groups.df.select("grp", "a", "s"), "grp").select("grp", *[x.alias(c) for c, x in zip(Z, standardised(), strict=True)]), "quality-z")
     points.drop()
     values = [F.col(c) for c in Z]
-    fit = Table(starts(z.df, groups.df).withColumn("fell", F.lit(0.0)), "quality-fit")
+    fit = Table(starts(z.df, groups.df).withColumn("moves", F.lit(True)), "quality-fit")
     for step in range(STEPS):
-        far = z.df.join(fit.df.select("grp", "start", "m", "p"), "grp").select("grp", "start", *Z, distance_bin(distance(values)).alias("bin"))
+        old = fit.df.where("moves").select("grp", "start", "m", "p", "logdet")
+        far = z.df.join(old, "grp").select("grp", "start", *Z, distance_bin(distance(values)).alias("bin"))
         edge = grid_quantile(far, ["grp", "start"], F.col("bin"), KEPT, "edge")
         near = far.join(edge, ["grp", "start"]).where(F.col("bin") <= F.col("edge"))
         new = regularised(moments(near, ["grp", "start"], Z), groups.df, covariance_scale(KEPT))
-        was = fit.df.select("grp", "start", F.col("logdet").alias("was"))
-        better = Table(new.join(was, ["grp", "start"]).select("grp", "start", "m", "p", "logdet", (F.col("was") - F.col("logdet")).alias("fell")), "quality-fit")
+        both = new.join(old.select("grp", "start", F.struct("m", "p", "logdet").alias("old")), ["grp", "start"])
+        # starts are no fits of a share, so the first step's is always taken
+        fell = F.lit(float("inf")) if step == 0 else F.col("old.logdet") - F.col("logdet")
+        least = F.when(fell > 0, F.struct("m", "p", "logdet")).otherwise(F.col("old"))
+        moved = both.select("grp", "start", least.alias("f"), (fell > TOLERANCE).alias("moves")).select("grp", "start", "f.*", "moves")
+        better = Table(fit.df.where(~F.col("moves")).unionByName(moved), "quality-fit")
         fit.drop()
         fit = better
-        if step and not (fit.df.agg(F.max("fell")).first()[0] or 0.0) > TOLERANCE:
+        if fit.df.where("moves").isEmpty():
             break
     raw = fit.df.groupBy("grp").agg(F.min_by(F.struct("m", "p"), F.struct("logdet", "start")).alias("f")).select("grp", "f.*")
     inside = z.df.join(raw, "grp").where(distance(values) <= chi2_quantile(WITHIN, D)).select("grp", F.lit(0).alias("start"), *Z)
