@@ -87,10 +87,15 @@ def brute_verdicts(stats):
                 c = c / np.sqrt(np.maximum(np.outer(np.diag(c), np.diag(c)), 1e-12))
                 np.fill_diagonal(c, 1.0)
             m, c = a, ridge(c * np.outer(s, s), 1.0)
-            for _ in range(q.STEPS):
+            for step in range(q.STEPS):
                 bins = low(d2(own, m, c))
                 near = own[bins <= cut(bins, q.KEPT)]
-                m, c = near.mean(axis=0), ridge(np.cov(near.T, bias=True).reshape(q.D, q.D), q.covariance_scale(q.KEPT))
+                new = near.mean(axis=0), ridge(np.cov(near.T, bias=True).reshape(q.D, q.D), q.covariance_scale(q.KEPT))
+                fell = np.inf if step == 0 else np.linalg.slogdet(c)[1] - np.linalg.slogdet(new[1])[1]
+                if fell > 0:
+                    m, c = new
+                if fell <= q.TOLERANCE:
+                    break
             if best is None or np.linalg.slogdet(c)[1] < best[0] - 1e-9:
                 best = (np.linalg.slogdet(c)[1], m, c)
         inside = own[d2(own, *best[1:]) <= q.chi2_quantile(q.WITHIN, q.D)]
