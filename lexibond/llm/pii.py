@@ -117,7 +117,7 @@ def _windows(groups: Column, i: Column) -> Column:
     or 4, 6 and 4 or 5; 2: any others, more digits first."""
     upto = F.sequence(i, F.least(i + 18, F.size(groups) - 1))
     each = F.transform(upto, lambda j: F.struct(j.alias("j"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("w")))
-    sized = F.filter(F.transform(each, lambda x: F.struct(x["j"].alias("j"), x["w"].alias("w"), F.regexp_replace(x["w"], "[ -]", "").alias("d"))), lambda x: F.length(x["d"]).between(13, 19))
+    sized = F.filter(F.transform(each, lambda x: F.struct(x["j"].alias("j"), x["w"].alias("w"), F.regexp_replace(x["w"], "[ -]", "").alias("d"))), lambda x: x["d"].rlike("^[0-9]{13,19}$"))
     valid = F.filter(sized, lambda x: (luhn_sum(x["d"]) % 10 == 0) & x["d"].rlike("[1-9]"))
     usual = lambda x: x["w"].rlike(r"^(?:\d{4}[ -]){3}\d{4}[ -]?$|^\d{4}[ -]\d{6}[ -]\d{4,5}[ -]?$")
     rank = lambda x: F.when(x["j"] == i, 0).when(usual(x), 1).otherwise(2)
@@ -154,31 +154,34 @@ def _run(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     """The national number is the last ten digits; area and exchange stay with or without a leading 0 or 1."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    lead = F.substr(digits, F.lit(1), F.length(digits) - 10)
-    part = lambda at, n: F.substr(digits, F.length(digits) - 9 + at, F.lit(n)).cast("long")
-    area, exchange, line = part(0, 3), part(3, 3), part(6, 4)
+    part = lambda d, at, n: F.substr(d, F.length(d) - 9 + at, F.lit(n)).cast("long")
     most = lambda x: F.when(x >= 200, F.lit(800)).otherwise(F.lit(200)).cast("long")
     low = lambda x: F.when(x >= 200, F.lit(200)).otherwise(F.lit(0)).cast("long")
-    moved = feistel((area - low(area)) * most(exchange) + exchange - low(exchange), line, most(area) * most(exchange), 10_000, key, F.concat_ws("|", F.lit("phone"), most(area), most(exchange)))
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    text = lambda v: F.concat(lead, pad(low(area) + F.floor(v["a"] / most(exchange)).cast("long"), 3), pad(low(exchange) + v["a"] % most(exchange), 3), pad(v["b"], 4))
-    return _bound(F.struct(moved[0].alias("a"), moved[1].alias("b")), lambda v: refill(m, text(v)))
 
+    def moved(v: Column) -> Column:
+        a, b = feistel((v["area"] - v["area0"]) * v["exchanges"] + v["exchange"] - v["exchange0"], v["line"], v["areas"] * v["exchanges"], 10_000, key, F.concat_ws("|", F.lit("phone"), v["areas"], v["exchanges"]))
+        text = lambda x: F.concat(v["lead"], pad(v["area0"] + F.floor(x["a"] / v["exchanges"]).cast("long"), 3), pad(v["exchange0"] + x["a"] % v["exchanges"], 3), pad(x["b"], 4))
+        return _bound(F.struct(a.alias("a"), b.alias("b")), lambda x: refill(m, text(x)))
 
-def _cards_in(m: Column, key: str) -> Column:
-    """What isn't the number it looked like, with the cards that it holds replaced."""
-    return _bound(F.transform(F.regexp_extract_all(m, F.lit(CARD), F.lit(0)), lambda x: _run(x, key)), lambda new: _joined(m, CARD, new)["text"])
+    parts = lambda d: F.struct(F.substr(d, F.lit(1), F.length(d) - 10).alias("lead"), part(d, 0, 3).alias("area"), part(d, 3, 3).alias("exchange"), part(d, 6, 4).alias("line"))
+    sized = lambda v: F.struct(v["lead"].alias("lead"), v["line"].alias("line"), *[x for c in ("area", "exchange") for x in (v[c].alias(c), low(v[c]).alias(f"{c}0"), most(v[c]).alias(f"{c}s"))])
+    return _bound(digits, lambda d: _bound(parts(d), lambda v: _bound(sized(v), moved)))
 
 
 def _abroad(m: Column, key: str) -> Column:
-    """A number with a country code, which is what stands before the first sign or, in a plain run, what the list of codes says."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
+    """A number with a country code, which is what stands before the first sign or, in a plain run, what the list of codes
+    says; null if it has too few or too many digits."""
     apart = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
-    listed = F.regexp_extract(digits, f"^({SHORT_CODES})", 1)
-    code = F.when(apart != "", apart).when(listed != "", listed).otherwise(F.left(digits, F.lit(3)))
-    own = F.substr(digits, F.length(code) + 1, F.length(digits) - F.length(code))
-    moved = _bound(permute_digits(own, key, F.concat_ws("|", F.lit("abroad"), code)), lambda d: refill(m, F.concat(code, d)))
-    return F.when(F.length(digits).between(8, 15), moved).otherwise(_cards_in(m, key))
+
+    def moved(digits: Column) -> Column:
+        listed = F.regexp_extract(digits, f"^({SHORT_CODES})", 1)
+        code = F.when(apart != "", apart).when(listed != "", listed).otherwise(F.left(digits, F.lit(3)))
+        own = lambda c: F.substr(digits, F.length(c) + 1, F.length(digits) - F.length(c))
+        new = _bound(code, lambda c: _bound(permute_digits(own(c), key, F.concat_ws("|", F.lit("abroad"), c)), lambda d: refill(m, F.concat(c, d))))
+        return F.when(F.length(digits).between(8, 15), new)
+
+    return _bound(F.regexp_replace(m, "[^0-9]", ""), moved)
 
 
 def _mod97(text: Column) -> Column:
@@ -189,16 +192,16 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.regexp_replace(m, " ", "")
-    country, check, own = F.left(plain, F.lit(2)), F.substr(plain, F.lit(3), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain) - 4)
-    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(own, country, check)) == 1)
+    """Null if the check digits don't fit."""
+    sums = lambda country, own: F.lpad((98 - _mod97(F.concat(own, country, F.lit("00")))).cast("string"), 2, "0")
+    spaced = lambda t: F.when(m.contains(" "), F.trim(F.regexp_replace(t, "(.{4})", "$1 "))).otherwise(t)
 
-    def whole(new: Column) -> Column:
-        sums = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-        return F.concat(country, sums, new)
+    def moved(plain: Column) -> Column:
+        country, own = F.left(plain, F.lit(2)), F.substr(plain, F.lit(5), F.length(plain) - 4)
+        valid = F.length(plain).between(15, 34) & (_mod97(F.concat(own, F.left(plain, F.lit(4)))) == 1)
+        return F.when(valid, _bound(permute_text(own, key, "iban"), lambda new: spaced(F.concat(country, sums(country, new), new))))
 
-    spaced = lambda t: F.when(m.contains(" "), F.trim(F.regexp_replace(t, "(.{4})", "$1 "))).otherwise(t)
-    return F.when(valid, _bound(permute_text(own, key, "iban"), lambda new: spaced(whole(new)))).otherwise(_cards_in(m, key))
+    return _bound(F.regexp_replace(m, " ", ""), moved)
 
 
 def _ipv6(m: Column, key: str) -> Column:
@@ -298,7 +301,8 @@ def _simple(m: Column, key: str, kinds: tuple = ((PHONE, _phone), (SSN, _ssn), (
 
 
 def replaced(m: Column, key: str) -> Column:
-    """One match: a struct of its pseudonyms in place (the match itself if nothing validates) and the number of them."""
+    """One match: a struct of its pseudonyms in place (the match itself if nothing validates) and the number of them. What
+    only looked like an IBAN or a number abroad is searched for cards."""
     other = _simple(m, key, ((ABROAD, _abroad), (PHONE, _phone), (SSN, _ssn), (DATE, _date), (IBAN, _iban), (IPV6, _ipv6), (IP, _ip), (SECRET, _secret), (EMAIL, _email)), F.lit(None).cast("string"))
     return _bound(other, lambda new: F.when(new.isNull(), _run(m, key)).otherwise(_counted(m, new)))
 
