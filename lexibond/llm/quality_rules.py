@@ -36,6 +36,7 @@ KEPT = 0.75  # share of a group that an estimate is fitted to
 TOLERANCE = 0.01  # of a determinant's logarithm
 STEPS = 50  # at most
 RIDGE = 12.0  # documents
+FILES = 8  # of tables with a row for each group
 WITHIN = 0.975
 CUTOFF = 1 - 1e-6
 FLOOR = 0.06  # least deviation of a component, so that constant components don't make a covariance singular
@@ -215,11 +216,11 @@ def minimum_determinant(df: DataFrame) -> DataFrame:
     sizes = points.df.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"))
     share = F.lit(RIDGE) / (F.col("n") + RIDGE)
     ridge = F.zip_with("w", "s", lambda w, s: (F.col("share") * w * w + FLOOR**2) / (s * s))
-    groups = Table(middles(points.df).join(sizes, "grp").join(F.broadcast(every)).withColumn("share", share).withColumn("ridge", ridge), "quality-groups")
+    groups = Table(middles(points.df).join(sizes, "grp").join(F.broadcast(every)).withColumn("share", share).withColumn("ridge", ridge).coalesce(FILES), "quality-groups")
     z = Table(points.df.join(groups.df.select("grp", "a", "s"), "grp").select("grp", *[x.alias(c) for c, x in zip(Z, standardised(), strict=True)]), "quality-z")
     points.drop()
     values = [F.col(c) for c in Z]
-    fit = Table(starts(z.df, groups.df).withColumn("moves", F.lit(True)), "quality-fit")
+    fit = Table(starts(z.df, groups.df).withColumn("moves", F.lit(True)).coalesce(FILES), "quality-fit")
     for step in range(STEPS):
         old = fit.df.where("moves").select("grp", "start", "m", "p", "logdet")
         far = z.df.join(old, "grp").select("grp", "start", *Z, distance_bin(distance(values)).alias("bin"))
@@ -231,7 +232,7 @@ def minimum_determinant(df: DataFrame) -> DataFrame:
         fell = F.lit(float("inf")) if step == 0 else F.col("old.logdet") - F.col("logdet")
         least = F.when(fell > 0, F.struct("m", "p", "logdet")).otherwise(F.col("old"))
         moved = both.select("grp", "start", least.alias("f"), (fell > TOLERANCE).alias("moves")).select("grp", "start", "f.*", "moves")
-        better = Table(fit.df.where(~F.col("moves")).unionByName(moved), "quality-fit")
+        better = Table(fit.df.where(~F.col("moves")).unionByName(moved).coalesce(FILES), "quality-fit")
         fit.drop()
         fit = better
         if fit.df.where("moves").isEmpty():
@@ -239,7 +240,7 @@ def minimum_determinant(df: DataFrame) -> DataFrame:
     raw = fit.df.groupBy("grp").agg(F.min_by(F.struct("m", "p"), F.struct("logdet", "start")).alias("f")).select("grp", "f.*")
     inside = z.df.join(raw, "grp").where(distance(values) <= chi2_quantile(WITHIN, D)).select("grp", F.lit(0).alias("start"), *Z)
     done = regularised(moments(inside, ["grp", "start"], Z), groups.df, covariance_scale(WITHIN)).select("grp", "m", "p")
-    out = Table(done.join(groups.df.select("grp", "a", "s"), "grp"), "quality-fit")
+    out = Table(done.join(groups.df.select("grp", "a", "s"), "grp").coalesce(FILES), "quality-fit")
     for table in (fit, groups, z):
         table.drop()
     return out.df
