@@ -25,6 +25,13 @@ WORD_LEVEL_CAP = 500_000
 HELD_CHARS = 64_000_000  # of a vocabulary that tasks hold as an array
 
 _PLAIN = r"[^\t\n\r\x20-\x7E]"  # texts without these are only lower-cased
+# The ranges of Latin letters, signs and dashes that hold no control character, white space, lone mark or sign
+# that stands apart. Texts of these and plain ones only need single letters replaced.
+_LATIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_LATIN_BASE = "aaaaaaceeeeiiiinooooouuuuyy"
+_WESTERN = r"[^\t\n\r\x20-\x7E\u00A1-\u00AC\u00AE-\u00FF\u2010-\u2027\u2030-\u205E\u20AC]"  # texts without these hold no other letter with an accent
+SIMPLE = ((0xA1, 0xAC), (0xAE, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
+_BEYOND = r"[^\t\n\r\x20-\x7E" + "".join(f"\\u{low:04X}-\\u{high:04X}" for low, high in SIMPLE) + "]"
 _CONTROL = r"[\p{C}\uFFFD&&[^\t\n\r]]"
 _MARKS = r"\p{Mn}"
 # The blocks whose signs stand apart as words.
@@ -57,18 +64,36 @@ def _syllables(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.between("\uac00", "\ud7a3"), parts(c)).otherwise(c)), "")
 
 
-def normalise(text: Column) -> Column:
-    """Lower-cased and without accents; control characters go, every white space is a blank, CJK signs stand apart. In the JVM:
-    only texts beyond printable ASCII take the long way."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _folded(text: Column) -> Column:
+    """Any text, the long way."""
     letters, plain, longer = base_letters()
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _CONTROL, ""), r"\p{Z}", " "), _APART, " $1 ")
-    clean = F.when(clean.rlike("[\uac00-\ud7a3]"), _syllables(clean)).otherwise(clean)
-    several = clean
-    for c, base in longer.items():
-        several = F.replace(several, F.lit(c), F.lit(base))
-    clean = F.when(clean.rlike("[" + "".join(longer) + "]"), several).otherwise(clean)
-    folded = F.lower(F.regexp_replace(F.translate(clean, letters, plain), _MARKS, ""))
-    return F.when(text.rlike(_PLAIN), folded).otherwise(F.lower(text))
+
+    def several(c: Column) -> Column:
+        out = c
+        for letter, base in longer.items():
+            out = F.replace(out, F.lit(letter), F.lit(base))
+        return F.when(c.rlike("[" + "".join(longer) + "]"), out).otherwise(c)
+
+    spelt = _bound(clean, lambda c: F.when(c.rlike("[\uac00-\ud7a3]"), _syllables(c)).otherwise(c))
+    return F.lower(F.regexp_replace(F.translate(_bound(spelt, several), letters, plain), _MARKS, ""))
+
+
+def normalise(text: Column) -> Column:
+    """Lower-cased and without accents; control characters go, every white space is a blank, CJK signs stand apart. In the JVM:
+    only texts beyond SIMPLE characters take the long way."""
+    letters, plain, _ = base_letters()
+    some = [(c, base) for c, base in zip(letters, plain, strict=True) if any(low <= ord(c) <= high for low, high in SIMPLE)]
+    short = F.lower(F.translate(text, "".join(c for c, _ in some), "".join(base for _, base in some)))
+    western = F.lower(text)  # replacing a few letters one by one is some ten times as fast as translate
+    for letter, base in zip(_LATIN, _LATIN_BASE, strict=True):
+        western = F.replace(western, F.lit(letter), F.lit(base))
+    return F.when(~text.rlike(_PLAIN), F.lower(text)).when(~text.rlike(_WESTERN), western).when(~text.rlike(_BEYOND), short).otherwise(_folded(text))
 
 
 def words(text: Column) -> Column:
@@ -81,16 +106,95 @@ def tokenise(corpus: DataFrame) -> DataFrame:
     return corpus.select("sample_id", words(F.col("text")).alias("tokens"))
 
 
-def count_words(tokenised: DataFrame) -> DataFrame:
-    """token, count. Tasks count in Arrow arrays before the shuffle."""
+PART_TOKENS = 1_000_000  # about so many tokens are one row of a coded corpus
+
+
+def code_words(tokenised: DataFrame) -> DataFrame:
+    """A tokenised corpus in rows of whole samples with a dictionary each: sample_id, lengths (arrays by sample), codes (32-bit
+    places in `words`, as bytes), words and their counts. Every text is tokenised once; words are counted and get ids by dictionary."""
+    most, kind = PART_TOKENS, tokenised.schema["sample_id"].dataType.simpleString()
+
+    def coded(held):
+        ids = pa.concat_arrays([rows.column(0) for rows in held])
+        tokens = pa.concat_arrays([pc.fill_null(rows.column(1), []) if rows.column(1).null_count else rows.column(1) for rows in held])
+        flat = tokens.flatten().dictionary_encode()
+        codes, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32), flat.dictionary
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        counts = pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))
+        parts = [whole(ids), whole(pc.list_value_length(tokens).cast(pa.int32())), pa.array([codes.tobytes()], pa.binary()), whole(words), whole(counts)]
+        return pa.RecordBatch.from_arrays(parts, names=["sample_id", "lengths", "codes", "words", "counts"])
+
+    def run(batches):
+        held, size = [], 0
+        for rows in batches:
+            upto = rows.column(1).offsets.to_numpy()
+            at = 0
+            while at < rows.num_rows:
+                # up to the sample that fills the part
+                end = min(rows.num_rows, int(np.searchsorted(upto, upto[at] + most - size, side="left")))
+                end = max(end, at + 1)
+                held.append(rows.slice(at, end - at))
+                size += int(upto[end] - upto[at])
+                at = end
+                if size >= most:
+                    yield coded(held)
+                    held, size = [], 0
+        if held:
+            yield coded(held)
+
+    return tokenised.select("sample_id", "tokens").mapInArrow(run, f"sample_id array<{kind}>, lengths array<int>, codes binary, words array<string>, counts array<long>")
+
+
+def count_coded(parts: DataFrame) -> DataFrame:
+    """token, count."""
+    return parts.select(F.inline(F.arrays_zip("words", "counts"))).toDF("token", "count").groupBy("token").agg(F.sum("count").alias("count"))
+
+
+def merge_word_counts(counted: list[DataFrame]) -> DataFrame:
+    """token, count over several corpora."""
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("token").agg(F.sum("count").alias("count"))
+
+
+def ids_of_parts(parts: DataFrame, vocabulary: DataFrame, other: int = 0) -> DataFrame:
+    """sample_id, input_ids of a coded corpus; words that the vocabulary lacks get `other`. Only dictionaries are looked up, in
+    an array that tasks hold, or by a join where the vocabulary is longer than HELD_CHARS."""
+    names, kind = held_names(vocabulary), parts.schema["sample_id"].dataType.elementType.simpleString()
+    if names is None:
+        keyed = parts.withColumn("part", F.sha2(F.concat_ws(",", F.col("sample_id").cast("array<string>"), F.sha2("codes", 256), F.array_join("words", " ")), 256))
+        single = keyed.select("part", "words").dropDuplicates(["part"])
+        found = single.select("part", F.posexplode("words").alias("pos", "token")).join(vocabulary, "token", "left")
+        found = found.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(other)).cast("int").alias("id")))).alias("s"))
+        looked = keyed.join(found, "part", "left").select("sample_id", "lengths", "codes", F.coalesce("s.id", F.array().cast("array<int>")).alias("words"))
+    else:
+        looked = parts.select("sample_id", "lengths", "codes", "words")
+    sent = parts.sparkSession.sparkContext.broadcast(names)
 
     def run(batches):
         for rows in batches:
-            got = pc.value_counts(rows.column(0).flatten())
-            if len(got):
-                yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], names=["token", "count"])
+            found = rows.column(3).flatten()
+            if sent.value is not None:
+                found = pc.fill_null(pc.index_in(found.cast(pa.string()), value_set=sent.value), other)
+            found, starts = found.to_numpy(zero_copy_only=False).astype(np.int32), rows.column(3).offsets.to_numpy()
+            for i in range(rows.num_rows):
+                ids = found[starts[i] - starts[0] : starts[i + 1] - starts[0]][np.frombuffer(rows.column(2)[i].as_buffer(), np.int32)]
+                samples, lengths = rows.column(0)[i].values, rows.column(1)[i].values.to_numpy()
+                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                out = pa.RecordBatch.from_arrays([samples, pa.ListArray.from_arrays(ends, pa.array(ids))], names=["sample_id", "input_ids"])
+                for at in range(0, out.num_rows, ROWS):
+                    yield out.slice(at, ROWS)
 
-    return tokenised.select("tokens").mapInArrow(run, "token string, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    return looked.mapInArrow(run, f"sample_id {kind}, input_ids array<int>")
+
+
+ROWS = 1024  # of texts in an Arrow batch that goes to the JVM
+
+
+def count_words(tokenised: DataFrame) -> DataFrame:
+    """token, count. Tasks count in Arrow arrays before the shuffle."""
+    return count_coded(code_words(tokenised))
 
 
 def train_word_level(corpus: DataFrame, cap: int = WORD_LEVEL_CAP) -> DataFrame:
@@ -136,6 +240,35 @@ def number_words(counted: DataFrame, cap: int = WORD_LEVEL_CAP) -> DataFrame:
     return out
 
 
+def frequent_words(counted: DataFrame, least: int) -> DataFrame:
+    """token, token_id, count of the words found `least` times or more, which number as in the whole vocabulary: no cap."""
+    table = Table(counted.where(F.col("count") >= least), "words")
+    if (table.df.agg(F.sum(F.length("token"))).first()[0] or 0) > HELD_CHARS:
+        return rank_words(table.df)
+    held = table.df.select("token", "count").toArrow()
+    held = held.take(pc.sort_indices(held, sort_keys=[("count", "descending"), ("token", "ascending")]))
+    table.drop()
+    names = held.column("token").cast(pa.string()).combine_chunks()
+    first = len(SPECIALS)
+    out = counted.sparkSession.createDataFrame(pa.table({"token": names, "token_id": pa.array(range(first, first + len(names)), pa.int32()), "count": held.column("count")}))
+    _HELD[out] = pa.concat_arrays([pa.nulls(first, pa.string()), names])
+    return out
+
+
+def rank_words(counted: DataFrame) -> DataFrame:
+    """token, token_id, count of all words, by count descending and word ascending from the first id behind the specials. They are
+    sorted by range and numbered range by range, so the vocabulary is never in one place."""
+    base = Table(counted.orderBy(F.desc("count"), "token").select("token", "count", F.monotonically_increasing_id().alias("_at")), "ranked")
+    part = F.shiftright("_at", 33)
+    sizes = base.df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    before, rows = len(SPECIALS), []
+    for r in sizes:
+        rows.append((r["_part"], before - (r["_part"] << 33)))
+        before += r["n"]
+    shift = counted.sparkSession.createDataFrame(rows, "_part long, _shift long")
+    return base.df.withColumn("_part", part).join(F.broadcast(shift), "_part").select("token", (F.col("_at") + F.col("_shift")).alias("token_id"), "count")
+
+
 _HELD: WeakKeyDictionary[DataFrame, pa.Array] = WeakKeyDictionary()
 
 
@@ -230,8 +363,17 @@ class TokenizerSpec:
 
 
 def word_level_ids(corpus: DataFrame, cap: int = WORD_LEVEL_CAP) -> tuple[DataFrame, DataFrame]:
-    vocabulary = train_word_level(corpus, cap)
-    return encode(tokenise(corpus), vocabulary), vocabulary
+    parts = Table(code_words(tokenise(corpus)), "coded").df
+    vocabulary = number_words(count_coded(parts), cap)
+    return ids_of_parts(parts, vocabulary), vocabulary
+
+
+NO_WORD = -1  # stands for every word that is too rare; no n-gram holds it
+
+
+def frequent_ids(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """sample_id, tokens: ids of frequent words, NO_WORD for others."""
+    return ids_of_parts(parts, vocabulary, NO_WORD).withColumnRenamed("input_ids", "tokens")
 
 
 _TOKENIZERS = {"word-level": TokenizerSpec("word-level", word_level_ids)}
