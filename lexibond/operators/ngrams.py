@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -47,7 +48,8 @@ def count_ngrams(tokens: DataFrame, sizes: list[int], min_count: int = 1) -> Dat
 
 
 HELD_TOKENS = 4_000_000  # that a task counts at once
-PAIRS = 4_000_000  # frequent pairs that tasks hold
+ROWS = 65_536  # of a batch that a task returns
+PAIRS = 16_000_000  # frequent pairs that tasks hold: 128 MB
 
 
 def _held(batches, most: int):
@@ -69,10 +71,12 @@ def _held(batches, most: int):
 def _part_counts(flat: np.ndarray, ends: np.ndarray, sizes: range, frequent: np.ndarray | None, pairs: np.ndarray | None):
     """(n, first places of the distinct n-grams, counts) of some samples. frequent: which ids can be in an n-gram that is
     wanted; pairs: which (first << 32 | second) can be in one of three or more."""
+    known = flat >= 0
     if 1 in sizes:
-        _, first, count = np.unique(flat, return_index=True, return_counts=True)
-        yield 1, first, count
-    alive = np.ones(len(flat), bool)
+        ids, first, count = np.unique(flat, return_index=True, return_counts=True)
+        yield 1, first[ids >= 0], count[ids >= 0]
+    alive = known.copy()
+    alive[:-1] &= known[1:]
     alive[ends[ends > 0] - 1] = False  # no window goes on beyond a sample
     if frequent is not None:
         often = np.append(frequent, False)[np.minimum(flat, len(frequent))]
@@ -98,6 +102,98 @@ def _part_counts(flat: np.ndarray, ends: np.ndarray, sizes: range, frequent: np.
         alive[:-1] &= alive[1:]
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and their counts."""
+    key = np.sort(key)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], np.diff(np.append(starts, len(key)))
+
+
+def _tasks_parts(columns: list[np.ndarray], kinds: list[str], names: list[str]):
+    for a in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + ROWS].astype(k)) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _alive(flat: np.ndarray, ends: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+    """Which places begin a pair of wanted tokens within a sample."""
+    wanted = flat >= 0 if frequent is None else (flat >= 0) & np.append(frequent, False)[np.minimum(flat, len(frequent))]
+    alive = wanted.copy()
+    alive[:-1] &= wanted[1:]
+    alive[ends[ends > 0] - 1] = False  # no window goes on beyond a sample
+    return alive
+
+
+def count_pairs(ids: DataFrame, frequent: np.ndarray | None = None, min_count: int = 1) -> DataFrame:
+    """key (first << 32 | second), count."""
+    sent, held = ids.sparkSession.sparkContext.broadcast(frequent), HELD_TOKENS
+
+    def run(batches):
+        for flat, ends in _held(batches, held):
+            at = np.flatnonzero(_alive(flat, ends, sent.value))
+            yield from _tasks_parts(list(_runs(flat[at] << 32 | flat[at + 1])), ["i8", "i8"], ["key", "count"])
+
+    parts = ids.select("tokens").mapInArrow(run, "key long, count long")
+    return prune(parts.groupBy("key").agg(F.sum("count").alias("count")), min_count)
+
+
+def _count_longer(ids: DataFrame, sizes: list[int], pairs: np.ndarray, min_count: int) -> DataFrame:
+    """n, ngram, count of sizes from 3 to 5, made of frequent pairs (sorted keys): the place of a pair among them stands for
+    two tokens, so that an n-gram is a number of 64 bits and at most one token more."""
+    sent, held = ids.sparkSession.sparkContext.broadcast(pairs), HELD_TOKENS
+
+    def run(batches):
+        pairs = sent.value
+        for flat, ends in _held(batches, held):
+            alive = _alive(flat, ends, None)
+            at = np.flatnonzero(alive)
+            key = flat[at] << 32 | flat[at + 1]
+            spot = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
+            known = pairs[spot] == key if len(pairs) else np.zeros(len(key), bool)
+            place = np.full(len(flat), -1, np.int64)
+            place[at[known]] = spot[known]
+            del key, spot, known, at
+            alive = place >= 0
+            alive[:-1] &= alive[1:].copy()
+            alive[-1:] = False
+            at = np.flatnonzero(alive)  # three tokens
+            if 3 in sizes:
+                key, count = _runs(place[at] << 32 | flat[at + 2])
+                yield from _tasks_parts([np.full(len(key), 3), key >> 32, key & 0xFFFFFFFF, count], ["i4", "i8", "i4", "i8"], ["n", "key", "last", "count"])
+            if max(sizes) < 4:
+                continue
+            at = at[place[np.minimum(at + 2, len(flat) - 1)] >= 0]  # four
+            four = place[at] << 32 | place[at + 2]
+            if 4 in sizes:
+                key, count = _runs(four)
+                yield from _tasks_parts([np.full(len(key), 4), key, np.full(len(key), -1), count], ["i4", "i8", "i4", "i8"], ["n", "key", "last", "count"])
+            if 5 in sizes:
+                on = place[np.minimum(at + 3, len(flat) - 1)] >= 0
+                at, four = at[on], four[on]
+                distinct, code = np.unique(four, return_inverse=True)
+                key, count = _runs(code << 32 | flat[at + 4])
+                yield from _tasks_parts([np.full(len(key), 5), distinct[key >> 32], key & 0xFFFFFFFF, count], ["i4", "i8", "i4", "i8"], ["n", "key", "last", "count"])
+
+    parts = ids.select("tokens").mapInArrow(run, "n int, key long, last int, count long")
+    counted = prune(parts.groupBy("n", "key", "last").agg(F.sum("count").alias("count")), min_count)
+
+    def spell(batches):
+        pairs = sent.value
+        for rows in batches:
+            n, key, last, count = (rows.column(i).to_numpy() for i in range(4))
+            size, first = n, np.where(n == 3, key, key >> 32)
+            grams = np.full((len(n), 5), -1, np.int64)
+            grams[:, 0], grams[:, 1] = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+            second = pairs[np.where(n == 3, 0, key & 0xFFFFFFFF)]
+            grams[:, 2] = np.where(n == 3, last, second >> 32)
+            grams[:, 3], grams[:, 4] = second & 0xFFFFFFFF, last
+            inside = np.arange(5) < size[:, None]
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            ngram = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[inside].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), ngram, rows.column(3)], names=["n", "ngram", "count"])
+
+    return Table(counted, "counts").df.mapInArrow(spell, "n int, ngram array<int>, count long")
+
+
 def _count_parts(ids: DataFrame, sizes: range, frequent: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
     top = max(sizes)
     names = ["n", *[token_field(i) for i in range(top)], "count"]
@@ -107,8 +203,10 @@ def _count_parts(ids: DataFrame, sizes: range, frequent: np.ndarray | None = Non
         frequent, pairs = sent.value
         for flat, ends in _held(batches, held):
             for n, first, count in _part_counts(flat, ends, sizes, frequent, pairs):
-                tokens = [pa.array(flat[first + i].astype(np.int32)) if i < n else pa.array(np.full(len(first), -1, np.int32)) for i in range(top)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), *tokens, pa.array(count.astype(np.int64))], names=names)
+                for a in range(0, len(first), ROWS):
+                    at = first[a : a + ROWS]
+                    tokens = [pa.array(flat[at + i].astype(np.int32)) if i < n else pa.array(np.full(len(at), -1, np.int32)) for i in range(top)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), *tokens, pa.array(count[a : a + ROWS].astype(np.int64))], names=names)
 
     kinds = ", ".join(f"{c} int" for c in names[:-1])
     parts = ids.select("tokens").mapInArrow(run, f"{kinds}, count long")
@@ -121,10 +219,11 @@ def _packed(counts: DataFrame) -> DataFrame:
 
 
 def count_id_ngrams(ids: DataFrame, max_size: int, min_count: int = 1) -> DataFrame:
-    """n, ngram, count like count_ngrams, for tokens that are ids of a capped vocabulary (ints from 0).
+    """n, ngram, count like count_ngrams, for tokens that are ids of a vocabulary (ints from 0; n-grams with a negative one
+    aren't counted).
 
     Size after size: only windows whose tokens, then pairs, are frequent enough can be, so rare ones are never shuffled. Tasks
-    count in sorted arrays. Frequent ids are a bitmap of the vocabulary's cap; frequent pairs are held by tasks if there are
+    count in sorted arrays. Frequent ids are a bitmap of the vocabulary; frequent pairs are held by tasks if there are
     PAIRS at most, otherwise all windows of frequent tokens are counted."""
     single = Table(prune(_count_parts(ids, range(1, 2)), min_count), "counts")
     done, frequent, pairs = _packed(single.df), None, None
@@ -134,38 +233,103 @@ def count_id_ngrams(ids: DataFrame, max_size: int, min_count: int = 1) -> DataFr
         some = single.df.select(token_field(0)).toArrow().column(0).to_numpy().astype(np.int64)
         frequent = np.zeros(int(some.max(initial=-1)) + 1, bool)
         frequent[some] = True
-    double = Table(prune(_count_parts(ids, range(2, 3), frequent), min_count), "counts")
-    done = done.unionByName(_packed(double.df))
-    if max_size == 2:
+    return done.unionByName(count_from_pairs(ids, list(range(2, max_size + 1)), min_count, frequent))
+
+
+def spell_pairs(counted: DataFrame) -> DataFrame:
+    """key, count of pairs -> n, ngram, count."""
+    pair = F.array(F.shiftright("key", 32).cast("int"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    return counted.select(F.lit(2).alias("n"), pair.alias("ngram"), "count")
+
+
+def count_from_pairs(ids: DataFrame, sizes: list[int], min_count: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """n, ngram, count of some sizes from 2 up. frequent: which ids are found min_count times; None if all that aren't negative are."""
+    double = Table(count_pairs(ids, frequent, min_count), "counts")
+    done, longer = spell_pairs(double.df if 2 in sizes else double.df.limit(0)), [n for n in sizes if n > 2]
+    if not longer:
         return done
-    if min_count > 1 and double.df.count() <= PAIRS:
-        held = double.df.select(token_field(0), token_field(1)).toArrow()
-        first, second = (held.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-        pairs = np.sort(first << 32 | second)
-    longer = Table(prune(_count_parts(ids, range(3, max_size + 1), frequent, pairs), min_count), "counts")
-    return done.unionByName(_packed(longer.df))
+    held = min_count > 1 and double.df.count() <= PAIRS
+    pairs = np.sort(double.df.select("key").toArrow().column(0).to_numpy()) if held else None
+    if held and max(longer) <= 5:
+        return done.unionByName(_count_longer(ids, longer, pairs, min_count))
+    counted = Table(prune(_count_parts(ids, range(3, max(longer) + 1), frequent, pairs), min_count), "counts")
+    return done.unionByName(_packed(counted.df).where(F.col("n").isin(longer)))
 
 
-def count_in_batches(tokens: DataFrame, sizes: list[int], batch_size: int, min_count_batch: int, min_count: int = 1) -> DataFrame:
+def count_in_batches(tokens: DataFrame, sizes: list[int], batch_size: int, min_count_batch: int, min_count: int = 1, dealt: bool = False) -> DataFrame:
     """Counts that first drop what is rare in a batch of batch_size consecutive sample ids, then sum over batches."""
     if min_count_batch <= 1:
         return count_ngrams(tokens, sizes, min_count)
-    return prune(sum_batches(batch_counts(tokens, sizes, batch_size, min_count_batch)), min_count)
+    return prune(sum_batches(batch_counts(tokens, sizes, batch_size, min_count_batch, dealt)), min_count)
 
 
-def batch_counts(tokens: DataFrame, sizes: list[int], batch_size: int, min_count_batch: int) -> DataFrame:
+def batch_counts(tokens: DataFrame, sizes: list[int], batch_size: int, min_count_batch: int, dealt: bool = False) -> DataFrame:
+    """dealt: all samples of a batch stand in one partition, one after the other. Then tasks count and prune batch after batch in
+    arrays; only of a batch beyond HELD_TOKENS are partial counts shuffled."""
     batched = tokens.withColumn("batch_id", F.floor(F.col("sample_id") / batch_size))
+    if dealt:
+        return _dealt_counts(batched, sizes, min_count_batch)
     per = ngrams(batched, sizes, ["batch_id"]).groupBy("batch_id", "n", "ngram").agg(F.count(F.lit(1)).alias("count"))
     return prune(per, min_count_batch)
 
 
+def _dealt_counts(batched: DataFrame, sizes: list[int], min_count: int) -> DataFrame:
+    most, wanted = HELD_TOKENS, range(min(sizes), max(sizes) + 1)
+    kind = batched.schema["tokens"].dataType.simpleString()
+
+    def counted(batch, held, whole):
+        tokens = pa.concat_arrays([pc.fill_null(t, []) if t.null_count else t for t in held])
+        flat, ends = tokens.flatten().dictionary_encode(), tokens.offsets.to_numpy()[1:].astype(np.int64)
+        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(codes):
+            return
+        for n, first, count in _part_counts(codes, ends - (ends[-1] - len(codes)), wanted, None, None):
+            if n not in sizes:
+                continue
+            first, count = (first[count >= min_count], count[count >= min_count]) if whole else (first, count)
+            for a in range(0, len(first), ROWS):
+                at = first[a : a + ROWS]
+                ngram = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), flat.dictionary.take(pa.array(codes[at[:, None] + np.arange(n)].ravel())))
+                same = lambda value, to: pa.array([value], to).take(pa.array(np.zeros(len(at), np.int32)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(batch, pa.int64()), same(n, pa.int32()), ngram, pa.array(count[a : a + ROWS].astype(np.int64)), same(whole, pa.bool_())], names=["batch_id", "n", "ngram", "count", "whole"])
+
+    def run(batches):
+        now, held, size, whole = object(), [], 0, True
+        for rows in batches:
+            ids, tokens = rows.column(0).to_pylist(), rows.column(1)
+            upto, at = tokens.offsets.to_numpy(), 0
+            while at < len(ids):
+                if ids[at] != now:
+                    if held:
+                        yield from counted(now, held, whole)
+                    now, held, size, whole = ids[at], [], 0, True
+                end = at + 1
+                while end < len(ids) and ids[end] == ids[at] and size + upto[end] - upto[at] < most:
+                    end += 1
+                held.append(tokens.slice(at, end - at))
+                size += int(upto[end] - upto[at])
+                at = end
+                if size >= most:
+                    # the batch may go on, so what is counted is a part of it
+                    yield from counted(now, held, False)
+                    held, size, whole = [], 0, False
+        if held:
+            yield from counted(now, held, whole)
+
+    parts = batched.select("batch_id", "tokens").mapInArrow(run, f"batch_id long, n int, ngram {kind}, count long, whole boolean")
+    table = Table(parts, "batches").df
+    cut = table.where(~F.col("whole")).groupBy("batch_id", "n", "ngram").agg(F.sum("count").alias("count"))
+    return table.where("whole").select("batch_id", "n", "ngram", "count").unionByName(prune(cut, min_count))
+
+
 def sum_batches(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n", "ngram").agg(F.sum("count").alias("count"))
 
 
 def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert: counts of n-grams in both tables add up, others pass."""
-    return sum_batches(old.unionByName(new))
+    both = old.unionByName(new)
+    return both.groupBy(*[c for c in old.columns if c != "count"]).agg(F.sum("count").alias("count"))
 
 
 def prune(counts: DataFrame, min_count: int) -> DataFrame:
