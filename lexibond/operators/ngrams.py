@@ -47,7 +47,7 @@ def count_ngrams(tokens: DataFrame, sizes: list[int], min_count: int = 1) -> Dat
     return prune(counted, min_count)
 
 
-HELD_TOKENS = 4_000_000  # that a task counts at once
+HELD_TOKENS = 2_000_000  # that a task counts at once
 ROWS = 65_536  # of a batch that a task returns
 PAIRS = 16_000_000  # frequent pairs that tasks hold: 128 MB
 
@@ -56,14 +56,18 @@ def _held(batches, most: int):
     """Arrow batches of token arrays -> all tokens in a row and where samples end, about `most` at a time."""
     flat, ends, size = [], [], 0
     for rows in batches:
-        tokens = rows.column(0)
-        offsets = tokens.offsets.to_numpy().astype(np.int64)
-        flat.append(tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        ends.append(offsets[1:] - offsets[0] + size)
-        size += len(flat[-1])
-        if size >= most:
-            yield np.concatenate(flat), np.concatenate(ends)
-            flat, ends, size = [], [], 0
+        every, at = rows.column(0), 0
+        upto = every.offsets.to_numpy().astype(np.int64)
+        while at < len(every):
+            # up to the sample that fills a share: a batch may hold several
+            end = max(at + 1, min(len(every), int(np.searchsorted(upto, upto[at] + most - size, side="left"))))
+            tokens = every.slice(at, end - at)
+            flat.append(tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            ends.append(upto[at + 1 : end + 1] - upto[at] + size)
+            size, at = size + len(flat[-1]), end
+            if size >= most:
+                yield np.concatenate(flat), np.concatenate(ends)
+                flat, ends, size = [], [], 0
     if size:
         yield np.concatenate(flat), np.concatenate(ends)
 
