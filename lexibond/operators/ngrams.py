@@ -49,7 +49,7 @@ def count_ngrams(tokens: DataFrame, sizes: list[int], min_count: int = 1) -> Dat
 
 HELD_TOKENS = 2_000_000  # that a task counts at once
 ROWS = 65_536  # of a batch that a task returns
-PAIRS = 16_000_000  # frequent pairs that tasks hold: 128 MB
+PAIRS = 1 << 24  # tasks hold a bitmap of 64 bits for each of so many pairs at most: 128 MB
 
 
 def _held(batches, most: int):
@@ -74,7 +74,7 @@ def _held(batches, most: int):
 
 def _part_counts(flat: np.ndarray, ends: np.ndarray, sizes: range, frequent: np.ndarray | None, pairs: np.ndarray | None):
     """(n, first places of the distinct n-grams, counts) of some samples. frequent: which ids can be in an n-gram that is
-    wanted; pairs: which (first << 32 | second) can be in one of three or more."""
+    wanted; pairs: the bitmap of those (first << 32 | second) that can be in one of three or more."""
     known = flat >= 0
     if 1 in sizes:
         ids, first, count = np.unique(flat, return_index=True, return_counts=True)
@@ -91,8 +91,7 @@ def _part_counts(flat: np.ndarray, ends: np.ndarray, sizes: range, frequent: np.
         at = np.flatnonzero(alive)
         key = code[at] << 32 | code[at + 1]
         if n == 2 and pairs is not None:
-            spot = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-            known = pairs[spot] == key if len(pairs) else np.zeros(len(key), bool)
+            known = _maybe(pairs, key)
             alive[at[~known]] = False
             at, key = at[known], key[known]
         if not len(at):
@@ -140,60 +139,89 @@ def count_pairs(ids: DataFrame, frequent: np.ndarray | None = None, min_count: i
     return prune(parts.groupBy("key").agg(F.sum("count").alias("count")), min_count)
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that keys differ in its upper bits
+
+
+def _places(key: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each key in a bitmap of 2^bits."""
+    key = key.astype(np.uint64)
+    return ((key ^ (key >> np.uint64(29))) * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _maybe(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys can be among those that the bitmap was made of: all of them, and few others."""
+    at = _places(key, (len(bitmap) * 8).bit_length() - 1)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0
+
+
+def pair_bitmap(double: DataFrame) -> np.ndarray:
+    """A bitmap of the pairs in `double` (key), with 16 bits or more for each, and of PAIRS * 8 bytes at most, whatever their
+    number. It is made in tasks, and the driver only puts its pieces of 4 KB together."""
+    bits = max(15, min((16 * double.count()).bit_length(), (64 * PAIRS).bit_length() - 1))
+
+    def run(batches):
+        for rows in batches:
+            at = _places(rows.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 15).astype(np.int32)), pa.array(at & 32767)], names=["piece", "at"])
+
+    pieces = double.select("key").mapInArrow(run, "piece int, at long").groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    out = np.zeros((1 << bits - 15, 4096), np.uint8)
+    for piece, held in zip(pieces.column("piece").to_numpy(), pieces.column("bits"), strict=True):
+        out[piece] = np.frombuffer(held.as_buffer(), np.uint8)
+    return out.ravel()
+
+
 def _count_longer(ids: DataFrame, sizes: list[int], pairs: np.ndarray, min_count: int) -> DataFrame:
-    """n, ngram, count of sizes from 3 to 5, made of frequent pairs (sorted keys): the place of a pair among them stands for
-    two tokens, so that an n-gram is a number of 64 bits and at most one token more."""
+    """n, ngram, count of sizes from 3 to 5, made of pairs that can be frequent by their bitmap. Within a task the place of a pair
+    among its pairs stands for two tokens, so that an n-gram is a number of 64 bits and at most one token more."""
     sent, held = ids.sparkSession.sparkContext.broadcast(pairs), HELD_TOKENS
+    names, kinds = ["n", "key", "more", "last", "count"], ["i4", "i8", "i8", "i4", "i8"]
 
     def run(batches):
-        pairs = sent.value
         for flat, ends in _held(batches, held):
-            alive = _alive(flat, ends, None)
-            at = np.flatnonzero(alive)
+            at = np.flatnonzero(_alive(flat, ends, None))
             key = flat[at] << 32 | flat[at + 1]
-            spot = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
-            known = pairs[spot] == key if len(pairs) else np.zeros(len(key), bool)
+            known = _maybe(sent.value, key)
+            distinct, code = np.unique(key[known], return_inverse=True)
             place = np.full(len(flat), -1, np.int64)
-            place[at[known]] = spot[known]
-            del key, spot, known, at
+            place[at[known]] = code
+            del key, known, at, code
             alive = place >= 0
             alive[:-1] &= alive[1:].copy()
             alive[-1:] = False
             at = np.flatnonzero(alive)  # three tokens
             if 3 in sizes:
                 key, count = _runs(place[at] << 32 | flat[at + 2])
-                yield from _tasks_parts([np.full(len(key), 3), key >> 32, key & 0xFFFFFFFF, count], ["i4", "i8", "i4", "i8"], ["n", "key", "last", "count"])
+                yield from _tasks_parts([np.full(len(key), 3), distinct[key >> 32], np.full(len(key), -1), key & 0xFFFFFFFF, count], kinds, names)
             if max(sizes) < 4:
                 continue
             at = at[place[np.minimum(at + 2, len(flat) - 1)] >= 0]  # four
             four = place[at] << 32 | place[at + 2]
             if 4 in sizes:
                 key, count = _runs(four)
-                yield from _tasks_parts([np.full(len(key), 4), key, np.full(len(key), -1), count], ["i4", "i8", "i4", "i8"], ["n", "key", "last", "count"])
+                yield from _tasks_parts([np.full(len(key), 4), distinct[key >> 32], distinct[key & 0xFFFFFFFF], np.full(len(key), -1), count], kinds, names)
             if 5 in sizes:
                 on = place[np.minimum(at + 3, len(flat) - 1)] >= 0
                 at, four = at[on], four[on]
-                distinct, code = np.unique(four, return_inverse=True)
+                fours, code = np.unique(four, return_inverse=True)
                 key, count = _runs(code << 32 | flat[at + 4])
-                yield from _tasks_parts([np.full(len(key), 5), distinct[key >> 32], key & 0xFFFFFFFF, count], ["i4", "i8", "i4", "i8"], ["n", "key", "last", "count"])
+                four = fours[key >> 32]
+                yield from _tasks_parts([np.full(len(key), 5), distinct[four >> 32], distinct[four & 0xFFFFFFFF], key & 0xFFFFFFFF, count], kinds, names)
 
-    parts = ids.select("tokens").mapInArrow(run, "n int, key long, last int, count long")
-    counted = prune(parts.groupBy("n", "key", "last").agg(F.sum("count").alias("count")), min_count)
+    parts = ids.select("tokens").mapInArrow(run, "n int, key long, more long, last int, count long")
+    counted = prune(parts.groupBy("n", "key", "more", "last").agg(F.sum("count").alias("count")), min_count)
 
     def spell(batches):
-        pairs = sent.value
         for rows in batches:
-            n, key, last, count = (rows.column(i).to_numpy() for i in range(4))
-            size, first = n, np.where(n == 3, key, key >> 32)
+            n, key, more, last = (rows.column(i).to_numpy() for i in range(4))
             grams = np.full((len(n), 5), -1, np.int64)
-            grams[:, 0], grams[:, 1] = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
-            second = pairs[np.where(n == 3, 0, key & 0xFFFFFFFF)]
-            grams[:, 2] = np.where(n == 3, last, second >> 32)
-            grams[:, 3], grams[:, 4] = second & 0xFFFFFFFF, last
-            inside = np.arange(5) < size[:, None]
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            grams[:, 0], grams[:, 1] = key >> 32, key & 0xFFFFFFFF
+            grams[:, 2] = np.where(n == 3, last, more >> 32)
+            grams[:, 3], grams[:, 4] = more & 0xFFFFFFFF, last
+            inside = np.arange(5) < n[:, None]
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             ngram = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[inside].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), ngram, rows.column(3)], names=["n", "ngram", "count"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), ngram, rows.column(4)], names=["n", "ngram", "count"])
 
     return Table(counted, "counts").df.mapInArrow(spell, "n int, ngram array<int>, count long")
 
@@ -227,8 +255,8 @@ def count_id_ngrams(ids: DataFrame, max_size: int, min_count: int = 1) -> DataFr
     aren't counted).
 
     Size after size: only windows whose tokens, then pairs, are frequent enough can be, so rare ones are never shuffled. Tasks
-    count in sorted arrays. Frequent ids are a bitmap of the vocabulary; frequent pairs are held by tasks if there are
-    PAIRS at most, otherwise all windows of frequent tokens are counted."""
+    count in sorted arrays. Frequent ids are a bitmap of the vocabulary, frequent pairs a bitmap by hash, which lets a few others
+    pass; what is counted in vain is pruned like all that is rare."""
     single = Table(prune(_count_parts(ids, range(1, 2)), min_count), "counts")
     done, frequent, pairs = _packed(single.df), None, None
     if max_size == 1:
@@ -252,9 +280,8 @@ def count_from_pairs(ids: DataFrame, sizes: list[int], min_count: int, frequent:
     done, longer = spell_pairs(double.df if 2 in sizes else double.df.limit(0)), [n for n in sizes if n > 2]
     if not longer:
         return done
-    held = min_count > 1 and double.df.count() <= PAIRS
-    pairs = np.sort(double.df.select("key").toArrow().column(0).to_numpy()) if held else None
-    if held and max(longer) <= 5:
+    pairs = pair_bitmap(double.df) if min_count > 1 else None
+    if pairs is not None and max(longer) <= 5:
         return done.unionByName(_count_longer(ids, longer, pairs, min_count))
     counted = Table(prune(_count_parts(ids, range(3, max(longer) + 1), frequent, pairs), min_count), "counts")
     return done.unionByName(_packed(counted.df).where(F.col("n").isin(longer)))

@@ -70,6 +70,23 @@ def test_id_counts_equal_brute_force(spark, monkeypatch, held):
     assert as_dict(G.count_id_ngrams(table(spark, []), 3, 2)) == {} and as_dict(G.count_id_ngrams(table(spark, [[7], []]), 3, 2)) == {}
 
 
+def test_pairs_beyond_the_limit_still_filter(spark, monkeypatch):
+    """Rare windows aren't shuffled however many pairs there are, and what the bitmap lets through in vain is pruned."""
+    import random
+
+    r = random.Random(8)
+    samples = [[min(r.randrange(40), r.randrange(40)) for _ in range(60)] for _ in range(40)]
+    want = {g: c for n in (3, 4, 5) for g, c in brute_counts(samples, n).items() if c >= 3}
+    monkeypatch.setattr(G, "PAIRS", 64)
+    monkeypatch.setattr(G, "_count_parts", None)  # the way that counts every window of frequent tokens
+    assert as_dict(G.count_from_pairs(table(spark, samples).repartition(3), [3, 4, 5], 3)) == want
+    keys = G.count_pairs(table(spark, samples), None, 3)
+    bitmap = G.pair_bitmap(keys)
+    known = keys.toPandas()["key"].to_numpy()
+    assert len(bitmap) == 4096 and G._maybe(bitmap, known).all()
+    assert G._maybe(bitmap, known + (1 << 40)).mean() < 0.2
+
+
 def test_declared_tables_are_unique(spark):
     rows = [(2, [1, 2], 5), (2, [2, 1], 4), (1, [1], 9)]
     df = spark.createDataFrame(rows, "n int, ngram array<int>, count long")
