@@ -68,3 +68,36 @@ def test_a_file_of_one_row_group_is_dealt_in_shares(spark, monkeypatch, tmp_path
     spark.range(3000).select(F.col("id").alias("sample_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/one")
     monkeypatch.setattr(Q, "SPREAD_BYTES", 10_000)
     assert Q.spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() > 8
+
+
+def test_texts_cut_by_bytes_equal_their_words(spark, monkeypatch):
+    """Bytes of plain and western texts, and the tokens of others, give what `words` gives, wherever texts end."""
+    r = random.Random(2)
+    signs = [chr(c) for low, high in T.SIMPLE for c in range(low, high + 1)]
+    plain = [chr(c) for c in (9, 10, 13, *range(32, 127))]
+    other = list("漢語한글ΑΒΓжЙ。、 ­​\x0b\x0c\x1f\x7f́ 😀İẞ")
+    texts = [None, "", " ", "É", "é", "ÉÈ", "¿", "—", "aé", "…b", *[f"Ab{c} {c}x{c}" for c in signs]]
+    texts += ["".join(r.choice(some) for _ in range(r.choice([1, 2, 5, 30]))) for some in (plain, plain + signs[:80], plain + signs, plain + signs[:80] + other) for _ in range(150)]
+    texts += ["é—" * 100_000]  # the check of characters doesn't recurse
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string").repartition(3)
+    want = {x["sample_id"]: x["tokens"] for x in T.tokenise(df).collect()}
+    for part, size in ((1_000_000, 4_000_000), (40, 25), (40, 1)):
+        monkeypatch.setattr(T, "PART_TOKENS", part)
+        monkeypatch.setattr(T, "CUT_BYTES", size)
+        got = {}
+        for p in T.code_texts(df).collect():
+            codes = [p["words"][c] for c in memoryview(p["codes"]).cast("i")]
+            assert p["counts"] == [codes.count(w) for w in p["words"]] or len(codes) > 100_000
+            for i, n in zip(p["sample_id"], p["lengths"], strict=True):
+                got[i], codes = codes[:n], codes[n:]
+            assert not codes
+        assert got == want
+
+
+def test_texts_are_only_of_the_characters_that_a_pattern_names(spark):
+    """The quick patterns let through what the ranges say, each character by itself and in a text."""
+    every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    named = lambda c, most: c in "\t\n\r" or " " <= c <= "~" or any(low <= ord(c) <= (high if low > 0xFF else min(high, most)) for low, high in T.SIMPLE)
+    df = spark.createDataFrame([(c, f"ab{c}—c") for c in every], "c string, t string")
+    rows = df.select("c", *[F.col(t).rlike(p).alias(f"{t}_{n}") for t in ("c", "t") for n, p in (("w", T._WESTERN), ("s", T._SIMPLE))]).collect()
+    assert [r["c"] for r in rows if {r["c_w"], r["t_w"]} != {named(r["c"], 0xFF)} or {r["c_s"], r["t_s"]} != {named(r["c"], 0x24F)}] == []
