@@ -128,15 +128,73 @@ def _alive(flat: np.ndarray, ends: np.ndarray, frequent: np.ndarray | None) -> n
 
 def count_pairs(ids: DataFrame, frequent: np.ndarray | None = None, min_count: int = 1) -> DataFrame:
     """key (first << 32 | second), count."""
-    sent, held = ids.sparkSession.sparkContext.broadcast(frequent), HELD_TOKENS
+    sent, held, shares = ids.sparkSession.sparkContext.broadcast(frequent), HELD_TOKENS, _shares(ids)
 
     def run(batches):
         for flat, ends in _held(batches, held):
             at = np.flatnonzero(_alive(flat, ends, sent.value))
-            yield from _tasks_parts(list(_runs(flat[at] << 32 | flat[at + 1])), ["i8", "i8"], ["key", "count"])
+            key, count = _runs(flat[at] << 32 | flat[at + 1])
+            yield _dealt(2, key, None, None, count, shares)
 
-    parts = ids.select("tokens").mapInArrow(run, "key long, count long")
-    return prune(parts.groupBy("key").agg(F.sum("count").alias("count")), min_count)
+    return _summed(ids.select("tokens").mapInArrow(run, _DEALT), shares, min_count).select("key", "count")
+
+
+SHARE_BYTES = 8 << 20  # of the ids' files for each task that adds up counts
+_DEALT = "share int, n int, key binary, more binary, last binary, count binary"
+_SUMMED = ("n", "key", "more", "last", "count")
+
+
+def _shares(ids: DataFrame) -> int:
+    """How many tasks add up the counts of a table of ids."""
+    size, spark = int(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), ids.sparkSession
+    known = size < 1 << 50  # else the plan doesn't know
+    return max(spark.sparkContext.defaultParallelism, -(-size // SHARE_BYTES) if known else int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _dealt(n: int, key: np.ndarray, more: np.ndarray | None, last: np.ndarray | None, count: np.ndarray, shares: int) -> pa.RecordBatch:
+    """The counts of one size in a row for each share, whose numbers of 64 bits go through the shuffle as bytes. Equal n-grams come to
+    one share."""
+    mixed = key.astype(np.uint64)
+    for other in (more, last):
+        if other is not None:
+            mixed = (mixed ^ mixed >> np.uint64(29)) * _SPREAD + other.astype(np.uint64)
+    share = ((mixed ^ mixed >> np.uint64(29)) * _SPREAD >> np.uint64(33)) % np.uint64(shares)
+    order = np.argsort(share.astype(np.uint16 if shares < 1 << 16 else np.int64), kind="stable")
+    sizes = np.bincount(share.astype(np.int64), minlength=shares)
+    there = np.flatnonzero(sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes[there])])
+
+    def column(values):
+        offsets = (ends * 8 if values is not None else ends * 0).astype(np.int32)
+        data = b"" if values is None else values[order].astype(np.int64)
+        return pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    columns = [pa.array(there.astype(np.int32)), pa.array(np.full(len(there), n, np.int32)), *map(column, (key, more, last, count))]
+    return pa.RecordBatch.from_arrays(columns, names=["share", *_SUMMED])
+
+
+def _summed(parts: DataFrame, shares: int, min_count: int) -> DataFrame:
+    """n, key, more, last (-1 where a size has none) and count of what _dealt made, added up and pruned in arrays."""
+
+    def run(batches):
+        held = {}
+        for rows in batches:
+            columns = [rows.column(i).to_pylist() for i in range(2)]
+            for i, at in enumerate(zip(*columns, strict=True)):
+                held.setdefault(at, []).append([np.frombuffer(rows.column(2 + c)[i].as_buffer(), np.int64).copy() for c in range(4)])
+        for share, n in list(held):
+            columns = [np.concatenate(c) for c in zip(*held.pop((share, n)), strict=True)]
+            named = {name: c for name, c in zip(_SUMMED[1:], columns, strict=True) if len(c)}
+            if not named:
+                continue
+            keys = [name for name in named if name != "count"]
+            summed = pa.table(named).group_by(keys, use_threads=False).aggregate([("count", "sum")])
+            summed = summed.filter(pc.greater_equal(summed.column("count_sum"), min_count)) if min_count > 1 else summed
+            none = np.full(len(summed), -1)
+            done = [np.full(len(summed), n), *[summed.column(name).to_numpy() if name in keys else none for name in _SUMMED[1:4]], summed.column("count_sum").to_numpy()]
+            yield from _tasks_parts(done, ["i4", "i8", "i8", "i4", "i8"], list(_SUMMED))
+
+    return parts.repartitionById(shares, F.col("share")).mapInArrow(run, "n int, key long, more long, last int, count long")
 
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so that keys differ in its upper bits
@@ -174,8 +232,7 @@ def pair_bitmap(double: DataFrame) -> np.ndarray:
 def _count_longer(ids: DataFrame, sizes: list[int], pairs: np.ndarray, min_count: int) -> DataFrame:
     """n, ngram, count of sizes from 3 to 5, made of pairs that can be frequent by their bitmap. Within a task the place of a pair
     among its pairs stands for two tokens, so that an n-gram is a number of 64 bits and at most one token more."""
-    sent, held = ids.sparkSession.sparkContext.broadcast(pairs), HELD_TOKENS
-    names, kinds = ["n", "key", "more", "last", "count"], ["i4", "i8", "i8", "i4", "i8"]
+    sent, held, shares = ids.sparkSession.sparkContext.broadcast(pairs), HELD_TOKENS, _shares(ids)
 
     def run(batches):
         for flat, ends in _held(batches, held):
@@ -192,24 +249,23 @@ def _count_longer(ids: DataFrame, sizes: list[int], pairs: np.ndarray, min_count
             at = np.flatnonzero(alive)  # three tokens
             if 3 in sizes:
                 key, count = _runs(place[at] << 32 | flat[at + 2])
-                yield from _tasks_parts([np.full(len(key), 3), distinct[key >> 32], np.full(len(key), -1), key & 0xFFFFFFFF, count], kinds, names)
+                yield _dealt(3, distinct[key >> 32], None, key & 0xFFFFFFFF, count, shares)
             if max(sizes) < 4:
                 continue
             at = at[place[np.minimum(at + 2, len(flat) - 1)] >= 0]  # four
             four = place[at] << 32 | place[at + 2]
             if 4 in sizes:
                 key, count = _runs(four)
-                yield from _tasks_parts([np.full(len(key), 4), distinct[key >> 32], distinct[key & 0xFFFFFFFF], np.full(len(key), -1), count], kinds, names)
+                yield _dealt(4, distinct[key >> 32], distinct[key & 0xFFFFFFFF], None, count, shares)
             if 5 in sizes:
                 on = place[np.minimum(at + 3, len(flat) - 1)] >= 0
                 at, four = at[on], four[on]
                 fours, code = np.unique(four, return_inverse=True)
                 key, count = _runs(code << 32 | flat[at + 4])
                 four = fours[key >> 32]
-                yield from _tasks_parts([np.full(len(key), 5), distinct[four >> 32], distinct[four & 0xFFFFFFFF], key & 0xFFFFFFFF, count], kinds, names)
+                yield _dealt(5, distinct[four >> 32], distinct[four & 0xFFFFFFFF], key & 0xFFFFFFFF, count, shares)
 
-    parts = ids.select("tokens").mapInArrow(run, "n int, key long, more long, last int, count long")
-    counted = prune(parts.groupBy("n", "key", "more", "last").agg(F.sum("count").alias("count")), min_count)
+    counted = _summed(ids.select("tokens").mapInArrow(run, _DEALT), shares, min_count)
 
     def spell(batches):
         for rows in batches:

@@ -101,3 +101,21 @@ def test_texts_are_only_of_the_characters_that_a_pattern_names(spark):
     df = spark.createDataFrame([(c, f"ab{c}—c") for c in every], "c string, t string")
     rows = df.select("c", *[F.col(t).rlike(p).alias(f"{t}_{n}") for t in ("c", "t") for n, p in (("w", T._WESTERN), ("s", T._SIMPLE))]).collect()
     assert [r["c"] for r in rows if {r["c_w"], r["t_w"]} != {named(r["c"], 0xFF)} or {r["c_s"], r["t_s"]} != {named(r["c"], 0x24F)}] == []
+
+
+@pytest.mark.parametrize("shares", [1, 3, 70_000])
+def test_counts_are_dealt_and_added_up_in_arrays(spark, monkeypatch, shares):
+    """Equal n-grams of different tasks and shares come together, whatever the number of shares; nothing is dealt for no n-gram."""
+    monkeypatch.setattr(G, "HELD_TOKENS", 25)
+    monkeypatch.setattr(G, "_shares", lambda ids: min(shares, 4))
+    r = random.Random(shares)
+    samples = [[min(r.randrange(7), r.randrange(7)) for _ in range(r.choice([0, 1, 2, 3, 30]))] for _ in range(40)]
+    ids = spark.createDataFrame(list(enumerate(samples)), "sample_id long, tokens array<int>").repartition(3)
+    want = {g: c for n in (2, 3, 4, 5) for g, c in brute_counts(samples, n).items() if c >= 3}
+    assert want and as_dict(G.count_from_pairs(ids, [2, 3, 4, 5], 3)) == want
+    some = G.np.arange(1000, dtype=G.np.int64)
+    rows = G._dealt(3, some << 32, None, some % 7, some + 1, shares)
+    assert sum(len(x) for x in rows.column("key").to_pylist()) == 8000 and set(rows.column("more").to_pylist()) == {b""}
+    pairs = {k: c for keys, counts in zip(rows.column("key").to_pylist(), rows.column("count").to_pylist(), strict=True) for k, c in zip(memoryview(keys).cast("q"), memoryview(counts).cast("q"), strict=True)}
+    assert pairs == {int(k) << 32: int(k) + 1 for k in some}
+    assert G._dealt(2, some[:0], None, None, some[:0], shares).num_rows == 0
