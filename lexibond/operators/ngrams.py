@@ -47,7 +47,7 @@ def count_ngrams(tokens: DataFrame, sizes: list[int], min_count: int = 1) -> Dat
     return prune(counted, min_count)
 
 
-HELD_TOKENS = 2_000_000  # that a task counts at once
+HELD_TOKENS = 1_000_000  # that a task counts at once
 ROWS = 65_536  # of a batch that a task returns
 PAIRS = 1 << 24  # tasks hold a bitmap of 64 bits for each of so many pairs at most: 128 MB
 
