@@ -264,10 +264,11 @@ def merge_word_counts(counted: list[DataFrame]) -> DataFrame:
     return out.groupBy("token").agg(F.sum("count").alias("count"))
 
 
-def ids_of_parts(parts: DataFrame, vocabulary: DataFrame, other: int = 0) -> DataFrame:
-    """sample_id, input_ids of a coded corpus; words that the vocabulary lacks get `other`. Only dictionaries are looked up, in
-    an array that tasks hold, or by a join where the vocabulary is longer than HELD_CHARS."""
-    names, kind = held_names(vocabulary), parts.schema["sample_id"].dataType.elementType.simpleString()
+def _looked_up(parts: DataFrame, vocabulary: DataFrame, other: int, kind: str, row) -> DataFrame:
+    """A coded corpus whose words become ids; words that the vocabulary lacks get `other`. Only dictionaries are looked up, in
+    an array that tasks hold, or by a join where the vocabulary is longer than HELD_CHARS. row: (a row's samples, lengths and ids
+    of its tokens) -> Arrow batches of `kind`."""
+    names = held_names(vocabulary)
     if names is None:
         keyed = parts.withColumn("part", F.sha2(F.concat_ws(",", F.col("sample_id").cast("array<string>"), F.sha2("codes", 256), F.array_join("words", " ")), 256))
         single = keyed.select("part", "words").dropDuplicates(["part"])
@@ -286,13 +287,22 @@ def ids_of_parts(parts: DataFrame, vocabulary: DataFrame, other: int = 0) -> Dat
             found, starts = found.to_numpy(zero_copy_only=False).astype(np.int32), rows.column(3).offsets.to_numpy()
             for i in range(rows.num_rows):
                 ids = found[starts[i] - starts[0] : starts[i + 1] - starts[0]][np.frombuffer(rows.column(2)[i].as_buffer(), np.int32)]
-                samples, lengths = rows.column(0)[i].values, rows.column(1)[i].values.to_numpy()
-                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                out = pa.RecordBatch.from_arrays([samples, pa.ListArray.from_arrays(ends, pa.array(ids))], names=["sample_id", "input_ids"])
-                for at in range(0, out.num_rows, ROWS):
-                    yield out.slice(at, ROWS)
+                yield from row(rows.column(0)[i].values, rows.column(1)[i].values, ids)
+
+    return looked.mapInArrow(run, kind)
+
+
+def ids_of_parts(parts: DataFrame, vocabulary: DataFrame, other: int = 0) -> DataFrame:
+    """sample_id, input_ids of a coded corpus; words that the vocabulary lacks get `other`."""
 
-    return looked.mapInArrow(run, f"sample_id {kind}, input_ids array<int>")
+    def row(samples, lengths, ids):
+        ends = pa.array(np.concatenate([[0], np.cumsum(lengths.to_numpy())]).astype(np.int32))
+        out = pa.RecordBatch.from_arrays([samples, pa.ListArray.from_arrays(ends, pa.array(ids))], names=["sample_id", "input_ids"])
+        for at in range(0, out.num_rows, ROWS):
+            yield out.slice(at, ROWS)
+
+    kind = parts.schema["sample_id"].dataType.elementType.simpleString()
+    return _looked_up(parts, vocabulary, other, f"sample_id {kind}, input_ids array<int>", row)
 
 
 ROWS = 1024  # of texts in an Arrow batch that goes to the JVM
@@ -482,6 +492,17 @@ def frequent_ids(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return ids_of_parts(parts, vocabulary, NO_WORD).withColumnRenamed("input_ids", "tokens")
 
 
+def packed_ids(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The tokens of frequent_ids, a row for each row of the coded corpus: lengths (array by sample) and tokens (32-bit ids, as
+    bytes), which the JVM neither writes nor reads one by one."""
+
+    def row(samples, lengths, ids):
+        whole = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), lengths)
+        yield pa.RecordBatch.from_arrays([whole, pa.array([ids.tobytes()], pa.binary())], names=["lengths", "tokens"])
+
+    return _looked_up(parts, vocabulary, NO_WORD, "lengths array<int>, tokens binary", row)
+
+
 _TOKENIZERS = {"word-level": TokenizerSpec("word-level", word_level_ids)}
 
 

@@ -1,6 +1,7 @@
 """Windows of tokens, their counts and totals.
 
-A token table has `sample_id` and `tokens` (array of any orderable type). An n-gram table has n, ngram and count."""
+A token table has `sample_id` and `tokens` (array of any orderable type). A packed one has rows of many samples, `lengths` (array)
+and `tokens` (32-bit ids, as bytes). An n-gram table has n, ngram and count."""
 
 from __future__ import annotations
 
@@ -52,17 +53,33 @@ ROWS = 65_536  # of a batch that a task returns
 PAIRS = 1 << 24  # tasks hold a bitmap of 64 bits for each of so many pairs at most: 128 MB
 
 
+def _arrays(ids: DataFrame) -> DataFrame:
+    """What tasks read of a token table, packed or not."""
+    return ids.select("lengths", "tokens") if "lengths" in ids.columns else ids.select("tokens")
+
+
+def _samples(batches):
+    """Arrow batches of token arrays, or of packed ones -> all tokens of a batch or row, and where samples start and end."""
+    for rows in batches:
+        if rows.num_columns == 1:
+            every = rows.column(0)
+            upto = every.offsets.to_numpy().astype(np.int64)
+            yield every.flatten().to_numpy(zero_copy_only=False), upto - upto[0]
+            continue
+        for i in range(rows.num_rows):
+            lengths = rows.column(0)[i].values.to_numpy()
+            yield np.frombuffer(rows.column(1)[i].as_buffer(), np.int32), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
 def _held(batches, most: int):
-    """Arrow batches of token arrays -> all tokens in a row and where samples end, about `most` at a time."""
+    """All tokens in a row and where samples end, about `most` at a time."""
     flat, ends, size = [], [], 0
-    for rows in batches:
-        every, at = rows.column(0), 0
-        upto = every.offsets.to_numpy().astype(np.int64)
-        while at < len(every):
+    for every, upto in _samples(batches):
+        at = 0
+        while at < len(upto) - 1:
             # up to the sample that fills a share: a batch may hold several
-            end = max(at + 1, min(len(every), int(np.searchsorted(upto, upto[at] + most - size, side="left"))))
-            tokens = every.slice(at, end - at)
-            flat.append(tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            end = max(at + 1, min(len(upto) - 1, int(np.searchsorted(upto, upto[at] + most - size, side="left"))))
+            flat.append(every[upto[at] : upto[end]].astype(np.int64))
             ends.append(upto[at + 1 : end + 1] - upto[at] + size)
             size, at = size + len(flat[-1]), end
             if size >= most:
@@ -136,7 +153,7 @@ def count_pairs(ids: DataFrame, frequent: np.ndarray | None = None, min_count: i
             key, count = _runs(flat[at] << 32 | flat[at + 1])
             yield _dealt(2, key, None, None, count, shares)
 
-    return _summed(ids.select("tokens").mapInArrow(run, _DEALT), shares, min_count).select("key", "count")
+    return _summed(_arrays(ids).mapInArrow(run, _DEALT), shares, min_count).select("key", "count")
 
 
 SHARE_BYTES = 8 << 20  # of the ids' files for each task that adds up counts
@@ -265,7 +282,7 @@ def _count_longer(ids: DataFrame, sizes: list[int], pairs: np.ndarray, min_count
                 four = fours[key >> 32]
                 yield _dealt(5, distinct[four >> 32], distinct[four & 0xFFFFFFFF], key & 0xFFFFFFFF, count, shares)
 
-    counted = _summed(ids.select("tokens").mapInArrow(run, _DEALT), shares, min_count)
+    counted = _summed(_arrays(ids).mapInArrow(run, _DEALT), shares, min_count)
 
     def spell(batches):
         for rows in batches:
@@ -297,7 +314,7 @@ def _count_parts(ids: DataFrame, sizes: range, frequent: np.ndarray | None = Non
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), *tokens, pa.array(count[a : a + ROWS].astype(np.int64))], names=names)
 
     kinds = ", ".join(f"{c} int" for c in names[:-1])
-    parts = ids.select("tokens").mapInArrow(run, f"{kinds}, count long")
+    parts = _arrays(ids).mapInArrow(run, f"{kinds}, count long")
     return parts.groupBy(*names[:-1]).agg(F.sum("count").alias("count"))
 
 
@@ -425,7 +442,9 @@ def prune(counts: DataFrame, min_count: int) -> DataFrame:
 
 def totals_wide(tokens: DataFrame, max_size: int) -> DataFrame:
     """One row: t1..tN, the windows of each size over all samples, from lengths alone."""
-    return tokens.agg(*[F.coalesce(F.sum(F.greatest(F.size("tokens") - (n - 1), F.lit(0))).cast("long"), F.lit(0).cast("long")).alias(f"t{n}") for n in range(1, max_size + 1)])
+    packed = "lengths" in tokens.columns
+    sizes = tokens.select(F.explode("lengths").alias("size") if packed else F.size("tokens").alias("size"))
+    return sizes.agg(*[F.coalesce(F.sum(F.greatest(F.col("size") - (n - 1), F.lit(0))).cast("long"), F.lit(0).cast("long")).alias(f"t{n}") for n in range(1, max_size + 1)])
 
 
 def totals(tokens: DataFrame, max_size: int) -> DataFrame:

@@ -19,15 +19,17 @@ def work_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+_LARGE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Table:
     """A table written to the shared folder and read again: its lineage is the files, which outlive any executor.
 
-    The shuffles of the write end with it. What isn't dropped before is deleted when the driver ends."""
+    The shuffles of the write end with it. What isn't dropped before is deleted when the driver ends. large: rows of megabytes,
+    in row groups of a few, so that no task holds many and a file can be shared out."""
 
-    def __init__(self, df: DataFrame, tag: str) -> None:
+    def __init__(self, df: DataFrame, tag: str, large: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = f"{work_dir(self.spark)}/lexibond-{tag}-{uuid.uuid4().hex}"
         path, files = self._files()
@@ -35,7 +37,7 @@ class Table:
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(self.path)
+            df.write.options(**(_LARGE if large else {})).parquet(self.path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

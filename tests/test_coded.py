@@ -119,3 +119,29 @@ def test_counts_are_dealt_and_added_up_in_arrays(spark, monkeypatch, shares):
     pairs = {k: c for keys, counts in zip(rows.column("key").to_pylist(), rows.column("count").to_pylist(), strict=True) for k, c in zip(memoryview(keys).cast("q"), memoryview(counts).cast("q"), strict=True)}
     assert pairs == {int(k) << 32: int(k) + 1 for k in some}
     assert G._dealt(2, some[:0], None, None, some[:0], shares).num_rows == 0
+
+
+@pytest.mark.parametrize(("chars", "held"), [(64_000_000, 25), (0, 1_000_000)])
+def test_packed_ids_count_as_arrays_do(spark, monkeypatch, chars, held):
+    """Rows of many samples hold what frequent_ids has sample by sample: counts, totals and where samples end."""
+    rows, table = corpus(spark, 5)
+    monkeypatch.setattr(T, "PART_TOKENS", 60)
+    monkeypatch.setattr(T, "HELD_CHARS", chars)
+    monkeypatch.setattr(G, "HELD_TOKENS", held)
+    parts = Table(T.code_words(table.unionByName(spark.createDataFrame([(None, None)], table.schema)).repartition(3)), "coded").df
+    names = T.frequent_words(T.count_coded(parts), 5)
+    flat, packed = Table(T.frequent_ids(parts, names), "ids").df, Table(T.packed_ids(parts, names), "ids", large=True).df
+    cut = []
+    for r in packed.collect():
+        tokens = list(memoryview(r["tokens"]).cast("i"))
+        for n in r["lengths"]:
+            cut.append(tokens[:n])
+            tokens = tokens[n:]
+        assert not tokens
+    assert len(cut) == len(rows) + 1 and sorted(cut) == sorted(r["tokens"] for r in flat.collect())
+    for sizes, least in (([2], 1), ([2, 3, 4, 5], 2), ([3, 6], 2)):
+        got, want = (as_dict(G.count_from_pairs(ids, sizes, least)) for ids in (packed, flat))
+        assert want and got == want
+    wanted = [(n, sum(max(0, len(s) - n + 1) for _, s in rows)) for n in range(1, 6)]
+    assert sorted(tuple(r) for r in G.totals(packed, 5).collect()) == wanted == sorted(tuple(r) for r in G.totals(flat, 5).collect())
+    assert G.totals_wide(packed.limit(0), 2).collect() == G.totals_wide(flat.limit(0), 2).collect()
