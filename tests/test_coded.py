@@ -1,7 +1,10 @@
 """Words without a cap, coded corpora, batches counted in one task, and how small tables are dealt."""
 
+import glob
+import math
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +148,27 @@ def test_packed_ids_count_as_arrays_do(spark, monkeypatch, chars, held):
     wanted = [(n, sum(max(0, len(s) - n + 1) for _, s in rows)) for n in range(1, 6)]
     assert sorted(tuple(r) for r in G.totals(packed, 5).collect()) == wanted == sorted(tuple(r) for r in G.totals(flat, 5).collect())
     assert G.totals_wide(packed.limit(0), 2).collect() == G.totals_wide(flat.limit(0), 2).collect()
+
+
+def test_queries_read_ids_in_rows_of_many_samples(spark, monkeypatch, tmp_path):
+    """log_likelihood_3: as many rows of ids as parts, not as texts, and the likelihoods of brute force."""
+    r = random.Random(6)
+    texts = [" ".join(f"w{min(r.randrange(9), r.randrange(9))}" for _ in range(r.choice([0, 1, 2, 9, 40]))) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids, _ = Q._frequent(Q.load_corpus(spark, "documents", str(tmp_path)))
+    assert ids.count() <= spark.sparkContext.defaultParallelism and ids.select(F.sum(F.size("lengths"))).first()[0] == 200
+    samples = [t.split() for t in texts]
+    total = sum(max(0, len(s) - 2) for s in samples)
+    want = {g: (c, round(math.log(c / total), 6)) for g, c in brute_counts(samples, 3).items() if c >= Q.MIN_COUNT}
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in Q.log_likelihood(spark, str(tmp_path), 3).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[g][0] == c and got[g][1] == pytest.approx(ll, abs=2e-6) for g, (c, ll) in want.items())
+
+
+def test_large_rows_are_written_in_groups_of_a_few(spark):
+    tokens = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 << 16)), lambda i: F.sha2(F.concat("id", i).cast("string"), 256)), "")
+    rows = spark.range(12, numPartitions=1).select("id", tokens.cast("binary").alias("tokens"))
+    table = Table(rows, "ids", large=True)
+    files = glob.glob(f"{table.path.removeprefix('file:')}/*.parquet")
+    assert [pq.ParquetFile(f).metadata.num_row_groups > 1 for f in files] == [True]
+    assert table.df.select(F.sum(F.length("tokens"))).first()[0] == 12 << 22
