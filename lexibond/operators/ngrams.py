@@ -355,7 +355,9 @@ def count_from_pairs(ids: DataFrame, sizes: list[int], min_count: int, frequent:
         return done
     pairs = pair_bitmap(double.df) if min_count > 1 else None
     if pairs is not None and max(longer) <= 5:
-        return done.unionByName(_count_longer(ids, longer, pairs, min_count))
+        for n in longer:  # one after the other, so that the disk holds the shuffle of one size
+            done = done.unionByName(_count_longer(ids, [n], pairs, min_count))
+        return done
     counted = Table(prune(_count_parts(ids, range(3, max(longer) + 1), frequent, pairs), min_count), "counts")
     return done.unionByName(_packed(counted.df).where(F.col("n").isin(longer)))
 
